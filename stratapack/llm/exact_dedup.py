@@ -49,7 +49,9 @@ def _keeper(rank: Column) -> Column:
 
 
 def exact_groups(docs: DataFrame, content_hash: Callable[[Column], Column] = F.md5) -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, norm_text (normalised).
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_hash, text_sha256 (of the normalised text).
+
+    The join's sides carry hashes only; texts move once, in the first aggregation.
 
     content_hash is a parameter so that tests can force collisions.
     """
@@ -59,28 +61,30 @@ def exact_groups(docs: DataFrame, content_hash: Callable[[Column], Column] = F.m
     groups = (
         hashed.groupBy("h", "norm_text")
         .agg(F.count(F.lit(1)).alias("group_size"), F.max(_rank(F.col("n"), F.col("doc_id"))).alias("r"))
-        .select("h", F.sha2("norm_text", 256).alias("s"), "group_size", _keeper(F.col("r")).alias("keep_id"))
+        .select("h", "group_size", _keeper(F.col("r")).alias("keep_id"))
     )
     groups = staged(groups, "exact-groups")
     shared = groups.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h")
     clean = groups.select("h", "group_size", "keep_id")
+    digests = hashed.select("doc_id", "h", F.sha2("norm_text", 256).alias("text_sha256"))
     if shared.isEmpty():
-        out = hashed.join(clean, "h")
+        out = digests.join(clean, "h")
     else:
-        alone = hashed.join(shared, "h", "left_anti").join(clean, "h")
+        alone = digests.join(shared, "h", "left_anti").join(clean, "h")
         again = hashed.join(shared, "h", "left_semi")
         by_text = again.groupBy("norm_text").agg(F.count(F.lit(1)).alias("group_size"), F.max(_rank(F.col("n"), F.col("doc_id"))).alias("r"))
         by_text = by_text.select("norm_text", "group_size", _keeper(F.col("r")).alias("keep_id"))
-        out = alone.unionByName(again.join(by_text, "norm_text"))
-    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "norm_text")
+        again = again.join(by_text, "norm_text").withColumn("text_sha256", F.sha2("norm_text", 256)).drop("norm_text", "n")
+        out = alone.unionByName(again)
+    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("h").alias("text_hash"), "text_sha256")
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """docs without the rows of which another copy stays; all columns. Rows that repeat a kept doc_id and text stay once."""
     keep = exact_groups(docs.select("doc_id", "text")).filter("kept")
-    keep = keep.groupBy(F.col("doc_id").alias("kept_id"), F.md5("norm_text").alias("kept_hash")).agg(F.count(F.lit(1)).alias("kept_times"))
+    keep = keep.groupBy(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_hash")).agg(F.count(F.lit(1)).alias("kept_times"))
     keep = staged(keep, "exact-kept")
-    mine = F.md5(normalised(F.coalesce(docs["text"], F.lit(""))))
+    mine = F.sha2(normalised(F.coalesce(docs["text"], F.lit(""))), 256)
     out = docs.join(keep, docs["doc_id"].eqNullSafe(keep["kept_id"]) & (mine == keep["kept_hash"]), "left_semi")
     if not keep.filter("kept_times > 1").isEmpty():
         out = out.dropDuplicates(["doc_id", "text"])
@@ -89,7 +93,7 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_groups(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "keep_id", "group_size", "kept", F.sha2("norm_text", 256).alias("text_sha256"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 OP10_SQL = """
