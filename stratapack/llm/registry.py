@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratapack.llm import exact_dedup
+from stratapack.llm import bpe_stream, exact_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op9_bpe_stream": bpe_stream.op9_bpe_stream,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
