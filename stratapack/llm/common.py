@@ -84,3 +84,12 @@ def ascii_lower(text: str | None) -> bytes:
 def space_words(text: str | None) -> list[bytes]:
     """Words [^\\x20\\x09-\\x0D]+ of the ASCII-lower-cased text: bytes.split() cuts at just those six."""
     return ascii_lower(text).split()
+
+
+#: Everything in ASCII but letters and digits becomes a space, A-Z lower case; other bytes stay.
+_ALNUM = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
+
+
+def alnum_words(text: str | None) -> list[bytes]:
+    """Words [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ of the ASCII-lower-cased text."""
+    return (text or "").encode("utf-8", "surrogatepass").translate(_ALNUM).split()

@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratapack.llm import bpe_stream, exact_dedup, line_dedup, near_dedup, retrieval_pack
+from stratapack.llm import bpe_stream, exact_dedup, license_scan, line_dedup, near_dedup, retrieval_pack, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_retrieval_pack": retrieval_pack.op1_retrieval_pack,
     "op4_minmax_near_dedup": near_dedup.op4_minmax_near_dedup,
+    "op6_license_scan": license_scan.op6_license_scan,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_bpe_stream": bpe_stream.op9_bpe_stream,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
