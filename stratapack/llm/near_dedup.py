@@ -13,9 +13,10 @@ first compared with the smallest (a star, not all pairs). The full shingle sets
 built from the texts and compared; components are formed of the links. Then
 buckets that still hold several components are finished: members outside a
 bucket's largest component are compared with the members of other components, each
-pair once, unless already compared or too unlike in size. So every pair of a
-bucket is compared or already connected, and a large group of near copies costs its
-size, not its square.
+pair once, unless already compared or too unlike in size; where that takes more than
+`heavy_pairs` pairs in a bucket, block against block inside a task, so that only links
+leave it. So every pair of a bucket is compared or already connected, and a large
+group of near copies costs rows in proportion to its size, not its square.
 
 Cases: without words a document's set is empty and it is linked with nothing; with
 fewer words than a shingle takes, the whole sequence is its one shingle. A null doc_id
@@ -152,7 +153,48 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
     return met.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, permutations: int = PERMUTATIONS, rows: int = ROWS) -> DataFrame:
+def _blocks_compared(heavy: DataFrame, docs: DataFrame, words: int, percent: int, block_docs: int = 2048, block_shingles: int = 300_000) -> DataFrame:
+    """Links (a, b) between the minor members of a bucket and all its members, without a row for each pair.
+
+    Both sides are cut to blocks of bounded documents and shingles; a task gets one block of
+    each, with the texts, and an inverted index over the second block's full sets counts all
+    overlaps of a document at once. Only links leave the task.
+    """
+    size = heavy.groupBy("bucket").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_docs), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("blocks"))
+    texts = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("doc"), "text")
+    held = heavy.join(size, "bucket").join(texts, "doc").withColumn("own", F.pmod(F.xxhash64("doc"), "blocks").cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    asks = held.filter("component <> main").select("bucket", F.col("own").alias("i"), every.alias("j"), F.lit(0).alias("side"), "doc", "component", "text")
+    answers = held.select("bucket", every.alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"), "doc", "component", "text")
+
+    def compare(group: pa.Table) -> pa.Table:
+        sides, ids, labels, texts_ = (group[c].to_pylist() for c in ("side", "doc", "component", "text"))
+        second = [k for k, side in enumerate(sides) if side]
+        postings: dict[tuple, list[int]] = {}
+        sizes, places = np.zeros(len(second), np.int64), np.array([ids[k] for k in second], np.int64)
+        owners = np.array([labels[k] for k in second], np.int64)
+        for at, k in enumerate(second):
+            found = shingle_set(texts_[k], words)
+            sizes[at] = len(found)
+            for g in found:
+                postings.setdefault(g, []).append(at)
+        index = {g: np.array(v, np.int32) for g, v in postings.items()}
+        a_out, b_out = [], []
+        for k, side in enumerate(sides):
+            mine = shingle_set(texts_[k], words) if not side else ()
+            hits = [index[g] for g in mine if g in index]
+            if hits:
+                both = np.bincount(np.concatenate(hits), minlength=len(second))
+                link = (100 * both >= percent * (len(mine) + sizes - both)) & (both > 0) & (owners != labels[k])
+                a_out += np.minimum(places[link], ids[k]).tolist()
+                b_out += np.maximum(places[link], ids[k]).tolist()
+        pairs = sorted(set(zip(a_out, b_out, strict=True)))
+        return pa.table({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
+
+    return asks.unionByName(answers).groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, permutations: int = PERMUTATIONS, rows: int = ROWS, heavy_pairs: int = 400) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of docs."""
     ship(docs.sparkSession)
     made = staged(sketches(docs, words, permutations, rows), "sketches")
@@ -173,17 +215,24 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, permutat
 
     at = members.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("bucket", "doc", "n", F.coalesce("component", "doc").alias("component"))
     counts = at.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c"))
-    mixed = counts.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.max_by("component", F.struct("c", "component")).alias("main")).filter("k > 1").select("bucket", "main")
-    mixed = staged(at.join(mixed, "bucket"), "mixed")
-    minor = mixed.filter("component <> main").select("bucket", F.col("doc").alias("x"), F.col("n").alias("xn"), F.col("component").alias("xc"))
-    left = minor.join(mixed, "bucket").filter(f"component <> xc AND (component = main OR x < doc) AND {alike('n', 'xn')}")
+    mixed = counts.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("k"), F.max_by("component", F.struct("c", "component")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("most"),
+    )
+    mixed = staged(at.join(mixed.filter("k > 1").select("bucket", "main", "all", (F.col("all") - F.col("most")).alias("few")), "bucket"), "mixed")
+    light, heavy = mixed.filter(f"few * all <= {heavy_pairs}"), mixed.filter(f"few * all > {heavy_pairs}")
+    minor = light.filter("component <> main").select("bucket", F.col("doc").alias("x"), F.col("n").alias("xn"), F.col("component").alias("xc"))
+    left = minor.join(light, "bucket").filter(f"component <> xc AND (component = main OR x < doc) AND {alike('n', 'xn')}")
     left = left.select(F.least("x", "doc").alias("a"), F.greatest("x", "doc").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
     left = staged(left, "rest")
-    if not left.isEmpty():
-        more = confirmed(left, docs, words, percent)
+    some, many = not left.isEmpty(), not heavy.isEmpty()
+    if some or many:
         # The components found so far stand for their members.
-        found = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
-        labels = staged(components(found), "labels")
+        found = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        if some:
+            found = found.unionByName(confirmed(left, docs, words, percent))
+        if many:
+            found = found.unionByName(_blocks_compared(heavy, docs, words, percent))
+        labels = staged(components(staged(found, "more-links")), "labels")
     drop_staged(members, mixed, star, left)
 
     of = classes.join(labels.withColumnRenamed("node", "head"), "head", "left").select("d1", "d2", F.coalesce("component", "head").alias("component"))
