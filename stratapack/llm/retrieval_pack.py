@@ -31,9 +31,11 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratapack.llm.bpe_stream import printable_bytes
 from stratapack.llm.common import rows_of, shards_for, staged, table
 from stratapack.session import ship
 
@@ -45,9 +47,17 @@ _PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, se
 
 class ChunkTokens(dict):
     """White-space-free chunk -> its ids as 16-bit bytes. The vocabulary drops white space and
-    no rule of it looks across, so a text's ids are its chunks' ids in a row. Cleared when full."""
+    no rule of it looks across, so a text's ids are its chunks' ids in a row.
 
-    SEPARATOR, ENTRIES = "<|startoftext|>", 300_000
+    A chunk of characters below U+0250 is in normal form already and lower-cases letter by letter, so
+    it is cut by the pre-token pattern here, and each new word goes straight to the merge model;
+    other chunks, and those that may hold a special token, go through the whole
+    tokenizer. Both memos are cleared when full.
+    """
+
+    ENTRIES = 250_000
+    #: Fixed value of the vocabulary: its pre-token pattern.
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 
     def __init__(self, path: str):
         super().__init__()
@@ -57,23 +67,29 @@ class ChunkTokens(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.mark = self.tokenizer.token_to_id(self.SEPARATOR)
-        assert self.tokenizer.get_vocab_size() <= 65536 and self.mark is not None
-
-    def learn(self, chunks: set[str], at_once: int = 4096) -> None:
-        """Encode unknown chunks, many in one call with a special token between them."""
+        self.model = self.tokenizer.model
+        assert self.tokenizer.get_vocab_size() <= 65536
+        self.cut = regex.compile(self.PATTERN).findall
+        self.plain = re.compile("[^<\u0250-\U0010ffff]+").fullmatch
+        self.letters = {b: c for c, b in printable_bytes().items()}
+        self.words: dict[str, bytes] = {}
+
+    def _word(self, word: str) -> bytes:
+        shown = "".join(map(self.letters.__getitem__, word.encode("utf-8", "surrogatepass")))
+        found = self.words[word] = np.array([t.id for t in self.model.tokenize(shown)], "<u2").tobytes()
+        return found
+
+    def learn(self, chunks: set[str]) -> None:
         if len(self) + len(chunks) > self.ENTRIES:
             self.clear()
-        plain = [c for c in chunks if self.SEPARATOR not in c]
-        for c in chunks.difference(plain):
-            self[c] = np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u2").tobytes()
-        for k in range(0, len(plain), at_once):
-            part = plain[k : k + at_once]
-            ids = np.array(self.tokenizer.encode(self.SEPARATOR.join(part), add_special_tokens=False).ids, "<u2")
-            cuts = np.flatnonzero(ids == self.mark)
-            whole = ids.tobytes()
-            for c, a, b in zip(part, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)], strict=True):
-                self[c] = whole[2 * a : 2 * b]
+        if len(self.words) + len(chunks) > self.ENTRIES:
+            self.words.clear()
+        get = self.words.get
+        for c in chunks:
+            if self.plain(c):
+                self[c] = b"".join([get(w) or self._word(w) for w in self.cut(c.lower())])
+            else:
+                self[c] = np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u2").tobytes()
 
 
 #: str.split() also cuts at these, which the vocabulary's pattern doesn't count as white space.
@@ -99,11 +115,10 @@ def tokenised(docs: DataFrame, path: str = DEFAULT_VOCABULARY) -> DataFrame:
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 rows = [(i, chunks_of(t or "")) for i, t in rows_of(batch.slice(k, 512))]
-                new: set[str] = set()
-                for _, chunks in rows:
-                    new.update(chunks)
-                held = len(known)
-                known.learn(new.difference(known)) if held + len(new) <= known.ENTRIES else (known.clear(), known.learn(new))
+                here = set().union(*(c for _, c in rows))
+                if len(known) + len(here) > known.ENTRIES:
+                    known.clear()
+                known.learn({c for c in here if c not in known})
                 out = [b"".join(map(known.__getitem__, c)) + end for _, c in rows]
                 yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array(out, pa.binary())], ["doc_id", "ids"])
 
