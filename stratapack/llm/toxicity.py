@@ -3,9 +3,9 @@
 A logistic model over hashed presence features of a text: its words and their
 prefixes of 4 to 6 bytes. It is fitted on at most `max_rows` labelled rows of
 the training folds, at most a third of them toxic if there are that many; which rows
-is decided by a hash of the id, so the sample spreads over the corpus. Feature
-statistics beyond the sample are not needed; the sample is bounded, so it may be
-broadcast to find its texts and its features may go to the driver.
+is decided by a hash of the id, so the sample spreads over the corpus. The sample is
+bounded, so it may be broadcast to find its texts. Its features are counted by class in
+the tasks; the driver gets those that differ between the classes, and no texts.
 
 Regulariser: every sampled text is paired with a counterfactual in which identity
 terms are swapped for others of their group; a text without any gets a neutral
@@ -112,35 +112,41 @@ class Model:
         return score
 
 
-def fit(rows: list[tuple[int, set[bytes]]], strength: float = 3e-5, swap_strength: float = 1.0, steps: int = 300) -> Model:
-    """rows: label and distinct words. Logistic loss + L2 + swap penalty, by full-batch Adam with a fixed number of steps."""
-    size = 1 << BITS
-    y = np.array([r[0] for r in rows], float)
+def document_features(words: set[bytes]) -> np.ndarray:
+    """Sorted distinct feature numbers of a text."""
+    return np.unique(np.array([f for w in words for f in word_features(w)], np.int32))
+
+
+@dataclass
+class Sample:
+    """Labelled texts as flat arrays: label of each, features that may carry weight, and the signed features by which its counterfactual differs."""
+
+    labels: np.ndarray
+    doc: np.ndarray
+    feature: np.ndarray
+    swap_doc: np.ndarray
+    swap_feature: np.ndarray
+    swap_sign: np.ndarray
+
+
+def useful(n1: np.ndarray, n0: np.ndarray, positives: int, negatives: int) -> np.ndarray:
+    """Features in at least 3 texts of a class whose log odds between the classes are at least 1.5."""
+    odds = np.log((n1 + 0.5) / (positives - n1 + 0.5)) - np.log((n0 + 0.5) / (negatives - n0 + 0.5))
+    return (np.maximum(n1, n0) >= 3) & (np.abs(odds) >= 1.5)
+
+
+def fit(sample: Sample, strength: float = 3e-5, swap_strength: float = 1.0, steps: int = 300) -> Model:
+    """Logistic loss + L2 + swap penalty, by full-batch Adam with a fixed number of steps."""
+    size, y = 1 << BITS, sample.labels.astype(float)
     if not len(y):
         return Model(np.zeros(size, np.float32), -40.0)
-    share = np.clip(y.mean(), 1e-6, 1 - 1e-6)
-    bias = float(np.log(share / (1 - share)))
     if y.min() == y.max():
         return Model(np.zeros(size, np.float32), 40.0 if y[0] else -40.0)
-    sets = [np.unique(np.array([f for w in words for f in word_features(w)], np.int64)) for _, words in rows]
-    pairs = [counterfactual(words, zlib.crc32(b" ".join(sorted(words)))) for _, words in rows]
-    doc, feature = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets)
-    n1, n0 = np.bincount(feature, y[doc], size), np.bincount(feature, 1 - y[doc], size)
-    odds = np.log((n1 + 0.5) / (y.sum() - n1 + 0.5)) - np.log((n0 + 0.5) / ((1 - y).sum() - n0 + 0.5))
-    used = (n1 + n0 >= 3) & (np.abs(odds) >= 1.5) & (np.maximum(n1, n0) >= 3)
-    place = np.cumsum(used) - 1
-    keep = used[feature]
-    doc, col = doc[keep], place[feature[keep]]
-    d_doc, d_col, d_sign = [], [], []
-    for k, (added, removed) in enumerate(pairs):
-        for words, sign in ((added, 1.0), (removed, -1.0)):
-            for f in {f for w in words for f in word_features(w)}:
-                if used[f]:
-                    d_doc.append(k)
-                    d_col.append(place[f])
-                    d_sign.append(sign)
-    d_doc, d_col, d_sign = np.array(d_doc, np.int64), np.array(d_col, np.int64), np.array(d_sign)
-    n, m = len(y), int(used.sum())
+    bias = float(np.log(y.mean() / (1 - y.mean())))
+    used = np.unique(np.concatenate([sample.feature, sample.swap_feature]))
+    col, d_col = np.searchsorted(used, sample.feature), np.searchsorted(used, sample.swap_feature)
+    doc, d_doc, d_sign = sample.doc, sample.swap_doc, sample.swap_sign
+    n, m = len(y), len(used)
     w, g1, g2 = np.zeros(m), np.zeros(m + 1), np.zeros(m + 1)
     for step in range(1, steps + 1):
         p = 1 / (1 + np.exp(-np.clip(np.bincount(doc, w[col], n) + bias, -40, 40)))
@@ -167,14 +173,55 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
     # At most max_rows rows of two numbers: a bound that holds at any corpus size.
     found = docs.filter("doc_id IS NOT NULL").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(i, int(y == 1), b" ".join(sorted(set(alnum_words(t))))) for i, t, y in rows_of(batch)]
-            cols = list(zip(*rows, strict=True)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], ["doc_id", "label", "words"])
+    found = found.select("doc_id", "text", (F.col("label") == 1).cast("int").alias("label"))
+    size = 1 << BITS
 
-    rows = found.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, words binary").toArrow().sort_by([("doc_id", "ascending"), ("words", "ascending")])
-    return fit([(y, set(bytes(w).split())) for y, w in zip(rows["label"].to_pylist(), rows["words"].to_pylist(), strict=True)])
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros((2, size), np.int64)
+        rows = np.zeros(2, np.int64)
+        for batch in batches:
+            for _, text, label in rows_of(batch):
+                n[label, document_features(set(alnum_words(text)))] += 1
+                rows[label] += 1
+        at = np.flatnonzero(n.any(axis=0))
+        feature = np.append(at, -1)
+        yield pa.RecordBatch.from_arrays([pa.array(feature, pa.int64()), pa.array(np.append(n[0, at], rows[0])), pa.array(np.append(n[1, at], rows[1]))], ["feature", "n0", "n1"])
+
+    # One row for each of at most 2^BITS hashed features; only those that may carry weight leave Spark.
+    sums = found.mapInArrow(count, "feature long, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    table_ = sums.filter("feature < 0 OR n0 >= 3 OR n1 >= 3").toArrow().to_pydict()
+    counts = {c: np.array(table_[c], np.int64) for c in ("feature", "n0", "n1")}
+    head = counts["feature"] < 0
+    negatives, positives = int(counts["n0"][head].sum()), int(counts["n1"][head].sum())
+    keep = np.zeros(size, bool)
+    keep[counts["feature"][~head]] = useful(counts["n1"][~head], counts["n0"][~head], positives, negatives)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc_id, text, label in rows_of(batch):
+                words = set(alnum_words(text))
+                features = document_features(words)
+                added, removed = counterfactual(words, zlib.crc32(b" ".join(sorted(words))))
+                plus, minus = (document_features(w) if w else np.empty(0, np.int32) for w in (added, removed))
+                out.append((doc_id, label, *(f[keep[f]].astype("<i4").tobytes() for f in (features, plus, minus))))
+            cols = list(zip(*out, strict=True)) or [[]] * 5
+            kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "label", "features", "plus", "minus"])
+
+    rows = found.mapInArrow(gather, "doc_id long, label int, features binary, plus binary, minus binary").toArrow()
+    rows = rows.sort_by([("doc_id", "ascending"), ("features", "ascending")])
+    flat = lambda c: [np.frombuffer(x.as_py(), "<i4") for x in rows[c]]
+    parts = {c: flat(c) for c in ("features", "plus", "minus")}
+    place = {c: np.repeat(np.arange(len(v)), [len(x) for x in v]) for c, v in parts.items()}
+    joined = {c: np.concatenate(v) if v else np.empty(0, np.int32) for c, v in parts.items()}
+    return fit(
+        Sample(
+            rows["label"].to_numpy(), place["features"], joined["features"],
+            np.concatenate([place["plus"], place["minus"]]), np.concatenate([joined["plus"], joined["minus"]]),
+            np.concatenate([np.ones(len(joined["plus"])), -np.ones(len(joined["minus"]))]),
+        )
+    )
 
 
 def toxicity(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
