@@ -68,9 +68,9 @@ class _Reader(DataSourceReader):
 
     def __init__(self, options: dict):
         self.path = options["path"]
-        self.group = int(options.get("chunksPerTask", 64))
-        self.first = int(options.get("firstChunk", 0))
-        self.last = options.get("lastChunk")
+        self.group = int(options.get("chunkspertask", 64))
+        self.first = int(options.get("firstchunk", 0))
+        self.last = options.get("lastchunk")
 
     def _index(self) -> layout.Index:
         with open(self.path, "rb") as f:
@@ -110,7 +110,7 @@ class ContainerSource(DataSource):
         return "file_id string, chunk_no long, comp_offset long, comp_size long, stored boolean, uncomp_size long, checksum long, filter string, payload binary, codec string"
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(dict(self.options))
+        return _Reader({k.lower(): v for k, v in self.options.items()})
 
 
 def register(spark: SparkSession) -> None:
