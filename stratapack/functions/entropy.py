@@ -106,7 +106,7 @@ def encode_stream(symbols: bytes) -> bytes:
 
 
 def decode_stream(data: bytes, at: int, n: int) -> tuple[bytes, int]:
-    """n symbols from data[at:] and the place behind them. All lanes step together."""
+    """n symbols from data[at:] and the place behind them."""
 
     def need(a: int, b: int) -> bytes:
         if b > len(data):
@@ -137,21 +137,19 @@ def decode_stream(data: bytes, at: int, n: int) -> tuple[bytes, int]:
     for s in np.flatnonzero(length):
         symbol[int(code[s]) :: 1 << int(length[s])] = s
         width[int(code[s]) :: 1 << int(length[s])] = length[s]
-    first = begin + 4 * (np.cumsum(sizes) - sizes)
-    buffer = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(8, np.uint8)]).astype(np.uint32)
-    ranges = np.array([lane_range(n, count, k) for k in range(count)])
-    out, place, stop = np.empty(n, np.uint8), first * 8, (first + 4 * sizes) * 8
-    todo = ranges[:, 1] - ranges[:, 0]
-    for step in range(int(todo.max()) if n else 0):
-        on = np.flatnonzero(todo > step)
-        bit = place[on]
-        byte = np.minimum(bit >> 3, len(data))
-        window = (buffer[byte] | buffer[byte + 1] << 8 | buffer[byte + 2] << 16) >> (bit & 7).astype(np.uint32)
-        # What lies behind the lane's last word reads as zero.
-        left = np.clip(stop[on] - bit, 0, MAX_LEN)
-        index = (window & ((1 << left) - 1).astype(np.uint32)).astype(np.int64) & ((1 << MAX_LEN) - 1)
-        out[ranges[on, 0] + step] = symbol[index]
-        place[on] = bit + width[index]
-        if (place[on] > stop[on]).any():
+    symbols, widths = symbol.tolist(), width.tolist()
+    out, at = bytearray(), begin
+    for k, words in enumerate(sizes.tolist()):
+        # A lane is one integer; what lies behind its last word reads as zero.
+        bits, used = int.from_bytes(data[at : at + 4 * words], "little"), 0
+        a, b = lane_range(n, count, k)
+        for _ in range(b - a):
+            index = bits & 2047
+            out.append(symbols[index])
+            step = widths[index]
+            bits >>= step
+            used += step
+        if used > 32 * words:
             raise BlockError("LaneOverrun")
-    return out.tobytes(), end
+        at += 4 * words
+    return bytes(out), end

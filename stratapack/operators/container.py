@@ -17,7 +17,7 @@ from stratapack.functions import codecs, layout
 from stratapack.functions.codecs import Options
 from stratapack.functions.lz import BlockError
 from stratapack.operators import chunks as plane
-from stratapack.session import ship
+from stratapack.session import ship, spread
 
 _CHUNKS = "file_id string, chunk_no long, comp_size long, stored boolean, uncomp_size long, checksum long, filter string, payload binary"
 _KINDS = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
@@ -50,7 +50,7 @@ def encode(split: DataFrame, options: Options) -> DataFrame:
 
 def compress(files: DataFrame, options: Options = Options()) -> DataFrame:
     """(file_id, content) -> chunk table. An empty file has no rows here; its header still exists."""
-    return encode(plane.split(files, options.chunk_size), options)
+    return encode(spread(plane.split(files, options.chunk_size)), options)
 
 
 def decode(chunks: DataFrame, codec: str, verify: bool = False) -> DataFrame:

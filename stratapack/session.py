@@ -6,7 +6,7 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -26,3 +26,9 @@ def ship(spark: SparkSession) -> None:
                     out.write(full, os.path.join("stratapack", os.path.relpath(full, here)))
     context.addPyFile(path)
     _shipped.add(context.applicationId)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a source with fewer files than cores, dealt to all cores before work that costs more than moving them."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
