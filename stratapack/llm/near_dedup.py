@@ -153,45 +153,48 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
     return met.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _blocks_compared(heavy: DataFrame, docs: DataFrame, words: int, percent: int, block_docs: int = 2048, block_shingles: int = 300_000) -> DataFrame:
-    """Links (a, b) between the minor members of a bucket and all its members, without a row for each pair.
-
-    Both sides are cut to blocks of bounded documents and shingles; a task gets one block of
-    each, with the texts, and an inverted index over the second block's full sets counts all
-    overlaps of a document at once. Only links leave the task.
+def _blocks_compared(heavy: DataFrame, docs: DataFrame, words: int, percent: int, block_docs: int = 1024, block_shingles: int = 200_000) -> DataFrame:
+    """Links (a, b) of crowded buckets, without a row for each pair.
+
+    Crowded buckets with the same largest component are one neighbourhood, so a text moves once
+    for it and not once for each bucket. Its documents outside that component are compared with
+    all its documents. Both sides are cut to blocks of bounded documents and shingles; a
+    task gets one block of each, and an inverted index over the second block's full sets (64-bit
+    shingle hashes) counts all overlaps of a document at once. Only links leave the task.
     """
-    size = heavy.groupBy("bucket").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_docs), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("blocks"))
-    texts = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("doc"), "text")
-    held = heavy.join(size, "bucket").join(texts, "doc").withColumn("own", F.pmod(F.xxhash64("doc"), "blocks").cast("int"))
+    held = heavy.select("main", "doc", "component", "n").distinct()
+    size = held.groupBy("main").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_docs), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("blocks"))
+    held = held.join(size, "main").withColumn("own", F.pmod(F.xxhash64("doc"), "blocks").cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    asks = held.filter("component <> main").select("bucket", F.col("own").alias("i"), every.alias("j"), F.lit(0).alias("side"), "doc", "component", "text")
-    answers = held.select("bucket", every.alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"), "doc", "component", "text")
+    asks = held.filter("component <> main").select("main", F.col("own").alias("i"), every.alias("j"), F.lit(0).alias("side"), "doc", "component")
+    answers = held.select("main", every.alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"), "doc", "component")
+    texts = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("doc"), "text")
+    rows = asks.unionByName(answers).join(texts, "doc")
 
     def compare(group: pa.Table) -> pa.Table:
-        sides, ids, labels, texts_ = (group[c].to_pylist() for c in ("side", "doc", "component", "text"))
-        second = [k for k, side in enumerate(sides) if side]
-        postings: dict[tuple, list[int]] = {}
-        sizes, places = np.zeros(len(second), np.int64), np.array([ids[k] for k in second], np.int64)
-        owners = np.array([labels[k] for k in second], np.int64)
-        for at, k in enumerate(second):
-            found = shingle_set(texts_[k], words)
-            sizes[at] = len(found)
-            for g in found:
-                postings.setdefault(g, []).append(at)
-        index = {g: np.array(v, np.int32) for g, v in postings.items()}
-        a_out, b_out = [], []
-        for k, side in enumerate(sides):
-            mine = shingle_set(texts_[k], words) if not side else ()
-            hits = [index[g] for g in mine if g in index]
-            if hits:
-                both = np.bincount(np.concatenate(hits), minlength=len(second))
-                link = (100 * both >= percent * (len(mine) + sizes - both)) & (both > 0) & (owners != labels[k])
-                a_out += np.minimum(places[link], ids[k]).tolist()
-                b_out += np.maximum(places[link], ids[k]).tolist()
-        pairs = sorted(set(zip(a_out, b_out, strict=True)))
-        return pa.table({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
-
-    return asks.unionByName(answers).groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long")
+        sketch = Sketcher(words, 1, 1)
+        side = group["side"].to_numpy()
+        ids, labels = group["doc"].to_numpy(), group["component"].to_numpy()
+        sets = [sketch.shingles(t.as_py()) for t in group["text"]]
+        second = np.flatnonzero(side == 1)
+        sizes = np.array([len(sets[k]) for k in second], np.int64)
+        owner = np.repeat(np.arange(len(second)), sizes)
+        found = np.concatenate([sets[k] for k in second]) if len(second) else np.empty(0, np.uint64)
+        order = np.argsort(found, kind="stable")
+        found, owner = found[order], owner[order]
+        pairs = set()
+        for k in np.flatnonzero(side == 0):
+            mine = sets[k]
+            low, high = np.searchsorted(found, mine, "left"), np.searchsorted(found, mine, "right")
+            spans = [owner[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True) if b > a]
+            if spans:
+                both = np.bincount(np.concatenate(spans), minlength=len(second))
+                link = (100 * both >= percent * (len(mine) + sizes - both)) & (both > 0) & (labels[second] != labels[k])
+                pairs.update((min(int(ids[k]), int(d)), max(int(ids[k]), int(d))) for d in ids[second[link]])
+        out = sorted(pairs)
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    return rows.groupBy("main", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, permutations: int = PERMUTATIONS, rows: int = ROWS, heavy_pairs: int = 400) -> DataFrame:
