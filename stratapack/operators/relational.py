@@ -157,7 +157,7 @@ def output_positions(seqs: DataFrame) -> DataFrame:
 def human_bytes(n: Column) -> Column:
     """1536 -> '1.5 KiB', 268435456 -> '256 MiB'."""
     unit = F.least(F.floor(F.log2(F.greatest(n, F.lit(1)).cast("double")) / 10 + F.lit(1e-12)), F.lit(4)).cast("int")
-    scaled = F.regexp_replace(F.format_string("%.1f", n / F.pow(F.lit(1024.0), unit)), r"\.0$", "")
+    scaled = F.regexp_replace(F.format_string("%.1f", F.bround(n / F.pow(F.lit(1024.0), unit), 1)), r"\.0$", "")
     return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).otherwise(F.concat_ws(" ", scaled, F.element_at(F.array(*map(F.lit, ("KiB", "MiB", "GiB", "TiB"))), F.greatest(unit, F.lit(1)))))
 
 
