@@ -25,6 +25,8 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -55,7 +57,7 @@ class ChunkTokens(dict):
     tokenizer. Both memos are cleared when full.
     """
 
-    ENTRIES = 250_000
+    ENTRIES = 600_000
     #: Fixed value of the vocabulary: its pre-token pattern.
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 
@@ -75,8 +77,12 @@ class ChunkTokens(dict):
         self.words: dict[str, bytes] = {}
 
     def _word(self, word: str) -> bytes:
-        shown = "".join(map(self.letters.__getitem__, word.encode("utf-8", "surrogatepass")))
-        found = self.words[word] = np.array([t.id for t in self.model.tokenize(shown)], "<u2").tobytes()
+        # Printable ASCII stands for itself in the vocabulary.
+        shown = word if word.isascii() and word.isprintable() else "".join(map(self.letters.__getitem__, word.encode("utf-8", "surrogatepass")))
+        ids = array("H", [t.id for t in self.model.tokenize(shown)])
+        if sys.byteorder != "little":
+            ids.byteswap()
+        found = self.words[word] = ids.tobytes()
         return found
 
     def learn(self, chunks: set[str]) -> None:
@@ -84,10 +90,14 @@ class ChunkTokens(dict):
             self.clear()
         if len(self.words) + len(chunks) > self.ENTRIES:
             self.words.clear()
-        get = self.words.get
+        get, cut, plain, word = self.words.get, self.cut, self.plain, self._word
         for c in chunks:
-            if self.plain(c):
-                self[c] = b"".join([get(w) or self._word(w) for w in self.cut(c.lower())])
+            if plain(c):
+                parts = cut(c.lower())
+                if len(parts) == 1:
+                    self[c] = get(parts[0]) or word(parts[0])
+                else:
+                    self[c] = b"".join([get(w) or word(w) for w in parts])
             else:
                 self[c] = np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u2").tobytes()
 
