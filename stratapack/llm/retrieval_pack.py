@@ -13,8 +13,9 @@ doesn't fit is cut and its rest is the next seed. So every window but a shard's
 is full, and the last one is split into sequences whose lengths are powers of
 two, which need no padding.
 
-Tokens that occur in more than `stop_share` of all documents are stop terms: their
-postings would be whole shards and their idf is near its least.
+All terms count, whatever their document frequency: those that many documents of a
+shard hold are columns of a dense matrix, so their scores are a product of matrices;
+the others have postings.
 
 Cases: a null or empty text is its closing id alone. Null doc_ids, repeated rows and
 repeated ids are packed row by row. An empty table gives an empty result. Long
@@ -156,9 +157,12 @@ def token_df(tokens: DataFrame) -> np.ndarray:
 
 
 class ShardIndex:
-    """BM25 postings of one shard."""
+    """BM25 weights of some documents: terms in many of them as columns of a dense matrix, the others as postings."""
 
-    def __init__(self, docs: list[np.ndarray], df: np.ndarray, n_docs: int, mean_length: float, stop_share: float, k1: float = 1.2, b: float = 0.75):
+    #: A term in over 1 / DENSE of the documents is a column; at most COLUMNS are, the most frequent.
+    DENSE, COLUMNS = 8, 1024
+
+    def __init__(self, docs: list[np.ndarray], df: np.ndarray, n_docs: int, mean_length: float, stop_share: float = 1.0, k1: float = 1.2, b: float = 0.75):
         lengths = np.array([len(d) for d in docs])
         key = np.repeat(np.arange(len(docs), dtype=np.uint64), lengths) << np.uint64(16) | np.concatenate(docs).astype(np.uint64)
         key, tf = np.unique(key, return_counts=True)
@@ -167,29 +171,59 @@ class ShardIndex:
         doc, token, tf = doc[use], token[use], tf[use]
         idf = np.log1p((n_docs - df + 0.5) / (df + 0.5))
         weight = idf[token] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[doc] / mean_length))
-        #: The terms of each document, and the postings of each term.
+        self.size = len(docs)
+        #: The terms of each document.
         self.terms, self.first = token, np.searchsorted(doc, np.arange(len(docs) + 1))
+        held = np.bincount(token, minlength=65536)
+        common = np.argsort(-held, kind="stable")[: self.COLUMNS]
+        common = common[held[common] > self.size / self.DENSE] if self.size > 64 else common[:0]
+        self.column = np.full(65536, -1)
+        self.column[common] = np.arange(len(common))
+        at = self.column[token]
+        self.dense = np.zeros((self.size, len(common)), np.float32)
+        self.dense[doc[at >= 0], at[at >= 0]] = weight[at >= 0]
+        doc, token, weight = doc[at < 0], token[at < 0], weight[at < 0]
+        #: The postings of each other term.
         order = np.argsort(token, kind="stable")
         self.doc, self.weight = doc[order], weight[order]
         self.start = np.searchsorted(token[order], np.arange(65537))
-        self.size = len(docs)
+
+    def terms_of(self, doc: int) -> np.ndarray:
+        return self.terms[self.first[doc] : self.first[doc + 1]]
+
+    def scores(self, queries: list[np.ndarray]) -> np.ndarray:
+        """One row of scores of all documents for each query, an array of distinct terms."""
+        wanted = np.zeros((len(queries), self.dense.shape[1]), np.float32)
+        for k, terms in enumerate(queries):
+            at = self.column[terms]
+            wanted[k, at[at >= 0]] = 1
+        out = wanted @ self.dense.T
+        for k, terms in enumerate(queries):
+            begin, end = self.start[terms], self.start[terms + 1]
+            some = end > begin
+            spans = [slice(a, b) for a, b in zip(begin[some].tolist(), end[some].tolist(), strict=True)]
+            if spans:
+                out[k] += np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.size)
+        return out
 
     def neighbours(self, seed: int, unused: np.ndarray) -> Iterator[int]:
         """Unused documents that share a term with the seed, by falling score, then by place."""
-        terms = self.terms[self.first[seed] : self.first[seed + 1]]
-        spans = [slice(a, b) for a, b in zip(self.start[terms].tolist(), self.start[terms + 1].tolist(), strict=True) if b - a > 1]
-        if not spans:
-            return
-        score = np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.size)
+        score = self.scores([self.terms_of(seed)])[0]
         score[~unused] = 0
         score[seed] = 0
         top = 16
-        if self.size > 4 * top:
+        while self.size > 4 * top:
             least = np.partition(score, -top)[-top]
-            if least > 0:
-                first = np.flatnonzero(score > least)
-                yield from first[np.lexsort((first, -score[first]))].tolist()
-                score[first] = 0
+            if least <= 0:
+                break
+            first = np.flatnonzero(score > least)
+            yield from first[np.lexsort((first, -score[first]))].tolist()
+            score[first] = 0
+            # Equal scores at the border come by place, so they need no sort.
+            for doc in np.flatnonzero(score == least):
+                score[doc] = 0
+                yield int(doc)
+            top *= 8
         found = np.flatnonzero(score > 0)
         yield from found[np.lexsort((found, -score[found]))].tolist()
 
@@ -249,7 +283,7 @@ def _powers(pieces: list[tuple[int, int, int, int, int]], fill: int, sequence: i
     return out
 
 
-def retrieval_pack(docs: DataFrame, window: int = WINDOW, shard_tokens: int = 3_000_000, stop_share: float = 0.1, path: str = DEFAULT_VOCABULARY) -> DataFrame:
+def retrieval_pack(docs: DataFrame, window: int = WINDOW, shard_tokens: int = 3_000_000, path: str = DEFAULT_VOCABULARY) -> DataFrame:
     """Pieces: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
     ship(spark)
@@ -263,7 +297,7 @@ def retrieval_pack(docs: DataFrame, window: int = WINDOW, shard_tokens: int = 3_
         group = group.combine_chunks().sort_by("row")
         shard = group["shard"][0].as_py()
         ids = [np.frombuffer(x, "<u2") for x in group["ids"].to_pylist()]
-        index = ShardIndex(ids, df, n_docs, mean_length, stop_share)
+        index = ShardIndex(ids, df, n_docs, mean_length)
         pieces = pack_shard(ids, index, window)
         doc, start, length, sequence, offset = (np.array(c, np.int64) for c in zip(*pieces, strict=True))
         return pa.Table.from_arrays(

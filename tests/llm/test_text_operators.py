@@ -112,6 +112,39 @@ def test_packing_follows_neighbours():
         assert len({p[0] % 4 for p in pieces if p[3] == sequence}) == 1
 
 
+def brute_scores(query, docs, df, n, mean):
+    """BM25 of each document for the distinct terms of query, from the formula."""
+    out = []
+    for d in docs:
+        tf = Counter(d.tolist())
+        out.append(sum(math.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * tf[t] * 2.2 / (tf[t] + 1.2 * (0.25 + 0.75 * len(d) / mean)) for t in set(query.tolist()) if t in tf))
+    return out
+
+
+@pytest.mark.parametrize("size", [12, 150])
+def test_scores_of_a_hot_group(size):
+    """A third of the rows are near copies: their terms count, and with the production parameters they find each other."""
+    rng = np.random.default_rng(size)
+    base = rng.integers(1000, 1200, 60)
+    docs = []
+    for k in range(size):
+        d = rng.integers(2000, 9000, 60) if k % 3 else base.copy()
+        d[:3] = rng.integers(9000, 9900, 3)
+        docs.append(np.append(d, 1).astype(np.uint16))
+    df = np.zeros(65536, np.int64)
+    for d in docs:
+        df[np.unique(d)] += 1
+    index = retrieval_pack.ShardIndex(docs, df, size, 61.0)
+    for seed in (0, 1, 3):
+        want = brute_scores(docs[seed], docs, df, size, 61.0)
+        assert np.allclose(index.scores([index.terms_of(seed)])[0], want, rtol=1e-4)
+        got = list(index.neighbours(seed, np.ones(size, bool)))
+        assert sorted(got) == [k for k in range(size) if k != seed]
+        assert all(want[a] >= want[b] - 1e-3 for a, b in zip(got, got[1:]))
+    near = list(index.neighbours(0, np.ones(size, bool)))[: size // 3 - 1]
+    assert all(k % 3 == 0 for k in near)
+
+
 def test_chunk_tokens_equal_library():
     known, rng = retrieval_pack.ChunkTokens(retrieval_pack.DEFAULT_VOCABULARY), np.random.default_rng(4)
     letters = [*"aAzZ019'strevml.,-_<|>!? \n\x0b\x1c\x1f\x85ßÉñİſΣσ中²½", "<|startoftext|>", "<|endoftext|>", "'re", "é"]
