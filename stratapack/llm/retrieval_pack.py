@@ -3,18 +3,18 @@
 Stage 1 tokenises every text where it lies and writes the ids (16 bits each, as the
 vocabulary has fewer than 65,536) once. Stage 2 counts, over all documents, in how many
 each vocabulary entry occurs; that table has one row per vocabulary entry whatever the
-corpus size, so the driver may hold it. Stage 3 deals the documents into shards of about
-`shard_tokens` tokens by a hash of their row number, which no hot source, text or id can
-unbalance. A shard holds an inverted index of its documents, weighted with the
-corpus-wide statistics, and packs them alone: the seed (what the last window left
-over, else the first unused document) opens a window, the index returns unused
-neighbours by falling BM25 score, and they fill the window in that order; the one that
-doesn't fit is cut and its rest is the next seed. So every window but a shard's last
-is full, and the last one is split into sequences whose lengths are powers of
-two, which need no padding.
-
-All terms count, whatever their document frequency: those that many documents of a
-shard hold are columns of a dense matrix, so their scores are a product of matrices;
+corpus size, so the driver may hold it. Stage 3 packs. A corpus of at most
+`shard_tokens` tokens has one index, weighted with the corpus-wide
+statistics: the seed (what the last window left over, else the first unused document)
+opens a window, the index returns unused neighbours by falling BM25 score, and they
+fill the window in that order; the one that doesn't fit is cut and its rest is the next
+seed. A larger corpus is packed in rounds (see `placed`), in each of which every open
+window is looked up in the indexes of all free documents, so the work grows with the
+square of the input. Every window is full but for less than one in all, and what is left is
+split into sequences whose lengths are powers of two, which need no padding.
+
+All terms count, whatever their document frequency: those that many documents of an
+index hold are columns of a dense matrix, so their scores are a product of matrices;
 the others have postings.
 
 Cases: a null or empty text is its closing id alone. Null doc_ids, repeated rows and
@@ -28,18 +28,19 @@ import os
 import re
 import sys
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratapack.llm.bpe_stream import printable_bytes
-from stratapack.llm.common import rows_of, shards_for, staged, table
+from stratapack.llm.common import drop_staged, rows_of, staged, table
 from stratapack.session import ship
 
 WINDOW = 2048
@@ -283,19 +284,193 @@ def _powers(pieces: list[tuple[int, int, int, int, int]], fill: int, sequence: i
     return out
 
 
+#: Documents of one index, open windows looked up by one job, neighbours that an index returns for a window.
+INDEX_DOCS, SEEDS, NEAREST = 32_768, 65_536, 16
+_BLOCK = 128
+
+
+def nearest(seeds: list[tuple[int, np.ndarray]], index: ShardIndex, idf: np.ndarray, rows: np.ndarray, count: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(seed, row, likeness) of the documents of the index that score highest for each seed; likeness is the score as a share of the seed's idf sum."""
+    count = min(count, index.size)
+    for k in range(0, len(seeds), _BLOCK):
+        block = seeds[k : k + _BLOCK]
+        score = index.scores([t for _, t in block]) / np.array([max(idf[t].sum(), 1e-30) for _, t in block], np.float32)[:, None]
+        best = np.argpartition(-score, count - 1, axis=1)[:, :count]
+        yield np.repeat([i for i, _ in block], count), rows[best.ravel()], np.take_along_axis(score, best, 1).ravel()
+
+
+def lookup(spark: SparkSession, free: DataFrame, seeds: DataFrame, idf: np.ndarray, make: Callable[[list[np.ndarray]], ShardIndex]) -> DataFrame:
+    """seed, row, likeness: every open window (key, ids) against every free document (row, ids), staged."""
+    parts = max(1, -(-free.count() // INDEX_DOCS))
+    free = free.select("row", "ids").repartition(parts, "row")
+    groups = max(1, -(-seeds.count() // SEEDS))
+    seeds = seeds.withColumn("group", F.pmod(F.xxhash64("key"), F.lit(groups)))
+    found = []
+    for g in range(groups):
+        mine = seeds.filter(F.col("group") == g).select("key", "ids").mapInArrow(_distinct, "key long, ids binary").collect()
+        sent = spark.sparkContext.broadcast([(k, bytes(t)) for k, t in mine])
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            wanted = [(k, np.frombuffer(t, "<u2")) for k, t in sent.value]
+            held: list[tuple[int, np.ndarray]] = []
+
+            def answer() -> Iterator[pa.RecordBatch]:
+                rows = np.array([r for r, _ in held], np.int64)
+                for seed, row, like in nearest(wanted, make([t for _, t in held]), idf, rows, NEAREST):
+                    yield pa.RecordBatch.from_arrays([pa.array(seed, pa.int64()), pa.array(row, pa.int64()), pa.array(like, pa.float32())], ["seed", "row", "likeness"])
+
+            for batch in batches:
+                for row, ids in rows_of(batch):
+                    held.append((row, np.frombuffer(ids, "<u2")))
+                    if len(held) == INDEX_DOCS:
+                        yield from answer()
+                        held.clear()
+            if held:
+                yield from answer()
+
+        if mine:
+            found.append(staged(free.mapInArrow(run, "seed long, row long, likeness float"), "pack-nearest"))
+        sent.unpersist()
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(k, np.unique(np.frombuffer(t, "<u2")).tobytes()) for k, t in rows_of(batch)]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([t for _, t in rows], pa.binary())], ["key", "ids"])
+
+
+def pack_rest(docs: list[np.ndarray], start: list[int], free: list[int], opened: list[tuple[int, int, int]], index: ShardIndex, window: int) -> list[tuple[int, int, int, int, int]]:
+    """Pieces (doc, start, length, key, offset): open windows (doc, key, fill) in order take free documents, whose rests stay free."""
+    start, unused = list(start), np.zeros(len(docs), bool)
+    unused[free] = True
+    pieces = []
+    for seed, key, fill in opened:
+        for doc in index.neighbours(seed, unused):
+            take = min(window - fill, len(docs[doc]) - start[doc])
+            pieces.append((doc, start[doc], take, key, fill))
+            fill, start[doc] = fill + take, start[doc] + take
+            unused[doc] = start[doc] < len(docs[doc])
+            if fill == window:
+                break
+    assert not unused.any()
+    return pieces
+
+
+def placed(tokens: DataFrame, df: np.ndarray, n_docs: int, n_tokens: int, window: int, alone: int) -> DataFrame:
+    """Pieces (row, start, length, key, offset) of a corpus of more than `alone` tokens; key is the place of a sequence's first token.
+
+    A document's full windows are its own. What is left of it opens a window or is free; windows open
+    for all that is left, so they and the free parts fit but for less than a window. In each round every
+    open window looks up its nearest free parts in the indexes of all of them, each part goes to the
+    window that it is most like, and windows take theirs by falling score; the part that doesn't
+    fit is cut and its rest is free again. When at most `alone` tokens are free, one task ends the work.
+    """
+    spark = tokens.sparkSession
+    mean = max(1.0, n_tokens / max(1, n_docs))
+    idf = np.log1p((n_docs - df + 0.5) / (df + 0.5))
+    make = lambda docs: ShardIndex(docs, df, n_docs, mean)
+    n = F.floor(F.octet_length("ids") / 2).cast("long")
+    full = tokens.select("row", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(n / window).cast("long"))).alias("k"), n.alias("n")).filter(f"(k + 1) * {window} <= n")
+    pieces = [full.select("row", (F.col("k") * window).alias("start"), F.lit(window).cast("long").alias("length"), (F.col("row") + F.col("k") * window).alias("key"), F.lit(0).cast("long").alias("offset"))]
+    left = tokens.select("row", "ids", (F.floor(n / window) * window).cast("long").alias("start"), n.alias("n")).filter("start < n")
+    # One window for each `window` tokens left: the longest parts open them, by the histogram of their lengths.
+    sizes = dict(left.groupBy((F.col("n") - F.col("start")).alias("l")).count().collect())
+    windows, border = -(-sum(k * v for k, v in sizes.items()) // window), 0
+    for border in sorted(sizes, reverse=True):
+        if sizes[border] > windows:
+            break
+        windows -= sizes[border]
+    else:
+        border, windows = 0, 0
+    length = F.col("n") - F.col("start")
+    tie = [r["row"] for r in left.filter(length == border).select("row").orderBy(F.xxhash64("row"), "row").limit(windows).collect()] if windows else []
+    picked = spark.createDataFrame([(r,) for r in tie], "row long").withColumn("first", F.lit(True))
+    left = left.join(F.broadcast(picked), "row", "left").withColumn("open", (length > border) | F.coalesce("first", F.lit(False)))
+    state = left.select("row", "ids", "start", "n", "open", F.when(F.col("open"), F.col("row") + F.col("start")).alias("key"), F.when(F.col("open"), length).otherwise(F.lit(0)).cast("long").alias("fill"))
+    state = staged(state, "pack-state")
+    pieces.append(state.filter("open").select("row", "start", F.col("fill").alias("length"), "key", F.lit(0).cast("long").alias("offset")))
+    while state.filter("NOT open").agg(F.coalesce(F.sum(length), F.lit(0))).first()[0] > alone:
+        seeds, free = state.filter("open"), state.filter("NOT open")
+        near = lookup(spark, free, seeds.select("key", "ids"), idf, make)
+        best = near.groupBy("row").agg(F.max(F.struct("likeness", (-F.col("seed")).alias("key"))).alias("b")).select("row", F.col("b.likeness").alias("likeness"), (-F.col("b.key")).alias("key"))
+        own = best.join(free.select("row", "start", "n"), "row").join(seeds.select("key", "fill"), "key")
+        order = Window.partitionBy("key").orderBy(F.desc("likeness"), "row").rowsBetween(Window.unboundedPreceding, -1)
+        own = own.withColumn("offset", (F.col("fill") + F.coalesce(F.sum(length).over(order), F.lit(0))).cast("long")).filter(F.col("offset") < window)
+        taken = staged(own.select("row", "start", F.least(length, F.lit(window) - F.col("offset")).cast("long").alias("length"), "key", "offset"), "pack-taken")
+        drop_staged(near)
+        pieces.append(taken)
+        used = taken.select("row", F.col("length").alias("used"))
+        grown = taken.groupBy("key").agg(F.sum("length").alias("more"))
+        free = free.join(used, "row", "left").withColumn("start", F.col("start") + F.coalesce("used", F.lit(0))).filter("start < n").drop("used")
+        seeds = seeds.join(grown, "key", "left").withColumn("fill", F.col("fill") + F.coalesce("more", F.lit(0))).filter(F.col("fill") < window).drop("more")
+        before, state = state, staged(free.unionByName(seeds), "pack-state")
+        if len(pieces) > 3:
+            drop_staged(before)
+
+    def finish(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: (r["row"], r["start"], r["open"]))
+        docs = [np.frombuffer(r["ids"], "<u2") for r in rows]
+        opened = [(k, r["key"], r["fill"]) for k, r in enumerate(rows) if r["open"]]
+        free = [k for k, r in enumerate(rows) if not r["open"]]
+        found = pack_rest(docs, [r["start"] for r in rows], free, opened, make(docs), window)
+        out = [(rows[d]["row"], *p) for d, *p in found]
+        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 5)], ["row", "start", "length", "key", "offset"])
+
+    pieces.append(staged(state.groupBy(F.lit(0).alias("all")).applyInArrow(lambda t: finish(t.drop_columns(["all"]) if "all" in t.column_names else t), "row long, start long, length long, key long, offset long"), "pack-rest"))
+    out = pieces[0]
+    for more in pieces[1:]:
+        out = out.unionByName(more)
+    # Windows that stay open hold less than one window's room together; their tokens go to sequences of powers of two.
+    fills = state.filter("open").select("key", "fill").join(pieces[-1].groupBy("key").agg(F.sum("length").alias("more")), "key", "left")
+    short = [r["key"] for r in fills.filter(F.col("fill") + F.coalesce("more", F.lit(0)) < window).collect()]
+    if not short:
+        return out
+    cut = []
+    for key in short:
+        own = sorted((tuple(r) for r in out.filter(F.col("key") == key).collect()), key=lambda p: p[4])
+        firsts: dict[int, int] = {}
+        for row, start, size, sequence, offset in _powers(own, sum(p[2] for p in own), 0):
+            cut.append((row, start, size, firsts.setdefault(sequence, row + start), offset))
+    return out.filter(~F.col("key").isin(short)).unionByName(spark.createDataFrame(cut, out.schema))
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, ids, row: the place of a document's first token, so that a token's place names it and what it opens."""
+    at = TaskContext.get().partitionId() << 40
+    for batch in batches:
+        places = []
+        for (ids,) in rows_of(batch.select(["ids"])):
+            places.append(at)
+            at += len(ids) // 2
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["ids"], pa.array(places, pa.int64())], ["doc_id", "ids", "row"])
+
+
 def retrieval_pack(docs: DataFrame, window: int = WINDOW, shard_tokens: int = 3_000_000, path: str = DEFAULT_VOCABULARY) -> DataFrame:
     """Pieces: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
     ship(spark)
-    tokens = staged(tokenised(docs, path).withColumn("row", F.monotonically_increasing_id()), "pack-tokens")
+    tokens = staged(tokenised(docs, path).mapInArrow(_numbered, "doc_id long, ids binary, row long"), "pack-tokens")
     n_docs, n_tokens = tokens.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("ids")) / 2, F.lit(0))).first()
     df = token_df(tokens)
-    shards = shards_for(n_tokens, shard_tokens)
     mean_length = max(1.0, n_tokens / max(1, n_docs))
+    if n_tokens > shard_tokens:
+        found = placed(tokens, df, n_docs, int(n_tokens), window, shard_tokens).join(tokens, "row")
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = [np.frombuffer(t, "<u2")[a : a + k].astype("<u4").tobytes() for t, a, k in rows_of(batch.select(["ids", "start", "length"]))]
+                columns = [pa.array(ids, pa.binary()) if c == "ids" else batch[c] for c in batch.schema.names]
+                yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+        found = found.select("doc_id", "start", "length", "ids", F.floor(F.octet_length("ids") / 2).cast("long").alias("doc_tokens"), F.col("key").alias("sequence_id"), "offset")
+        return found.mapInArrow(cut, _PIECES)
 
     def pack(group: pa.Table) -> pa.Table:
         group = group.combine_chunks().sort_by("row")
-        shard = group["shard"][0].as_py()
         ids = [np.frombuffer(x, "<u2") for x in group["ids"].to_pylist()]
         index = ShardIndex(ids, df, n_docs, mean_length)
         pieces = pack_shard(ids, index, window)
@@ -304,13 +479,12 @@ def retrieval_pack(docs: DataFrame, window: int = WINDOW, shard_tokens: int = 3_
             [
                 group["doc_id"].combine_chunks().take(pa.array(doc)), pa.array(start), pa.array(length),
                 pa.array([ids[d][a : a + n].astype("<u4").tobytes() for d, a, n, _, _ in pieces], pa.binary()),
-                pa.array(np.array([len(x) for x in ids], np.int64)[doc]), pa.array((shard << 32) + sequence), pa.array(offset),
+                pa.array(np.array([len(x) for x in ids], np.int64)[doc]), pa.array(sequence), pa.array(offset),
             ],
             ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
         )
 
-    dealt = tokens.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInArrow(pack, _PIECES)
+    return tokens.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(pack, _PIECES)
 
 
 def op1_retrieval_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

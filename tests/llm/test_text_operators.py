@@ -98,6 +98,40 @@ def test_packing(spark):
     assert retrieval_pack.retrieval_pack(frame(spark).limit(0)).count() == 0
 
 
+def test_lookup_searches_all_documents(spark, monkeypatch):
+    """With many indexes and groups of windows, each window still gets the documents that brute force ranks first."""
+    monkeypatch.setattr(retrieval_pack, "INDEX_DOCS", 7)
+    monkeypatch.setattr(retrieval_pack, "SEEDS", 9)
+    rng = np.random.default_rng(3)
+    docs = [np.append(rng.zipf(1.3, 50) % 4000 + 2, 1).astype(np.uint16) for _ in range(60)]
+    df = np.zeros(65536, np.int64)
+    for d in docs:
+        df[np.unique(d)] += 1
+    rows = spark.createDataFrame([(k, bytearray(d.tobytes())) for k, d in enumerate(docs)], "row long, ids binary")
+    idf = np.log1p((60 - df + 0.5) / (df + 0.5))
+    found = retrieval_pack.lookup(spark, rows.filter("row >= 20"), rows.filter("row < 20").withColumnRenamed("row", "key"), idf, lambda d: retrieval_pack.ShardIndex(d, df, 60, 51.0)).collect()
+    for seed in range(20):
+        want = brute_scores(docs[seed], docs, df, 60, 51.0)
+        first = sorted((r for r in found if r["seed"] == seed), key=lambda r: -r["likeness"])[:5]
+        assert np.allclose([want[r["row"]] for r in first], sorted(want[20:], reverse=True)[:5], rtol=1e-4)
+
+
+def test_packing_over_many_indexes(spark, monkeypatch):
+    """Rounds over many indexes lose no token, and the few texts of a topic meet wherever their rows are."""
+    monkeypatch.setattr(retrieval_pack, "INDEX_DOCS", 16)
+    words = sorted(w for w in WORD.get_vocab() if w.isascii() and w.isalpha() and len(w) > 3)
+    rng = np.random.default_rng(5)
+    texts = [" ".join(words[100 * (k % 40) + j] for j in rng.integers(0, 100, 25)) for k in range(160)]
+    rows = retrieval_pack.retrieval_pack(frame(spark, list(enumerate(texts))), window=128, shard_tokens=1000).collect()
+    pieces_checked(rows, texts, 128)
+    windows = {}
+    for r in rows:
+        windows.setdefault(r["sequence_id"], []).append(r["doc_id"] % 40)
+    alike = sum(max(Counter(w).values()) > 1 for w in windows.values() if len(w) > 1)
+    # Windows of random documents would hold two of a topic in about one case of ten.
+    assert alike > 0.5 * sum(len(w) > 1 for w in windows.values())
+
+
 def test_packing_follows_neighbours():
     """A seed's window is filled by documents that share its rare terms before others."""
     rng = np.random.default_rng(0)
