@@ -494,7 +494,7 @@ FROM (SELECT doc_id, lang, source, CAST(octet_length(encode(coalesce(text, '')))
 """)
 def human_sizes(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.octet_length(utf8("text")).cast("long").alias("n"))
-    return rows.filter("n < 1048576").select("doc_id", relational.human_bytes(F.col("n")).alias("size"), relational.run_file_name(F.lit("r"), F.col("lang"), F.col("source")).alias("file"))
+    return rows.select("doc_id", relational.human_bytes(F.col("n")).alias("size"), relational.run_file_name(F.lit("r"), F.col("lang"), F.col("source")).alias("file"))
 
 
 @query("SELECT o_orderkey, xor(o_orderkey, 2863311530) AS flipped FROM orders")

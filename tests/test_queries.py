@@ -79,3 +79,9 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_human_sizes_of_long_texts(spark, tmp_path):
+    rows = [(1, "x" * (1 << 20), "en", "web"), (2, "x" * 1572864, "en", "web"), (3, None, "en", "web")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r["doc_id"]: r["size"] for r in QUERIES["human_sizes"](spark, str(tmp_path)).collect()} == {1: "1 MiB", 2: "1.5 MiB", 3: "0 B"}
