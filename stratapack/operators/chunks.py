@@ -85,3 +85,9 @@ def summary(chunks: DataFrame) -> DataFrame:
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seen", F.concat_ws(" ", "filter", F.col("c").cast("string")).alias("t")))), lambda x: x["t"]), ", ").alias("filters"),
     )
     return out.withColumn("ratio", F.round(F.col("original") / F.col("compressed"), 4))
+
+
+def with_empty(files: DataFrame, summaries: DataFrame) -> DataFrame:
+    """summary() of all files: one without chunks is a header of 32 bytes."""
+    whole = files.select("file_id").join(summaries, "file_id", "left")
+    return whole.fillna({"chunks": 0, "stored": 0, "original": 0, "compressed": 32, "filters": "", "ratio": 0.0})

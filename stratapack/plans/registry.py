@@ -206,7 +206,8 @@ SELECT CAST(doc_id AS VARCHAR) AS file_id, (n + 4095) // 4096 AS chunks, (n + 40
 FROM (SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents) WHERE n > 0
 """)
 def container_info(spark, sf_dir):
-    return chunks.summary(container.compress(documents(spark, sf_dir), Options(codec="stored", chunk_size=CHUNK)))
+    files = documents(spark, sf_dir)
+    return chunks.with_empty(files, chunks.summary(container.compress(files, Options(codec="stored", chunk_size=CHUNK))))
 
 
 @query("""

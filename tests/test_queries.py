@@ -85,3 +85,9 @@ def test_human_sizes_of_long_texts(spark, tmp_path):
     rows = [(1, "x" * (1 << 20), "en", "web"), (2, "x" * 1572864, "en", "web"), (3, None, "en", "web")]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     assert {r["doc_id"]: r["size"] for r in QUERIES["human_sizes"](spark, str(tmp_path)).collect()} == {1: "1 MiB", 2: "1.5 MiB", 3: "0 B"}
+
+
+def test_container_info_of_empty_files(spark, tmp_path):
+    spark.createDataFrame([(1, None), (2, ""), (3, "abcde")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r["file_id"]: tuple(r[c] for c in ("chunks", "stored", "original", "compressed", "filters", "ratio")) for r in QUERIES["container_info"](spark, str(tmp_path)).collect()}
+    assert found == {"1": (0, 0, 0, 32, "", 0.0), "2": (0, 0, 0, 32, "", 0.0), "3": (1, 1, 5, 64, "none 1", 0.0781)}
