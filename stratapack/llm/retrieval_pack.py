@@ -290,18 +290,26 @@ _BLOCK = 128
 
 
 def nearest(seeds: list[tuple[int, np.ndarray]], index: ShardIndex, idf: np.ndarray, rows: np.ndarray, count: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(seed, row, likeness) of the documents of the index that score highest for each seed; likeness is the score as a share of the seed's idf sum."""
+    """(seed, row, likeness) of the documents of the index that score highest for each seed; likeness is the score as a share of the seed's idf sum.
+    Each document's best seed follows, so that those in no seed's list find a window too."""
     count = min(count, index.size)
+    most, at = np.full(index.size, -1.0, np.float32), np.zeros(index.size, np.int64)
     for k in range(0, len(seeds), _BLOCK):
         block = seeds[k : k + _BLOCK]
         score = index.scores([t for _, t in block]) / np.array([max(idf[t].sum(), 1e-30) for _, t in block], np.float32)[:, None]
         best = np.argpartition(-score, count - 1, axis=1)[:, :count]
         yield np.repeat([i for i, _ in block], count), rows[best.ravel()], np.take_along_axis(score, best, 1).ravel()
+        top = score.argmax(axis=0)
+        high = score[top, np.arange(index.size)]
+        at[high > most] = k + top[high > most]
+        most = np.maximum(most, high)
+    yield np.array([i for i, _ in seeds])[at], rows, most
 
 
-def lookup(spark: SparkSession, free: DataFrame, seeds: DataFrame, idf: np.ndarray, make: Callable[[list[np.ndarray]], ShardIndex]) -> DataFrame:
+def lookup(spark: SparkSession, free: DataFrame, seeds: DataFrame, idf: np.ndarray, make: Callable[[list[np.ndarray]], ShardIndex], count: int = NEAREST) -> DataFrame:
     """seed, row, likeness: every open window (key, ids) against every free document (row, ids), staged."""
-    parts = max(1, -(-free.count() // INDEX_DOCS))
+    docs = free.count()
+    parts = max(-(-docs // INDEX_DOCS), min(spark.sparkContext.defaultParallelism, -(-docs // 2048)))
     free = free.select("row", "ids").repartition(parts, "row")
     groups = max(1, -(-seeds.count() // SEEDS))
     seeds = seeds.withColumn("group", F.pmod(F.xxhash64("key"), F.lit(groups)))
@@ -316,7 +324,7 @@ def lookup(spark: SparkSession, free: DataFrame, seeds: DataFrame, idf: np.ndarr
 
             def answer() -> Iterator[pa.RecordBatch]:
                 rows = np.array([r for r, _ in held], np.int64)
-                for seed, row, like in nearest(wanted, make([t for _, t in held]), idf, rows, NEAREST):
+                for seed, row, like in nearest(wanted, make([t for _, t in held]), idf, rows, count):
                     yield pa.RecordBatch.from_arrays([pa.array(seed, pa.int64()), pa.array(row, pa.int64()), pa.array(like, pa.float32())], ["seed", "row", "likeness"])
 
             for batch in batches:
@@ -393,9 +401,12 @@ def placed(tokens: DataFrame, df: np.ndarray, n_docs: int, n_tokens: int, window
     state = left.select("row", "ids", "start", "n", "open", F.when(F.col("open"), F.col("row") + F.col("start")).alias("key"), F.when(F.col("open"), length).otherwise(F.lit(0)).cast("long").alias("fill"))
     state = staged(state, "pack-state")
     pieces.append(state.filter("open").select("row", "start", F.col("fill").alias("length"), "key", F.lit(0).cast("long").alias("offset")))
+    count = NEAREST
     while state.filter("NOT open").agg(F.coalesce(F.sum(length), F.lit(0))).first()[0] > alone:
         seeds, free = state.filter("open"), state.filter("NOT open")
-        near = lookup(spark, free, seeds.select("key", "ids"), idf, make)
+        near = lookup(spark, free, seeds.select("key", "ids"), idf, make, count)
+        # Documents that many windows want are in all lists at first, so later rounds look further.
+        count = min(2 * count, 1024)
         best = near.groupBy("row").agg(F.max(F.struct("likeness", (-F.col("seed")).alias("key"))).alias("b")).select("row", F.col("b.likeness").alias("likeness"), (-F.col("b.key")).alias("key"))
         own = best.join(free.select("row", "start", "n"), "row").join(seeds.select("key", "fill"), "key")
         order = Window.partitionBy("key").orderBy(F.desc("likeness"), "row").rowsBetween(Window.unboundedPreceding, -1)
