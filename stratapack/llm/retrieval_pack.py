@@ -1,21 +1,23 @@
-"""Lexical retrieval packing: each seed's window is filled by its BM25 neighbours.
+"""Lexical retrieval packing: each seed's window is filled by its unused BM25 neighbours.
 
 Stage 1 tokenises every text where it lies and writes the ids (16 bits each, as the
 vocabulary has fewer than 65,536) once. Stage 2 counts, over all documents, in how many
-each vocabulary entry occurs; that table has one row per vocabulary entry whatever the
-corpus size, so the driver may hold it. Stage 3 packs. A corpus of at most
-`shard_tokens` tokens has one index, weighted with the corpus-wide
-statistics: the seed (what the last window left over, else the first unused document)
-opens a window, the index returns unused neighbours by falling BM25 score, and they
-fill the window in that order; the one that doesn't fit is cut and its rest is the next
-seed. A larger corpus is packed in rounds (see `placed`), in each of which every open
-window is looked up in the indexes of all free documents, so the work grows with the
-square of the input. Every window is full but for less than one in all, and what is left is
-split into sequences whose lengths are powers of two, which need no padding.
-
-All terms count, whatever their document frequency: those that many documents of an
-index hold are columns of a dense matrix, so their scores are a product of matrices;
-the others have postings.
+each vocabulary entry occurs: one row per entry whatever the corpus size. Stage 3 routes every
+document to a shard of the index by its content. A tree of centroids (two levels of at most 32), fitted on
+about `SAMPLE` documents that a hash picks, gives each document a leaf; inside a leaf, a MinHash
+of its token 4-grams gives one of 64 cells. Leaves are numbered so that like ones are neighbours, and runs of
+cells of about `shard_tokens` tokens are the shards; a cell of more is dealt to several shards by
+a hash of the row, so that no group of copies, however large, makes a hot shard. Stage 4
+packs each shard: its inverted index, weighted with corpus-wide statistics, returns the
+seed's unused neighbours by falling BM25 score, and they fill the window in that order;
+the one that doesn't fit is cut and its rest is the next seed. What doesn't
+fill a shard's last window is split into sequences whose lengths are powers of two, so nothing is padded.
+
+All terms count, whatever their document frequency, and a seed's neighbours are searched among all
+unused documents of its shard: those that many documents hold have a weight for every document, the others
+have postings. A corpus of at most `shard_tokens` tokens is one shard. Of a larger one, a neighbour in
+another shard is out of reach: work grows in proportion to the input, and recall depends on how well
+content tells shards apart (measured in the README).
 
 Cases: a null or empty text is its closing id alone. Null doc_ids, repeated rows and
 repeated ids are packed row by row. An empty table gives an empty result. Long
@@ -24,117 +26,48 @@ texts are cut at window borders, never shortened. Only doc_id and text are read.
 
 from __future__ import annotations
 
-import os
-import re
-import sys
-from array import array
-from collections.abc import Callable, Iterator
-from functools import lru_cache
+from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratapack.llm.bpe_stream import printable_bytes
 from stratapack.llm.common import drop_staged, rows_of, staged, table
+from stratapack.llm.word_bpe import word_bpe
 from stratapack.session import ship
 
 WINDOW = 2048
 END = 1
 DEFAULT_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+SHARD_TOKENS = 8_000_000
+#: Documents that the routing tree is fitted on, about; its columns, branches of a node, and cells of a leaf.
+SAMPLE, COLUMNS, BRANCHES, CELLS = 8192, 2048, 32, 64
 _PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
-class ChunkTokens(dict):
-    """White-space-free chunk -> its ids as 16-bit bytes. The vocabulary drops white space and
-    no rule of it looks across, so a text's ids are its chunks' ids in a row.
-
-    A chunk of characters below U+0250 is in normal form already and lower-cases letter by letter, so
-    it is cut by the pre-token pattern here, and each new word goes straight to the merge model;
-    other chunks, and those that may hold a special token, go through the whole
-    tokenizer. Both memos are cleared when full.
-    """
-
-    ENTRIES = 600_000
-    #: Fixed value of the vocabulary: its pre-token pattern.
-    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
-
-    def __init__(self, path: str):
-        super().__init__()
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.model = self.tokenizer.model
-        assert self.tokenizer.get_vocab_size() <= 65536
-        self.cut = regex.compile(self.PATTERN).findall
-        self.plain = re.compile("[^<\u0250-\U0010ffff]+").fullmatch
-        self.letters = {b: c for c, b in printable_bytes().items()}
-        self.words: dict[str, bytes] = {}
-
-    def _word(self, word: str) -> bytes:
-        # Printable ASCII stands for itself in the vocabulary.
-        shown = word if word.isascii() and word.isprintable() else "".join(map(self.letters.__getitem__, word.encode("utf-8", "surrogatepass")))
-        ids = array("H", [t.id for t in self.model.tokenize(shown)])
-        if sys.byteorder != "little":
-            ids.byteswap()
-        found = self.words[word] = ids.tobytes()
-        return found
-
-    def learn(self, chunks: set[str]) -> None:
-        if len(self) + len(chunks) > self.ENTRIES:
-            self.clear()
-        if len(self.words) + len(chunks) > self.ENTRIES:
-            self.words.clear()
-        get, cut, plain, word = self.words.get, self.cut, self.plain, self._word
-        for c in chunks:
-            if plain(c):
-                parts = cut(c.lower())
-                if len(parts) == 1:
-                    self[c] = get(parts[0]) or word(parts[0])
-                else:
-                    self[c] = b"".join([get(w) or word(w) for w in parts])
-            else:
-                self[c] = np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u2").tobytes()
-
-
-#: str.split() also cuts at these, which the vocabulary's pattern doesn't count as white space.
-_ODD = re.compile("[\x1c-\x1f]")
-_SAFE = re.compile("[ \n\t]+")
-
-
-def chunks_of(text: str) -> list[str]:
-    return [c for c in _SAFE.split(text) if c] if _ODD.search(text) else text.split()
-
-
-@lru_cache(maxsize=1)
-def _chunk_tokens(path: str) -> ChunkTokens:
-    return ChunkTokens(path)
-
-
-def tokenised(docs: DataFrame, path: str = DEFAULT_VOCABULARY) -> DataFrame:
-    """doc_id, ids (little-endian unsigned 16-bit, closed by id 1): one row per row of docs."""
+def tokenised(docs: DataFrame, path: str = DEFAULT_VOCABULARY, slice_rows: int = 2048) -> DataFrame:
+    """doc_id, ids (little-endian unsigned 16-bit, closed by id 1), row (the place of its first token, unique): one row per row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _chunk_tokens(path)
-        end = END.to_bytes(2, "little")
+        known, row = word_bpe(path), TaskContext.get().partitionId() << 40
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                rows = [(i, chunks_of(t or "")) for i, t in rows_of(batch.slice(k, 512))]
-                here = set().union(*(c for _, c in rows))
-                if len(known) + len(here) > known.ENTRIES:
-                    known.clear()
-                known.learn({c for c in here if c not in known})
-                out = [b"".join(map(known.__getitem__, c)) + end for _, c in rows]
-                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array(out, pa.binary())], ["doc_id", "ids"])
+            for k in range(0, batch.num_rows, slice_rows):
+                part = batch.slice(k, slice_rows)
+                ids, ends = known.encode(part.column(1), END)
+                offsets = np.concatenate([[0], 2 * ends])
+                held = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(ids, "<u2"))])
+                places = row + offsets[:-1] // 2
+                row += len(ids)
+                yield pa.RecordBatch.from_arrays([part.column(0), held.cast(pa.binary()), pa.array(places, pa.int64())], ["doc_id", "ids", "row"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary, row long")
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
+
+def _ids(cell: bytes) -> np.ndarray:
+    return np.frombuffer(cell, "<u2")
 
 
 def token_df(tokens: DataFrame) -> np.ndarray:
@@ -143,10 +76,9 @@ def token_df(tokens: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(65536, np.int64)
         for batch in batches:
-            for (ids,) in rows_of(batch):
-                seen = np.zeros(65536, bool)
-                seen[np.frombuffer(ids, "<u2")] = True
-                total += seen
+            for k in range(0, batch.num_rows, 512):
+                own = [np.unique(_ids(x)) for x in batch.column(0).slice(k, 512).to_pylist()]
+                total += np.bincount(np.concatenate(own), minlength=65536)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["token", "n"])
 
@@ -157,89 +89,172 @@ def token_df(tokens: DataFrame) -> np.ndarray:
     return df
 
 
+def inverse_df(df: np.ndarray, n_docs: int) -> np.ndarray:
+    return np.log1p((n_docs - df + 0.5) / (df + 0.5))
+
+
+class Router:
+    """A document's cell: a leaf of a tree of centroids, fitted on a sample, then a MinHash of its token 4-grams."""
+
+    def __init__(self, df: np.ndarray, n_docs: int):
+        self.idf = inverse_df(df, n_docs)
+        worth = df * self.idf**2
+        top = np.sort(np.argsort(-worth, kind="stable")[:COLUMNS])
+        top = top[df[top] > 1]
+        self.column = np.full(65536, -1)
+        self.column[top] = np.arange(len(top))
+        self.weight = self.idf[top].astype(np.float32)
+        self.roots = np.zeros((1, len(top)), np.float32)
+        self.leaves = [self.roots]
+
+    def vectors(self, docs: list[np.ndarray]) -> np.ndarray:
+        """One row of unit length for each document: damped counts times idf."""
+        out = np.zeros((len(docs), len(self.weight)), np.float32)
+        for k, ids in enumerate(docs):
+            at = self.column[ids]
+            n = np.bincount(at[at >= 0], minlength=len(self.weight))
+            out[k] = np.log1p(n)
+        out *= self.weight
+        norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
+        return out / np.maximum(norm, 1e-9)
+
+    def fit(self, sample: np.ndarray) -> None:
+        """sample: vectors."""
+        if len(sample):
+            self.roots = centroids(sample, min(BRANCHES, max(1, len(sample) // 8)))
+            near = (sample @ self.roots.T).argmax(axis=1)
+            self.leaves = [centroids(sample[near == k], min(BRANCHES, max(1, int((near == k).sum()) // 8))) for k in range(len(self.roots))]
+
+    def cells(self, docs: list[np.ndarray]) -> np.ndarray:
+        x = self.vectors(docs)
+        root = (x @ self.roots.T).argmax(axis=1)
+        leaf = np.zeros(len(docs), np.int64)
+        for k in np.unique(root):
+            mine = root == k
+            leaf[mine] = (x[mine] @ self.leaves[k].T).argmax(axis=1)
+        return (root * BRANCHES + leaf) * CELLS + np.array([_sketch(d) for d in docs], np.int64) % CELLS
+
+
+def _sketch(ids: np.ndarray) -> int:
+    """The smallest hash of the token 4-grams, mixed."""
+    x = ids.astype(np.uint32)
+    n = min(4, len(x))
+    h = np.zeros(len(x) - n + 1, np.uint32)
+    for k in range(n):
+        h = (h ^ x[k : len(x) - n + 1 + k]) * np.uint32(0x9E3779B1)
+        h ^= h >> np.uint32(15)
+    return (int(h.min()) * 0x85EBCA6B & 0xFFFFFFFF) >> 11 if len(h) else 0
+
+
+def centroids(rows: np.ndarray, count: int, rounds: int = 8) -> np.ndarray:
+    """Spherical k-means from spread starting rows; in an order in which each centroid follows the one that it is most like."""
+    if not len(rows):
+        return np.zeros((1, rows.shape[1]), np.float32)
+    rng = np.random.default_rng(20240229)
+    centre = rows[rng.permutation(len(rows))[:count]].copy()
+    for _ in range(rounds):
+        near = (rows @ centre.T).argmax(axis=1)
+        for k in range(len(centre)):
+            own = rows[near == k].sum(axis=0)
+            size = np.sqrt((own * own).sum())
+            if size:
+                centre[k] = own / size
+    like, left, order = centre @ centre.T, set(range(1, len(centre))), [0]
+    while left:
+        order.append(max(left, key=lambda k: (like[order[-1], k], -k)))
+        left.remove(order[-1])
+    return centre[order]
+
+
 class ShardIndex:
-    """BM25 weights of some documents: terms in many of them as columns of a dense matrix, the others as postings."""
+    """BM25 weights of some documents: terms in many of them as one array over all documents each, the others as postings."""
 
-    #: A term in over 1 / DENSE of the documents is a column; at most COLUMNS are, the most frequent.
-    DENSE, COLUMNS = 8, 1024
+    #: A term in over 1 / DENSE of the documents has an array; at most WIDTH have, the most frequent.
+    DENSE, WIDTH = 8, 1024
 
-    def __init__(self, docs: list[np.ndarray], df: np.ndarray, n_docs: int, mean_length: float, stop_share: float = 1.0, k1: float = 1.2, b: float = 0.75):
+    def __init__(self, docs: list[np.ndarray], df: np.ndarray, n_docs: int, mean_length: float, k1: float = 1.2, b: float = 0.75):
+        own = [np.unique(d, return_counts=True) for d in docs]
+        sizes = np.array([len(t) for t, _ in own], np.int64)
+        doc = np.repeat(np.arange(len(docs), dtype=np.int32), sizes)
+        token, tf = np.concatenate([t for t, _ in own]).astype(np.int32), np.concatenate([n for _, n in own])
         lengths = np.array([len(d) for d in docs])
-        key = np.repeat(np.arange(len(docs), dtype=np.uint64), lengths) << np.uint64(16) | np.concatenate(docs).astype(np.uint64)
-        key, tf = np.unique(key, return_counts=True)
-        doc, token = (key >> np.uint64(16)).astype(np.int64), (key & np.uint64(65535)).astype(np.int64)
-        use = df[token] <= max(1, stop_share * n_docs)
-        doc, token, tf = doc[use], token[use], tf[use]
-        idf = np.log1p((n_docs - df + 0.5) / (df + 0.5))
-        weight = idf[token] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[doc] / mean_length))
-        self.size = len(docs)
-        #: The terms of each document.
-        self.terms, self.first = token, np.searchsorted(doc, np.arange(len(docs) + 1))
+        #: The distinct terms of each document.
+        self.terms = [t for t, _ in own]
+        weight = (inverse_df(df, n_docs)[token] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[doc] / mean_length))).astype(np.float32)
         held = np.bincount(token, minlength=65536)
-        common = np.argsort(-held, kind="stable")[: self.COLUMNS]
-        common = common[held[common] > self.size / self.DENSE] if self.size > 64 else common[:0]
-        self.column = np.full(65536, -1)
-        self.column[common] = np.arange(len(common))
+        common = np.argsort(-held, kind="stable")[: self.WIDTH]
+        common = common[held[common] > len(docs) / self.DENSE] if len(docs) > 64 else common[:0]
+        self.column = np.full(65536, -1, np.int32)
+        self.column[common] = np.arange(len(common), dtype=np.int32)
         at = self.column[token]
-        self.dense = np.zeros((self.size, len(common)), np.float32)
-        self.dense[doc[at >= 0], at[at >= 0]] = weight[at >= 0]
-        doc, token, weight = doc[at < 0], token[at < 0], weight[at < 0]
-        #: The postings of each other term.
-        order = np.argsort(token, kind="stable")
-        self.doc, self.weight = doc[order], weight[order]
-        self.start = np.searchsorted(token[order], np.arange(65537))
-
-    def terms_of(self, doc: int) -> np.ndarray:
-        return self.terms[self.first[doc] : self.first[doc + 1]]
-
-    def scores(self, queries: list[np.ndarray]) -> np.ndarray:
-        """One row of scores of all documents for each query, an array of distinct terms."""
-        wanted = np.zeros((len(queries), self.dense.shape[1]), np.float32)
-        for k, terms in enumerate(queries):
-            at = self.column[terms]
-            wanted[k, at[at >= 0]] = 1
-        out = wanted @ self.dense.T
-        for k, terms in enumerate(queries):
-            begin, end = self.start[terms], self.start[terms + 1]
-            some = end > begin
-            spans = [slice(a, b) for a, b in zip(begin[some].tolist(), end[some].tolist(), strict=True)]
-            if spans:
-                out[k] += np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.size)
+        #: The documents that are searched, and where each stands.
+        self.docs = np.arange(len(docs))
+        dense = np.zeros((len(common), len(docs)), np.float32)
+        dense[at[at >= 0], doc[at >= 0]] = weight[at >= 0]
+        self.dense = list(dense)
+        order = np.flatnonzero(at < 0)
+        order = order[np.argsort(token[order], kind="stable")]
+        self._postings(doc[order], token[order], weight[order])
+
+    def _postings(self, doc: np.ndarray, token: np.ndarray, weight: np.ndarray) -> None:
+        self.doc, self.token, self.weight = doc, token, weight
+        self.start = np.searchsorted(token, np.arange(65537))
+
+    def keep(self, stay: np.ndarray) -> None:
+        """Go on with the documents for which stay holds, by their place in docs."""
+        place = np.cumsum(stay, dtype=np.int32) - 1
+        self.docs, self.dense = self.docs[stay], [column[stay] for column in self.dense]
+        some = stay[self.doc]
+        self._postings(place[self.doc[some]], self.token[some], self.weight[some])
+
+    def scores(self, terms: np.ndarray) -> np.ndarray:
+        """The score of each searched document for a query of distinct terms."""
+        out = np.zeros(len(self.docs), np.float32)
+        at = self.column[terms]
+        for column in at[at >= 0].tolist():
+            np.add(out, self.dense[column], out)
+        rare = terms[at < 0]
+        begin, end = self.start[rare], self.start[rare.astype(np.int64) + 1]
+        spans = [slice(a, b) for a, b in zip(begin.tolist(), end.tolist(), strict=True) if b > a]
+        if spans:
+            out += np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), len(out))
         return out
 
     def neighbours(self, seed: int, unused: np.ndarray) -> Iterator[int]:
         """Unused documents that share a term with the seed, by falling score, then by place."""
-        score = self.scores([self.terms_of(seed)])[0]
-        score[~unused] = 0
-        score[seed] = 0
+        score = self.scores(self.terms[seed])
+        score[~unused[self.docs]] = 0
+        score[self.docs == seed] = 0
         top = 16
-        while self.size > 4 * top:
+        while len(score) > 4 * top:
             least = np.partition(score, -top)[-top]
             if least <= 0:
                 break
             first = np.flatnonzero(score > least)
-            yield from first[np.lexsort((first, -score[first]))].tolist()
+            yield from self.docs[first[np.lexsort((first, -score[first]))]].tolist()
             score[first] = 0
             # Equal scores at the border come by place, so they need no sort.
-            for doc in np.flatnonzero(score == least):
-                score[doc] = 0
-                yield int(doc)
+            for at in np.flatnonzero(score == least):
+                score[at] = 0
+                yield int(self.docs[at])
             top *= 8
         found = np.flatnonzero(score > 0)
-        yield from found[np.lexsort((found, -score[found]))].tolist()
+        yield from self.docs[found[np.lexsort((found, -score[found]))]].tolist()
 
 
 def pack_shard(docs: list[np.ndarray], index: ShardIndex, window: int) -> list[tuple[int, int, int, int, int]]:
     """Pieces (doc, start, length, sequence, offset) of one shard."""
     unused = np.ones(len(docs), bool)
     pieces: list[tuple[int, int, int, int, int]] = []
-    sequence, fill, following = 0, 0, 0
+    sequence, fill, following, left = 0, 0, 0, len(docs)
     rest: tuple[int, int] | None = None
     seed = -1
 
     def place(doc: int, start: int) -> bool:
         """Whether the window is full now."""
-        nonlocal fill, rest
+        nonlocal fill, rest, left
+        left -= unused[doc]
+        unused[doc] = False
         take = min(window - fill, len(docs[doc]) - start)
         pieces.append((doc, start, take, sequence, fill))
         fill += take
@@ -255,11 +270,12 @@ def pack_shard(docs: list[np.ndarray], index: ShardIndex, window: int) -> list[t
             if following == len(docs):
                 break
             seed = following
-            unused[seed] = False
             full = place(seed, 0)
         if not full:
+            # Used documents leave the index when they are the half of it.
+            if len(index.docs) > max(64, 2 * left):
+                index.keep(unused[index.docs])
             for doc in index.neighbours(seed, unused):
-                unused[doc] = False
                 if full := place(doc, 0):
                     break
         if full:
@@ -284,218 +300,77 @@ def _powers(pieces: list[tuple[int, int, int, int, int]], fill: int, sequence: i
     return out
 
 
-#: Documents of one index, open windows looked up by one job, neighbours that an index returns for a window.
-INDEX_DOCS, SEEDS, NEAREST = 32_768, 65_536, 16
-_BLOCK = 128
-
-
-def nearest(seeds: list[tuple[int, np.ndarray]], index: ShardIndex, idf: np.ndarray, rows: np.ndarray, count: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(seed, row, likeness) of the documents of the index that score highest for each seed; likeness is the score as a share of the seed's idf sum.
-    Each document's best seed follows, so that those in no seed's list find a window too."""
-    count = min(count, index.size)
-    most, at = np.full(index.size, -1.0, np.float32), np.zeros(index.size, np.int64)
-    for k in range(0, len(seeds), _BLOCK):
-        block = seeds[k : k + _BLOCK]
-        score = index.scores([t for _, t in block]) / np.array([max(idf[t].sum(), 1e-30) for _, t in block], np.float32)[:, None]
-        best = np.argpartition(-score, count - 1, axis=1)[:, :count]
-        yield np.repeat([i for i, _ in block], count), rows[best.ravel()], np.take_along_axis(score, best, 1).ravel()
-        top = score.argmax(axis=0)
-        high = score[top, np.arange(index.size)]
-        at[high > most] = k + top[high > most]
-        most = np.maximum(most, high)
-    yield np.array([i for i, _ in seeds])[at], rows, most
-
-
-def lookup(spark: SparkSession, free: DataFrame, seeds: DataFrame, idf: np.ndarray, make: Callable[[list[np.ndarray]], ShardIndex], count: int = NEAREST) -> DataFrame:
-    """seed, row, likeness: every open window (key, ids) against every free document (row, ids), staged."""
-    docs = free.count()
-    parts = max(-(-docs // INDEX_DOCS), min(spark.sparkContext.defaultParallelism, -(-docs // 2048)))
-    free = free.select("row", "ids").repartition(parts, "row")
-    groups = max(1, -(-seeds.count() // SEEDS))
-    seeds = seeds.withColumn("group", F.pmod(F.xxhash64("key"), F.lit(groups)))
-    found = []
-    for g in range(groups):
-        mine = seeds.filter(F.col("group") == g).select("key", "ids").mapInArrow(_distinct, "key long, ids binary").collect()
-        sent = spark.sparkContext.broadcast([(k, bytes(t)) for k, t in mine])
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            wanted = [(k, np.frombuffer(t, "<u2")) for k, t in sent.value]
-            held: list[tuple[int, np.ndarray]] = []
-
-            def answer() -> Iterator[pa.RecordBatch]:
-                rows = np.array([r for r, _ in held], np.int64)
-                for seed, row, like in nearest(wanted, make([t for _, t in held]), idf, rows, count):
-                    yield pa.RecordBatch.from_arrays([pa.array(seed, pa.int64()), pa.array(row, pa.int64()), pa.array(like, pa.float32())], ["seed", "row", "likeness"])
-
-            for batch in batches:
-                for row, ids in rows_of(batch):
-                    held.append((row, np.frombuffer(ids, "<u2")))
-                    if len(held) == INDEX_DOCS:
-                        yield from answer()
-                        held.clear()
-            if held:
-                yield from answer()
-
-        if mine:
-            found.append(staged(free.mapInArrow(run, "seed long, row long, likeness float"), "pack-nearest"))
-        sent.unpersist()
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+def shards_of(cell: np.ndarray, tokens: np.ndarray, shard_tokens: int) -> tuple[np.ndarray, np.ndarray]:
+    """For cells in order: the first shard of each and over how many it is dealt."""
+    first, parts = np.zeros(len(cell), np.int64), np.ones(len(cell), np.int64)
+    shard, filled = 0, 0
+    for k in np.argsort(cell).tolist():
+        if filled and filled + int(tokens[k]) // 2 > shard_tokens:
+            shard, filled = shard + 1, 0
+        first[k], parts[k] = shard, max(1, int(tokens[k]) // shard_tokens)
+        filled += int(tokens[k])
+        if parts[k] > 1:
+            shard, filled = shard + int(parts[k]), 0
+    return first, parts
 
 
-def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [(k, np.unique(np.frombuffer(t, "<u2")).tobytes()) for k, t in rows_of(batch)]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([t for _, t in rows], pa.binary())], ["key", "ids"])
-
-
-def pack_rest(docs: list[np.ndarray], start: list[int], free: list[int], opened: list[tuple[int, int, int]], index: ShardIndex, window: int) -> list[tuple[int, int, int, int, int]]:
-    """Pieces (doc, start, length, key, offset): open windows (doc, key, fill) in order take free documents, whose rests stay free."""
-    start, unused = list(start), np.zeros(len(docs), bool)
-    unused[free] = True
-    pieces = []
-    for seed, key, fill in opened:
-        for doc in index.neighbours(seed, unused):
-            take = min(window - fill, len(docs[doc]) - start[doc])
-            pieces.append((doc, start[doc], take, key, fill))
-            fill, start[doc] = fill + take, start[doc] + take
-            unused[doc] = start[doc] < len(docs[doc])
-            if fill == window:
-                break
-    assert not unused.any()
-    return pieces
+def sharded(tokens: DataFrame, df: np.ndarray, n_docs: int, shard_tokens: int) -> DataFrame:
+    """tokens with the column shard; tokens' own files are deleted."""
+    spark = tokens.sparkSession
+    router = Router(df, n_docs)
 
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = router.vectors([_ids(x) for x in batch.column(1).to_pylist()]).astype(np.float16)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.tobytes() for v in found], pa.binary())], ["row", "vector"])
 
-def placed(tokens: DataFrame, df: np.ndarray, n_docs: int, n_tokens: int, window: int, alone: int) -> DataFrame:
-    """Pieces (row, start, length, key, offset) of a corpus of more than `alone` tokens; key is the place of a sequence's first token.
+    # About SAMPLE rows of COLUMNS half-precision numbers, whatever the corpus holds.
+    picked = tokens.filter(F.pmod(F.xxhash64("row"), F.lit(n_docs)) < SAMPLE).select("row", "ids").mapInArrow(sample, "row long, vector binary").toArrow().sort_by("row")
+    router.fit(np.stack([np.frombuffer(v, np.float16) for v in picked["vector"].to_pylist()]).astype(np.float32) if len(picked) else np.empty((0, len(router.weight)), np.float32))
 
-    A document's full windows are its own. What is left of it opens a window or is free; windows open
-    for all that is left, so they and the free parts fit but for less than a window. In each round every
-    open window looks up its nearest free parts in the indexes of all of them, each part goes to the
-    window that it is most like, and windows take theirs by falling score; the part that doesn't
-    fit is cut and its rest is free again. When at most `alone` tokens are free, one task ends the work.
-    """
-    spark = tokens.sparkSession
-    mean = max(1.0, n_tokens / max(1, n_docs))
-    idf = np.log1p((n_docs - df + 0.5) / (df + 0.5))
-    make = lambda docs: ShardIndex(docs, df, n_docs, mean)
-    n = F.floor(F.octet_length("ids") / 2).cast("long")
-    full = tokens.select("row", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(n / window).cast("long"))).alias("k"), n.alias("n")).filter(f"(k + 1) * {window} <= n")
-    pieces = [full.select("row", (F.col("k") * window).alias("start"), F.lit(window).cast("long").alias("length"), (F.col("row") + F.col("k") * window).alias("key"), F.lit(0).cast("long").alias("offset"))]
-    left = tokens.select("row", "ids", (F.floor(n / window) * window).cast("long").alias("start"), n.alias("n")).filter("start < n")
-    # One window for each `window` tokens left: the longest parts open them, by the histogram of their lengths.
-    sizes = dict(left.groupBy((F.col("n") - F.col("start")).alias("l")).count().collect())
-    windows, border = -(-sum(k * v for k, v in sizes.items()) // window), 0
-    for border in sorted(sizes, reverse=True):
-        if sizes[border] > windows:
-            break
-        windows -= sizes[border]
-    else:
-        border, windows = 0, 0
-    length = F.col("n") - F.col("start")
-    tie = [r["row"] for r in left.filter(length == border).select("row").orderBy(F.xxhash64("row"), "row").limit(windows).collect()] if windows else []
-    picked = spark.createDataFrame([(r,) for r in tie], "row long").withColumn("first", F.lit(True))
-    left = left.join(F.broadcast(picked), "row", "left").withColumn("open", (length > border) | F.coalesce("first", F.lit(False)))
-    state = left.select("row", "ids", "start", "n", "open", F.when(F.col("open"), F.col("row") + F.col("start")).alias("key"), F.when(F.col("open"), length).otherwise(F.lit(0)).cast("long").alias("fill"))
-    state = staged(state, "pack-state")
-    pieces.append(state.filter("open").select("row", "start", F.col("fill").alias("length"), "key", F.lit(0).cast("long").alias("offset")))
-    count = NEAREST
-    while state.filter("NOT open").agg(F.coalesce(F.sum(length), F.lit(0))).first()[0] > alone:
-        seeds, free = state.filter("open"), state.filter("NOT open")
-        near = lookup(spark, free, seeds.select("key", "ids"), idf, make, count)
-        # Documents that many windows want are in all lists at first, so later rounds look further.
-        count = min(2 * count, 1024)
-        best = near.groupBy("row").agg(F.max(F.struct("likeness", (-F.col("seed")).alias("key"))).alias("b")).select("row", F.col("b.likeness").alias("likeness"), (-F.col("b.key")).alias("key"))
-        own = best.join(free.select("row", "start", "n"), "row").join(seeds.select("key", "fill"), "key")
-        order = Window.partitionBy("key").orderBy(F.desc("likeness"), "row").rowsBetween(Window.unboundedPreceding, -1)
-        own = own.withColumn("offset", (F.col("fill") + F.coalesce(F.sum(length).over(order), F.lit(0))).cast("long")).filter(F.col("offset") < window)
-        taken = staged(own.select("row", "start", F.least(length, F.lit(window) - F.col("offset")).cast("long").alias("length"), "key", "offset"), "pack-taken")
-        drop_staged(near)
-        pieces.append(taken)
-        used = taken.select("row", F.col("length").alias("used"))
-        grown = taken.groupBy("key").agg(F.sum("length").alias("more"))
-        free = free.join(used, "row", "left").withColumn("start", F.col("start") + F.coalesce("used", F.lit(0))).filter("start < n").drop("used")
-        seeds = seeds.join(grown, "key", "left").withColumn("fill", F.col("fill") + F.coalesce("more", F.lit(0))).filter(F.col("fill") < window).drop("more")
-        before, state = state, staged(free.unionByName(seeds), "pack-state")
-        if len(pieces) > 3:
-            drop_staged(before)
-
-    def finish(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: (r["row"], r["start"], r["open"]))
-        docs = [np.frombuffer(r["ids"], "<u2") for r in rows]
-        opened = [(k, r["key"], r["fill"]) for k, r in enumerate(rows) if r["open"]]
-        free = [k for k, r in enumerate(rows) if not r["open"]]
-        found = pack_rest(docs, [r["start"] for r in rows], free, opened, make(docs), window)
-        out = [(rows[d]["row"], *p) for d, *p in found]
-        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 5)], ["row", "start", "length", "key", "offset"])
-
-    pieces.append(staged(state.groupBy(F.lit(0).alias("all")).applyInArrow(lambda t: finish(t.drop_columns(["all"]) if "all" in t.column_names else t), "row long, start long, length long, key long, offset long"), "pack-rest"))
-    out = pieces[0]
-    for more in pieces[1:]:
-        out = out.unionByName(more)
-    # Windows that stay open hold less than one window's room together; their tokens go to sequences of powers of two.
-    fills = state.filter("open").select("key", "fill").join(pieces[-1].groupBy("key").agg(F.sum("length").alias("more")), "key", "left")
-    short = [r["key"] for r in fills.filter(F.col("fill") + F.coalesce("more", F.lit(0)) < window).collect()]
-    if not short:
-        return out
-    cut = []
-    for key in short:
-        own = sorted((tuple(r) for r in out.filter(F.col("key") == key).collect()), key=lambda p: p[4])
-        firsts: dict[int, int] = {}
-        for row, start, size, sequence, offset in _powers(own, sum(p[2] for p in own), 0):
-            cut.append((row, start, size, firsts.setdefault(sequence, row + start), offset))
-    return out.filter(~F.col("key").isin(short)).unionByName(spark.createDataFrame(cut, out.schema))
-
-
-def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, ids, row: the place of a document's first token, so that a token's place names it and what it opens."""
-    at = TaskContext.get().partitionId() << 40
-    for batch in batches:
-        places = []
-        for (ids,) in rows_of(batch.select(["ids"])):
-            places.append(at)
-            at += len(ids) // 2
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["ids"], pa.array(places, pa.int64())], ["doc_id", "ids", "row"])
-
-
-def retrieval_pack(docs: DataFrame, window: int = WINDOW, shard_tokens: int = 3_000_000, path: str = DEFAULT_VOCABULARY) -> DataFrame:
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 512):
+                part = batch.slice(k, 512)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(router.cells([_ids(x) for x in part["ids"].to_pylist()]), pa.int64())], [*part.schema.names, "cell"])
+
+    routed = staged(tokens.mapInArrow(route, "doc_id long, ids binary, row long, cell long"), "pack-routed")
+    drop_staged(tokens)
+    # At most BRANCHES * BRANCHES * CELLS rows of three numbers.
+    sizes = routed.groupBy("cell").agg((F.sum(F.octet_length("ids")) / 2).cast("long").alias("tokens")).toArrow()
+    cell = sizes["cell"].to_numpy()
+    first, parts = shards_of(cell, sizes["tokens"].to_numpy(), shard_tokens)
+    places = spark.createDataFrame(pa.table({"cell": cell, "first": first, "parts": parts}))
+    return routed.join(F.broadcast(places), "cell").select("doc_id", "ids", "row", (F.col("first") + F.pmod(F.xxhash64("row"), F.col("parts"))).alias("shard"))
+
+
+def retrieval_pack(docs: DataFrame, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS, path: str = DEFAULT_VOCABULARY) -> DataFrame:
     """Pieces: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset."""
-    spark = docs.sparkSession
-    ship(spark)
-    tokens = staged(tokenised(docs, path).mapInArrow(_numbered, "doc_id long, ids binary, row long"), "pack-tokens")
+    ship(docs.sparkSession)
+    tokens = staged(tokenised(docs, path), "pack-tokens")
     n_docs, n_tokens = tokens.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("ids")) / 2, F.lit(0))).first()
     df = token_df(tokens)
     mean_length = max(1.0, n_tokens / max(1, n_docs))
-    if n_tokens > shard_tokens:
-        found = placed(tokens, df, n_docs, int(n_tokens), window, shard_tokens).join(tokens, "row")
-
-        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ids = [np.frombuffer(t, "<u2")[a : a + k].astype("<u4").tobytes() for t, a, k in rows_of(batch.select(["ids", "start", "length"]))]
-                columns = [pa.array(ids, pa.binary()) if c == "ids" else batch[c] for c in batch.schema.names]
-                yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
-
-        found = found.select("doc_id", "start", "length", "ids", F.floor(F.octet_length("ids") / 2).cast("long").alias("doc_tokens"), F.col("key").alias("sequence_id"), "offset")
-        return found.mapInArrow(cut, _PIECES)
+    dealt = sharded(tokens, df, n_docs, shard_tokens) if n_tokens > shard_tokens else tokens.withColumn("shard", F.lit(0).cast("long"))
 
     def pack(group: pa.Table) -> pa.Table:
         group = group.combine_chunks().sort_by("row")
-        ids = [np.frombuffer(x, "<u2") for x in group["ids"].to_pylist()]
-        index = ShardIndex(ids, df, n_docs, mean_length)
-        pieces = pack_shard(ids, index, window)
+        shard = group["shard"][0].as_py()
+        doc_ids = group["doc_id"].combine_chunks()
+        ids = [_ids(x) for x in group["ids"].to_pylist()]
+        del group
+        pieces = pack_shard(ids, ShardIndex(ids, df, n_docs, mean_length), window)
         doc, start, length, sequence, offset = (np.array(c, np.int64) for c in zip(*pieces, strict=True))
         return pa.Table.from_arrays(
             [
-                group["doc_id"].combine_chunks().take(pa.array(doc)), pa.array(start), pa.array(length),
+                doc_ids.take(pa.array(doc)), pa.array(start), pa.array(length),
                 pa.array([ids[d][a : a + n].astype("<u4").tobytes() for d, a, n, _, _ in pieces], pa.binary()),
-                pa.array(np.array([len(x) for x in ids], np.int64)[doc]), pa.array(sequence), pa.array(offset),
+                pa.array(np.array([len(x) for x in ids], np.int64)[doc]), pa.array(sequence + (shard << 32)), pa.array(offset),
             ],
             ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
         )
 
-    return tokens.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(pack, _PIECES)
+    return dealt.groupBy("shard").applyInArrow(pack, _PIECES)
 
 
 def op1_retrieval_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,13 +7,14 @@ from array import array
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from stratapack.llm import bpe_stream, elias_fano, license_scan, ngram_lm, retrieval_pack, toxicity
+from stratapack.llm import bpe_stream, elias_fano, license_scan, ngram_lm, retrieval_pack, toxicity, word_bpe
 from stratapack.llm.common import table
 from tests.conftest import SF
 
@@ -93,39 +94,82 @@ def test_packing(spark):
     docs = table(spark, SF, "documents")
     texts = [r["text"] for r in docs.collect()]
     pieces_checked(retrieval_pack.retrieval_pack(docs, shard_tokens=60_000).collect(), texts, 2048)
-    odd = [(i, t) for i, t in ODD if i != 4]
-    pieces_checked(retrieval_pack.retrieval_pack(frame(spark, odd), window=64).collect(), [t for _, t in odd], 64)
+    pieces_checked(retrieval_pack.retrieval_pack(frame(spark), window=64).collect(), [t for _, t in ODD], 64)
+    pieces_checked(retrieval_pack.retrieval_pack(frame(spark, ODD * 9), window=64, shard_tokens=300).collect(), [t for _, t in ODD * 9], 64)
     assert retrieval_pack.retrieval_pack(frame(spark).limit(0)).count() == 0
 
 
-def test_lookup_searches_all_documents(spark, monkeypatch):
-    """With many indexes and groups of windows, each window still gets the documents that brute force ranks first."""
-    monkeypatch.setattr(retrieval_pack, "INDEX_DOCS", 7)
-    monkeypatch.setattr(retrieval_pack, "SEEDS", 9)
-    rng = np.random.default_rng(3)
-    docs = [np.append(rng.zipf(1.3, 50) % 4000 + 2, 1).astype(np.uint16) for _ in range(60)]
+def test_packing_follows_neighbours():
+    """With default settings a seed's window is filled by documents that share its terms before others, in small tables too."""
+    for size in (8, 16, 40):
+        rng = np.random.default_rng(0)
+        topics = [rng.integers(1000 + 300 * t, 1100 + 300 * t, 40) for t in range(4)]
+        docs = [np.array(topics[k % 4], np.uint16) for k in range(size)]
+        index = retrieval_pack.ShardIndex(docs, df_of(docs), size, 40.0)
+        pieces = retrieval_pack.pack_shard(docs, index, 10 * size)
+        for sequence in range(4):
+            assert len({p[0] % 4 for p in pieces if p[3] == sequence}) == 1
+
+
+def df_of(docs):
     df = np.zeros(65536, np.int64)
     for d in docs:
         df[np.unique(d)] += 1
-    rows = spark.createDataFrame([(k, bytearray(d.tobytes())) for k, d in enumerate(docs)], "row long, ids binary")
-    idf = np.log1p((60 - df + 0.5) / (df + 0.5))
-    found = retrieval_pack.lookup(spark, rows.filter("row >= 20"), rows.filter("row < 20").withColumnRenamed("row", "key"), idf, lambda d: retrieval_pack.ShardIndex(d, df, 60, 51.0)).collect()
-    for seed in range(20):
-        want = brute_scores(docs[seed], docs, df, 60, 51.0)
-        # A document's best window is listed from both sides.
-        likeness = {r["row"]: r["likeness"] for r in found if r["seed"] == seed}
-        first = sorted(likeness, key=lambda row: -likeness[row])[:5]
-        assert np.allclose([want[row] for row in first], sorted(want[20:], reverse=True)[:5], rtol=1e-4)
-
-
-def test_packing_over_many_indexes(spark, monkeypatch):
-    """Rounds over many indexes lose no token, and the few texts of a topic meet wherever their rows are."""
-    monkeypatch.setattr(retrieval_pack, "INDEX_DOCS", 16)
+    return df
+
+
+@pytest.mark.parametrize("size", [10, 100, 1000])
+def test_neighbours_equal_brute_force(size):
+    """Default settings on the driver's texts: the order is that of the formula, also after used documents have left the index."""
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist()[:size]
+    docs = [np.array([*e.ids, 1], np.uint16) for e in WORD.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    df, mean = df_of(docs), sum(map(len, docs)) / size
+    index = retrieval_pack.ShardIndex(docs, df, size, mean)
+    unused = np.ones(size, bool)
+    for seed in range(0, size, max(1, size // 8)):
+        unused[seed] = False
+        want = np.array(brute_scores(docs[seed], docs, df, size, mean))
+        got = list(index.neighbours(seed, unused))
+        assert set(got) == {k for k in range(size) if k != seed and unused[k] and want[k] > 0}
+        assert all(want[x] >= want[y] - 1e-3 for x, y in zip(got, got[1:]))
+        unused[got[: size // 12]] = False
+        if seed:
+            index.keep(unused[index.docs])
+
+
+def topical(size, topics, seed=5, words_each=25):
     words = sorted(w for w in WORD.get_vocab() if w.isascii() and w.isalpha() and len(w) > 3)
-    rng = np.random.default_rng(5)
-    texts = [" ".join(words[100 * (k % 40) + j] for j in rng.integers(0, 100, 25)) for k in range(160)]
-    rows = retrieval_pack.retrieval_pack(frame(spark, list(enumerate(texts))), window=128, shard_tokens=1000).collect()
+    rng = np.random.default_rng(seed)
+    return [" ".join([words[100 * (k % topics) + j] for j in rng.integers(0, 100, words_each)] + [words[-1 - j] for j in rng.integers(0, 30, 10)]) for k in range(size)]
+
+
+def test_recall_over_shards(spark):
+    """Of texts with topics, a seed's best neighbour in the whole corpus is in its own shard in at least nine of ten cases."""
+    texts = topical(1200, 40)
+    tokens = retrieval_pack.tokenised(frame(spark, list(enumerate(texts)))).cache()
+    rows = sorted(tokens.collect(), key=lambda r: r["doc_id"])
+    docs = [np.frombuffer(r["ids"], "<u2") for r in rows]
+    df, mean = df_of(docs), sum(map(len, docs)) / len(docs)
+    held = retrieval_pack.staged(tokens, "test-tokens")
+    dealt = {r["doc_id"]: r["shard"] for r in retrieval_pack.sharded(held, df, len(docs), 6000).select("doc_id", "shard").collect()}
+    assert len(set(dealt.values())) >= 6
+    found = []
+    for seed in range(0, len(docs), 12):
+        want = np.array(brute_scores(docs[seed], docs, df, len(docs), mean))
+        want[seed] = 0
+        found.append(dealt[int(want.argmax())] == dealt[seed])
+    tokens.unpersist()
+    assert np.mean(found) >= 0.9
+
+
+def test_packing_over_shards(spark):
+    """Several shards lose no token, and the texts of a topic meet wherever their rows are."""
+    texts = topical(320, 40)
+    rows = retrieval_pack.retrieval_pack(frame(spark, list(enumerate(texts))), window=128, shard_tokens=2500).collect()
     pieces_checked(rows, texts, 128)
+    assert len({r["sequence_id"] >> 32 for r in rows}) >= 4
     windows = {}
     for r in rows:
         windows.setdefault(r["sequence_id"], []).append(r["doc_id"] % 40)
@@ -134,18 +178,14 @@ def test_packing_over_many_indexes(spark, monkeypatch):
     assert alike > 0.5 * sum(len(w) > 1 for w in windows.values())
 
 
-def test_packing_follows_neighbours():
-    """A seed's window is filled by documents that share its rare terms before others."""
-    rng = np.random.default_rng(0)
-    topics = [rng.integers(1000 + 300 * t, 1100 + 300 * t, 40) for t in range(4)]
-    docs = [np.array(topics[k % 4], np.uint16) for k in range(16)]
-    df = np.zeros(65536, np.int64)
-    for d in docs:
-        df[np.unique(d)] += 1
-    index = retrieval_pack.ShardIndex(docs, df, 16, 40.0, stop_share=0.5)
-    pieces = retrieval_pack.pack_shard(docs, index, 160)
-    for sequence in range(4):
-        assert len({p[0] % 4 for p in pieces if p[3] == sequence}) == 1
+def test_hot_group_is_dealt_over_shards(spark):
+    """A third of all rows are copies of one text: no shard holds much more than its share."""
+    texts = topical(200, 40) + ["the same words again and again in every row of it"] * 100
+    tokens = retrieval_pack.staged(retrieval_pack.tokenised(frame(spark, list(enumerate(texts)))), "test-tokens")
+    docs = [np.frombuffer(r["ids"], "<u2") for r in tokens.collect()]
+    dealt = retrieval_pack.sharded(tokens, df_of(docs), len(docs), 300)
+    most = dealt.groupBy("shard").agg(F.sum(F.octet_length("ids") / 2).alias("n")).agg(F.max("n")).first()[0]
+    assert most <= 900
 
 
 def brute_scores(query, docs, df, n, mean):
@@ -167,13 +207,11 @@ def test_scores_of_a_hot_group(size):
         d = rng.integers(2000, 9000, 60) if k % 3 else base.copy()
         d[:3] = rng.integers(9000, 9900, 3)
         docs.append(np.append(d, 1).astype(np.uint16))
-    df = np.zeros(65536, np.int64)
-    for d in docs:
-        df[np.unique(d)] += 1
+    df = df_of(docs)
     index = retrieval_pack.ShardIndex(docs, df, size, 61.0)
     for seed in (0, 1, 3):
         want = brute_scores(docs[seed], docs, df, size, 61.0)
-        assert np.allclose(index.scores([index.terms_of(seed)])[0], want, rtol=1e-4)
+        assert np.allclose(index.scores(index.terms[seed]), want, rtol=1e-4)
         got = list(index.neighbours(seed, np.ones(size, bool)))
         assert sorted(got) == [k for k in range(size) if k != seed]
         assert all(want[a] >= want[b] - 1e-3 for a, b in zip(got, got[1:]))
@@ -181,14 +219,19 @@ def test_scores_of_a_hot_group(size):
     assert all(k % 3 == 0 for k in near)
 
 
-def test_chunk_tokens_equal_library():
-    known, rng = retrieval_pack.ChunkTokens(retrieval_pack.DEFAULT_VOCABULARY), np.random.default_rng(4)
-    letters = [*"aAzZ019'strevml.,-_<|>!? \n\x0b\x1c\x1f\x85ßÉñİſΣσ中²½", "<|startoftext|>", "<|endoftext|>", "'re", "é"]
-    for _ in range(3000):
-        text = "".join(letters[k] for k in rng.integers(0, len(letters), rng.integers(0, 25)))
-        chunks = retrieval_pack.chunks_of(text)
-        known.learn({c for c in chunks if c not in known})
-        assert np.frombuffer(b"".join(map(known.__getitem__, chunks)), "<u2").tolist() == WORD.encode(text, add_special_tokens=False).ids
+def test_word_bpe_equals_library():
+    """Many texts at once, of plain and of odd characters: the ids are the library's."""
+    known, rng = word_bpe.word_bpe(retrieval_pack.DEFAULT_VOCABULARY), np.random.default_rng(4)
+    letters = [*"aAzZ019'strevml.,-_<|>!? \n\x0b\x1c\x1f\x85\xa0ßÉñİſΣσ中²½ǅ", "<|startoftext|>", "<|endoftext|>", "'re", "é", "aaaa", "ing", "tion"]
+    texts = ["".join(letters[k] for k in rng.integers(0, len(letters), rng.integers(0, 25))) for _ in range(3000)]
+    texts += ["".join(map(chr, rng.integers(0x20, 0x260, 30))) for _ in range(2000)] + [None, "", "ab" * 5000, "x" * 5000]
+    for part in (pa.array(texts), pa.array(texts).slice(7, 1000), pa.array(texts[:0], pa.string()), pa.array([None, None], pa.string())):
+        ids, ends = known.encode(part, 1)
+        begin = 0
+        for text, end in zip(part.to_pylist(), ends.tolist(), strict=True):
+            assert ids[begin:end].tolist() == [*WORD.encode(text or "", add_special_tokens=False).ids, 1]
+            begin = end
+        assert begin == len(ids)
 
 
 def test_licences(spark):
