@@ -42,7 +42,7 @@ from stratapack.session import ship
 WINDOW = 2048
 END = 1
 DEFAULT_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
-SHARD_TOKENS = 8_000_000
+SHARD_TOKENS = 6_000_000
 #: Documents that the routing tree is fitted on, about; its columns, branches of a node, and cells of a leaf.
 SAMPLE, COLUMNS, BRANCHES, CELLS = 8192, 2048, 32, 64
 _PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -70,6 +70,19 @@ def _ids(cell: bytes) -> np.ndarray:
     return np.frombuffer(cell, "<u2")
 
 
+def distinct(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, id, times) of the distinct ids of each document, in order; by one sort for all."""
+    if not docs:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    sizes = [len(d) for d in docs]
+    kind = np.uint32 if len(docs) <= 65536 else np.uint64
+    key = np.repeat(np.arange(len(docs), dtype=kind), sizes) << kind(16) | np.concatenate(docs)
+    key.sort()
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
+    held = key[first]
+    return (held >> kind(16)).astype(np.int64), (held & kind(65535)).astype(np.int64), np.diff(np.append(first, len(key)))
+
+
 def token_df(tokens: DataFrame) -> np.ndarray:
     """In how many documents each id occurs: summed in the tasks, then by Spark; one number per vocabulary entry."""
 
@@ -77,8 +90,8 @@ def token_df(tokens: DataFrame) -> np.ndarray:
         total = np.zeros(65536, np.int64)
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
-                own = [np.unique(_ids(x)) for x in batch.column(0).slice(k, 512).to_pylist()]
-                total += np.bincount(np.concatenate(own), minlength=65536)
+                _, token, _ = distinct([_ids(x) for x in batch.column(0).slice(k, 512).to_pylist()])
+                total += np.bincount(token, minlength=65536)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["token", "n"])
 
@@ -109,14 +122,14 @@ class Router:
 
     def vectors(self, docs: list[np.ndarray]) -> np.ndarray:
         """One row of unit length for each document: damped counts times idf."""
-        out = np.zeros((len(docs), len(self.weight)), np.float32)
-        for k, ids in enumerate(docs):
-            at = self.column[ids]
-            n = np.bincount(at[at >= 0], minlength=len(self.weight))
-            out[k] = np.log1p(n)
-        out *= self.weight
-        norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
-        return out / np.maximum(norm, 1e-9)
+        width = max(1, len(self.weight))
+        at = self.column[np.concatenate(docs)] if docs else np.empty(0, np.int64)
+        place = np.repeat(np.arange(len(docs)) * width, [len(d) for d in docs]) + at
+        n = np.bincount(place[at >= 0], minlength=len(docs) * width)
+        out = _DAMPED[np.minimum(n, len(_DAMPED) - 1)].reshape(len(docs), width)[:, : len(self.weight)] * self.weight
+        norm = np.sqrt(np.einsum("ij,ij->i", out, out))
+        out /= np.maximum(norm, 1e-9)[:, None]
+        return out
 
     def fit(self, sample: np.ndarray) -> None:
         """sample: vectors."""
@@ -132,18 +145,33 @@ class Router:
         for k in np.unique(root):
             mine = root == k
             leaf[mine] = (x[mine] @ self.leaves[k].T).argmax(axis=1)
-        return (root * BRANCHES + leaf) * CELLS + np.array([_sketch(d) for d in docs], np.int64) % CELLS
+        return (root * BRANCHES + leaf) * CELLS + sketches(docs) % CELLS
 
 
-def _sketch(ids: np.ndarray) -> int:
-    """The smallest hash of the token 4-grams, mixed."""
-    x = ids.astype(np.uint32)
-    n = min(4, len(x))
-    h = np.zeros(len(x) - n + 1, np.uint32)
-    for k in range(n):
-        h = (h ^ x[k : len(x) - n + 1 + k]) * np.uint32(0x9E3779B1)
+#: Damped counts; above the last, all count alike.
+_DAMPED = np.log1p(np.arange(256)).astype(np.float32)
+
+
+def sketches(docs: list[np.ndarray], width: int = 4) -> np.ndarray:
+    """The smallest hash of each document's runs of `width` ids, mixed; 0 for shorter documents."""
+    sizes = np.array([len(d) for d in docs], np.int64)
+    x = np.concatenate([*docs, np.zeros(width, np.uint16)]).astype(np.uint32)
+    h = np.zeros(len(x) - width, np.uint32)
+    for k in range(width):
+        h = (h ^ x[k : len(x) - width + k]) * np.uint32(0x9E3779B1)
         h ^= h >> np.uint32(15)
-    return (int(h.min()) * 0x85EBCA6B & 0xFFFFFFFF) >> 11 if len(h) else 0
+    ends = np.cumsum(sizes)
+    for k in range(1, width):
+        # Runs that would reach into the next document.
+        h[np.maximum(ends - k, 0)[ends >= k]] = 0xFFFFFFFF
+    out = np.zeros(len(docs), np.int64)
+    long = np.flatnonzero(sizes >= width)
+    if len(long):
+        least = np.minimum.reduceat(h, (ends - sizes)[sizes > 0])
+        mixed = (least.astype(np.uint64) * np.uint64(0x85EBCA6B) & np.uint64(0xFFFFFFFF)) >> np.uint64(11)
+        out[sizes > 0] = mixed
+        out[sizes < width] = 0
+    return out
 
 
 def centroids(rows: np.ndarray, count: int, rounds: int = 8) -> np.ndarray:
@@ -170,16 +198,14 @@ class ShardIndex:
     """BM25 weights of some documents: terms in many of them as one array over all documents each, the others as postings."""
 
     #: A term in over 1 / DENSE of the documents has an array; at most WIDTH have, the most frequent.
-    DENSE, WIDTH = 8, 1024
+    DENSE, WIDTH = 24, 2048
 
     def __init__(self, docs: list[np.ndarray], df: np.ndarray, n_docs: int, mean_length: float, k1: float = 1.2, b: float = 0.75):
-        own = [np.unique(d, return_counts=True) for d in docs]
-        sizes = np.array([len(t) for t, _ in own], np.int64)
-        doc = np.repeat(np.arange(len(docs), dtype=np.int32), sizes)
-        token, tf = np.concatenate([t for t, _ in own]).astype(np.int32), np.concatenate([n for _, n in own])
+        doc, token, tf = distinct(docs)
+        doc, token = doc.astype(np.int32), token.astype(np.int32)
         lengths = np.array([len(d) for d in docs])
         #: The distinct terms of each document.
-        self.terms = [t for t, _ in own]
+        self.terms = np.split(token, np.searchsorted(doc, np.arange(1, len(docs))))
         weight = (inverse_df(df, n_docs)[token] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[doc] / mean_length))).astype(np.float32)
         held = np.bincount(token, minlength=65536)
         common = np.argsort(-held, kind="stable")[: self.WIDTH]
@@ -214,10 +240,11 @@ class ShardIndex:
         for column in at[at >= 0].tolist():
             np.add(out, self.dense[column], out)
         rare = terms[at < 0]
-        begin, end = self.start[rare], self.start[rare.astype(np.int64) + 1]
-        spans = [slice(a, b) for a, b in zip(begin.tolist(), end.tolist(), strict=True) if b > a]
-        if spans:
-            out += np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), len(out))
+        begin, end = self.start[rare], self.start[rare + 1]
+        size = end - begin
+        if size.any():
+            place = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            out += np.bincount(self.doc[place], self.weight[place], len(out))
         return out
 
     def neighbours(self, seed: int, unused: np.ndarray) -> Iterator[int]:
@@ -272,8 +299,8 @@ def pack_shard(docs: list[np.ndarray], index: ShardIndex, window: int) -> list[t
             seed = following
             full = place(seed, 0)
         if not full:
-            # Used documents leave the index when they are the half of it.
-            if len(index.docs) > max(64, 2 * left):
+            # Used documents leave the index when they are a fifth of it.
+            if len(index.docs) > max(64, 1.25 * left):
                 index.keep(unused[index.docs])
             for doc in index.neighbours(seed, unused):
                 if full := place(doc, 0):

@@ -143,29 +143,34 @@ class WordBpe:
         tail = np.append(start[1:], True)
         symbol = np.where(tail, self.last[raw], self.inner[raw])
         of = np.repeat(owner, 1 + wide)
-        # Words that may still be merged, as positions in the whole; finished ones stay behind.
+        # What may still be merged: symbols, their places in the whole, the words' starts, and the rank of each symbol with its right neighbour.
         out, whole = symbol.copy(), np.ones(len(symbol), bool)
-        at = np.arange(len(symbol))
-        while len(at):
-            first = np.flatnonzero(start[at])
-            live, tail = out[at], np.append(start[at][1:], True)
-            rank = self.pairs.rank(live, np.append(live[1:], live[:1]))
-            rank[tail] = _NEVER
+        live, at = symbol.copy(), np.arange(len(symbol), dtype=np.int64 if len(symbol) >> 31 else np.int32)
+        rank, inner = np.full(len(live), _NEVER, np.int32), np.flatnonzero(~tail)
+        rank[inner] = self.pairs.rank(live[inner], live[inner + 1])
+        while len(live):
+            first = np.flatnonzero(start)
             least = np.minimum.reduceat(rank, first)
-            sizes = np.diff(np.append(first, len(at)))
-            merge = (rank == np.repeat(least, sizes)) & (rank != _NEVER)
+            sizes = np.diff(np.append(first, len(live)))
+            done = np.repeat(least == _NEVER, sizes)
+            out[at[done]] = live[done]
+            merge = (rank == np.repeat(least, sizes)) & ~done
             # In a run of neighbouring places, every second one would overlap.
-            again = np.flatnonzero(merge[1:] & merge[:-1]) + 1
-            if len(again):
-                for k in again.tolist():
-                    if merge[k - 1]:
-                        merge[k] = False
+            for k in (np.flatnonzero(merge[1:] & merge[:-1]) + 1).tolist():
+                if merge[k - 1]:
+                    merge[k] = False
             hit = np.flatnonzero(merge)
-            out[at[hit]] = self.pairs.merged[rank[hit]]
-            gone = np.zeros(len(at), bool)
-            gone[hit + 1] = True
-            whole[at[gone]] = False
-            at = at[~gone & np.repeat(least != _NEVER, sizes)]
+            live[hit] = self.pairs.merged[rank[hit]]
+            whole[at[hit + 1]] = False
+            stay = ~done
+            stay[hit + 1] = False
+            place = np.cumsum(stay) - 1
+            changed = np.concatenate([place[hit], place[hit[~start[hit]]] - 1])
+            live, at, start, rank = live[stay], at[stay], start[stay], rank[stay]
+            # Merged symbols, and what stands before them in the word, have new right neighbours, or none.
+            rank[changed] = _NEVER
+            changed = changed[np.append(~start[1:], False)[changed]]
+            rank[changed] = self.pairs.rank(live[changed], live[changed + 1])
         return out[whole], of[whole]
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
