@@ -1,10 +1,12 @@
 """I-Match fingerprints over a document-frequency band and randomised lexicon subsets. Native.
 
-The lexicon is kept as a bitmap of 2^20 hash slots: one aggregation over all documents
-counts in how many each slot occurs, and the slots whose share of documents lies in the
-band (that is, whose inverse document frequency does) are set. The bitmap is 16,384
-longs whatever the corpus holds, so it can be a literal of the plan; no terms are
-joined or shuffled after it is known.
+The lexicon is the set of terms, told apart by 64-bit hashes, whose share of documents lies in the band (that
+is, whose inverse document frequency does). One aggregation over all documents counts in how many each
+term occurs. A band term is in at least the lower share of documents, so there are at most (mean distinct
+terms of a document) / (lower share) of them whatever the corpus holds: the lexicon can be a literal of the
+plan, as a hash table of short arrays, and no terms are joined or shuffled after it is known. Of a text that makes
+up over a thousandth of all rows, the copies count as one document, so that a large group of copies doesn't push
+its own terms over the band.
 
 A text's terms are its lower-cased runs of letters and digits. The distinct hashes of
 those in the lexicon are sorted; the first fingerprint part is the hash of all, the
@@ -13,10 +15,9 @@ take a quarter to a 256th of it, so that short and long texts both have subsets
 a small edit leaves alone. The likeness of two fingerprints is the share of equal parts
 among those that are not empty in both.
 
-The next document by ascending id is found inside ranges of ids: a histogram of at most
-65,536 equal cells, merged to ranges of about equal row count, gives each row its range;
-a window inside a range looks one row ahead, and a range's last row gets the first of the
-next range. Texts are shuffled once.
+The next document by ascending id is found inside ranges of ids between approximate quantiles, so ranges hold
+about as many rows however the ids are spread; a window inside a range looks one row ahead, and a range's last row
+gets the first of the next range. Texts are shuffled once, each with its own fingerprint.
 
 Cases: a null text counts as empty. A text without terms in the lexicon has its
 whole lower-cased self as its only term. Null doc_ids come before all others; rows that repeat
@@ -27,16 +28,17 @@ table gives an empty result. Only doc_id and text are read.
 from __future__ import annotations
 
 import json
+from math import isqrt
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratapack.llm.common import staged, table, text_of
 
-SLOT_BITS = 20
-CELLS = 65_536
-#: Shares of documents that a lexicon slot may occur in.
+#: Shares of documents that a lexicon term may occur in.
 BAND = (5e-4, 0.05)
+#: Copies of a text that makes up more than this share of the rows count as one.
+HOT = 1e-3
 #: (shift, bits): a term is in the subset if so many bits of its hash from there on are 0.
 SUBSETS = tuple((s, 2) for s in range(0, 8, 2)) + tuple((s, 4) for s in range(3, 35, 4)) + tuple((s, 6) for s in range(1, 61, 6)) + tuple((s, 8) for s in range(5, 61, 7))
 #: xxhash64 of an empty array is its seed.
@@ -48,33 +50,38 @@ def _hashes(text: Column) -> Column:
     return F.transform(F.split(F.lower(text), _WORDS), lambda w: F.xxhash64(w))
 
 
-def _slot(h: Column) -> Column:
-    return h.bitwiseAND(F.lit((1 << SLOT_BITS) - 1)).cast("int")
+def _slot(h: Column, bits: int) -> Column:
+    return F.shiftrightunsigned(h, 64 - bits).cast("int")
 
 
-def lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> list[int]:
-    """The bitmap of slots in the band, as 2^SLOT_BITS / 64 signed longs."""
+def lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> list[list[int]]:
+    """The hashes of the terms in the band, in 2^bits slots by their first bits; at least one slot for two terms."""
     n = docs.count()
-    slots = docs.select(F.explode(F.array_distinct(F.transform(_hashes(text_of()), _slot))).alias("slot"))
-    blank = _slot(F.xxhash64(F.lit("")))
-    kept = slots.groupBy("slot").agg(F.count(F.lit(1)).alias("df")).filter((F.col("df") >= band[0] * n) & (F.col("df") <= max(1.0, band[1] * n)) & (F.col("slot") != blank))
-    bits = F.expr("bit_or(shiftleft(1L, slot & 63))")
-    out = [0] * ((1 << SLOT_BITS) // 64)
-    for place, word in kept.groupBy((F.col("slot") / 64).cast("int").alias("place")).agg(bits.alias("bits")).collect():
-        out[place] = word
+    mark = F.xxhash64(text_of())
+    # Fewer than 1 / HOT rows.
+    hot = dict(docs.groupBy(mark.alias("text_hash")).agg(F.count(F.lit(1)).alias("c")).filter((F.col("c") > HOT * n) & (F.col("c") > 1)).collect())
+    n -= sum(hot.values()) - len(hot)
+    weight = F.lit(1.0)
+    if hot:
+        times = F.from_json(F.lit(json.dumps({str(h): c for h, c in hot.items()})), "map<string,double>")
+        weight = F.lit(1.0) / F.coalesce(F.element_at(times, mark.cast("string")), F.lit(1.0))
+    terms = docs.select(F.explode(F.array_distinct(_hashes(text_of()))).alias("h"), weight.alias("w"))
+    df = F.round(F.sum("w"), 3)
+    kept = terms.groupBy("h").agg(df.alias("df")).filter((F.col("df") >= band[0] * n) & (F.col("df") <= max(1.0, band[1] * n)) & (F.col("h") != F.xxhash64(F.lit(""))))
+    found = [h for (h,) in kept.select("h").collect()]
+    bits = max(1, len(found).bit_length())
+    out: list[list[int]] = [[] for _ in range(1 << bits)]
+    for h in sorted(found):
+        out[(h & ((1 << 64) - 1)) >> (64 - bits)].append(h)
     return out
 
 
-def fingerprint(text: Column, bitmap: list[int]) -> Column:
+def fingerprint(text: Column, lex: list[list[int]]) -> Column:
     """Array of longs, one for the whole lexicon and one for each subset; _EMPTY where no term falls in."""
+    bits = len(lex).bit_length() - 1
     # A constant that the optimiser folds to one array literal.
-    lex = F.from_json(F.lit(json.dumps(bitmap)), "array<bigint>")
-
-    def known(h: Column) -> Column:
-        # F.call_function keeps the index zero-based and the bit test native.
-        slot = _slot(h)
-        return F.call_function("getbit", F.get(lex, F.shiftright(slot, 6)), slot.bitwiseAND(F.lit(63))) == 1
-
+    slots = F.from_json(F.lit(json.dumps(lex)), "array<array<bigint>>")
+    known = lambda h: F.array_contains(F.get(slots, _slot(h, bits)), h)
     terms = F.array_sort(F.array_distinct(F.filter(_hashes(text), known)))
 
     def parts(found: Column) -> Column:
@@ -99,55 +106,51 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def _ranges(docs: DataFrame, count: int) -> tuple[Column, int]:
-    """Each row's range of ids, numbered from 0 without gaps, of about equal row count."""
-    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    if low is None:
+    """Each row's range of ids, numbered from 0 without gaps, of about equal row count; nulls are in range 0."""
+    shares = [k / count for k in range(1, count)]
+    found = docs.agg(F.min("doc_id").alias("low"), F.percentile_approx("doc_id", shares or [0.5], 10 * max(1000, count)).alias("cuts")).first()
+    # Every cut is an id of the table other than the least, so no range is empty.
+    cuts = sorted(set(found["cuts"] or []) - {found["low"]}) if shares else []
+    if not cuts:
         return F.lit(0), 1
-    width = max(1, -(-(high - low + 1) // CELLS))
-    cell = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.floor((F.col("doc_id") - F.lit(low)) / F.lit(width)).cast("int"))
-    if width == 1:
-        cell = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise((F.col("doc_id") - F.lit(low)).cast("int"))
-    sizes = dict(docs.groupBy(cell.alias("c")).count().collect())
-    each, place, filled, of = max(1, -(-sum(sizes.values()) // count)), 0, 0, []
-    for c in range(max(sizes) + 1):
-        of.append(place)
-        filled += sizes.get(c, 0)
-        if filled >= each:
-            place, filled = place + 1, 0
-    if not filled:
-        place -= 1
-    of = [min(p, place) for p in of]
-    return F.get(F.from_json(F.lit(json.dumps(of)), "array<int>"), cell), place + 1
+    step = isqrt(len(cuts)) + 1
+    upto = lambda held: F.size(F.filter(held, lambda c: c <= F.col("doc_id")))
+    every = F.from_json(F.lit(json.dumps(cuts)), "array<bigint>")
+    # First among every step-th cut, then among the cuts from there on.
+    coarse = upto(F.from_json(F.lit(json.dumps(cuts[::step])), "array<bigint>"))
+    begin = F.greatest(coarse - 1, F.lit(0)) * step
+    place = begin + upto(F.slice(every, begin + 1, F.lit(step)))
+    return F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(place), len(cuts) + 1
 
 
 def with_next(docs: DataFrame, count: int | None = None) -> DataFrame:
-    """doc_id, text, next_text of each row, in ascending order of doc_id, the first after the last."""
+    """Each row of docs (doc_id, text and more) with `next`, a struct of the columns but doc_id of the row that follows by doc_id, the first after the last."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", text_of().alias("text"))
-    count = min(4096, count or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    count = count or int(spark.conf.get("spark.sql.shuffle.partitions"))
     place, n = _ranges(docs, count)
-    placed = docs.withColumn("range", place)
-    # The first row of each range: at most 4,096 ids, then their texts.
-    heads = placed.groupBy("range").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("head"))
-    first = placed.join(F.broadcast(heads), "range").filter(F.coalesce("doc_id", F.lit(-(1 << 63))) == F.col("head"))
-    first = first.groupBy("range").agg(F.min("text").alias("first_text"))
-    first = staged(first, "first-texts").select(((F.col("range") + F.lit(n - 1)) % F.lit(n)).alias("range"), "first_text")
-    inside = Window.partitionBy("range").orderBy("doc_id", "text")
-    ahead = placed.withColumn("ahead", F.lead("text").over(inside))
-    return ahead.join(first.hint("merge"), "range").select("doc_id", "text", F.coalesce("ahead", "first_text").alias("next_text"))
+    names = [c for c in docs.columns if c != "doc_id"]
+    placed = docs.select("doc_id", place.alias("range"), F.struct(*names).alias("own"))
+    # The first row of each range: as many ids as ranges, then their texts.
+    rank = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    heads = docs.select("doc_id").withColumn("range", place).groupBy("range").agg(F.min(rank).alias("head"))
+    first = placed.join(F.broadcast(heads), "range").filter(rank == F.col("head"))
+    first = first.groupBy("range").agg(F.min_by("own", F.col("own.text")).alias("first"))
+    first = staged(first, "first-texts").select(((F.col("range") + F.lit(n - 1)) % F.lit(n)).alias("range"), "first")
+    inside = Window.partitionBy("range").orderBy("doc_id", "own.text")
+    ahead = placed.withColumn("ahead", F.lead("own").over(inside))
+    return ahead.join(first.hint("merge"), "range").select("doc_id", "own.*", F.coalesce("ahead", "first").alias("next"))
 
 
 def imatch(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
     """doc_id, n_chars, edited, fingerprints of the text and the edited text, and their likenesses."""
-    bitmap = lexicon(docs, band)
+    docs = docs.select("doc_id", text_of().alias("text"))
+    lex = lexicon(docs, band)
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 2) as int))"), F.col("next_text").substr(F.lit(1), half))
-    rows = with_next(docs).select("doc_id", n.cast("long").alias("n_chars"), "text", "next_text", edited.alias("edited"))
-    printed = rows.select(
-        "doc_id", "n_chars", "edited",
-        fingerprint(F.col("text"), bitmap).alias("own"), fingerprint(F.col("edited"), bitmap).alias("changed"), fingerprint(F.col("next_text"), bitmap).alias("next"),
-    )
+    edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 2) as int))"), F.col("next.text").substr(F.lit(1), half))
+    rows = with_next(docs.withColumn("print", fingerprint(F.col("text"), lex)))
+    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "print", F.col("next.print").alias("next"))
+    printed = rows.select("doc_id", "n_chars", "edited", F.col("print").alias("own"), fingerprint(F.col("edited"), lex).alias("changed"), "next")
     # One struct bound by a lambda: each fingerprint is computed once, though it is used three times.
     return printed.select(
         "doc_id", "n_chars", "edited",
