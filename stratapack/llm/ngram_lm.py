@@ -18,7 +18,9 @@ that ask for them. A pair's hash spreads even the most frequent context over all
 pointers, successors relative to their context, one-byte quantised log gains of the
 smoothed over the backed-off probability) and answers every block's documents
 with their sums. 5. A block's documents add up what the shards say. Every shuffle
-carries packed arrays, one per block and shard; nothing is collected but four totals.
+carries packed arrays; nothing is collected but five totals. Beyond `fan` shards, a block doesn't address each shard:
+it addresses about sqrt(shards) groups of shards, as many blocks' messages to one group are merged and dealt to its
+shards, and the answers go back the same way. So B blocks and S shards exchange about 2 * B * sqrt(S) messages, not B * S.
 
 Cases: null and empty texts consist of the end token. Null doc_ids count as held in
 (crc32 of the empty text is 0). Repeated rows count as often as they occur. An empty
@@ -51,7 +53,9 @@ UNKNOWN = np.uint32(0xFFFFFFFF)
 #: Quantised values: steps of 1/STEPS in log10.
 STEPS, LEAST = 25.0, -3.0
 EASE = 5.0
-_MESSAGE = "shard long, kind int, block long, size long, keys binary, counts binary, ratios binary, times binary, docs binary"
+_MESSAGE = "shard long, kind int, block long, blocks array<long>, sizes array<long>, keys binary, counts binary, ratios binary, times binary, docs binary"
+_KINDS = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), *[pa.binary()] * 5]
+_NAMES = [c.split()[0] for c in _MESSAGE.split(", ")]
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -154,12 +158,14 @@ def word_answers(blocks: DataFrame, shards: int) -> DataFrame:
 class Totals:
     """What the whole training corpus adds up to, and the formulas on it."""
 
-    def __init__(self, n: int, v: int, n1: int, n2: int, word_shards: int):
+    def __init__(self, n: int, v: int, n1: int, n2: int, largest: int, word_shards: int):
         self.n, self.v = n, v
         self.discount = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
         self.growth = math.log(max(v, 2)) / math.log(max(n, 3))
-        #: Ids are below this.
-        self.ids = (v + 1) * word_shards + word_shards
+        #: Ids are below this: a word's place in its shard, times the shards, plus the shard. Places are below `largest`.
+        self.ids = (largest + 1) * word_shards
+        if self.ids >= 1 << 32:
+            raise ValueError(f"{self.ids} word ids don't fit 32 bits, nor pairs of them 64")
 
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 0.5) / (self.n + 0.5 * (self.v + 1)))
@@ -185,8 +191,39 @@ def _deal_pairs(keys: np.ndarray, shards: int) -> np.ndarray:
     return ((x >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
 
 
-def block_messages(blocks: DataFrame, answers: DataFrame, totals: Totals, shards: int) -> DataFrame:
-    """Kind 0: a block's pairs of one shard. Kind 1: the sums of a block's documents, in keys as packed doubles."""
+class Messages:
+    """Rows of _MESSAGE in the making."""
+
+    def __init__(self):
+        self.rows: list[tuple] = []
+
+    def pairs(self, at: np.ndarray, targets: int, block: int, blocks: list[int], sizes: list[int], keys, seen, ratio, times, begin, docs) -> None:
+        """One message of kind 0 for each target that some pair goes to. Pair i is asked for by docs[begin[i] : begin[i] + times[i]]."""
+        ranked = np.argsort(at, kind="stable")
+        ends = np.searchsorted(at[ranked], np.arange(targets + 1))
+        small = np.uint16 if sum(sizes) <= 65536 else np.uint32
+        for k in range(targets):
+            part = ranked[ends[k] : ends[k + 1]]
+            if len(part):
+                t = times[part]
+                offset = np.repeat(begin[part] - np.concatenate([[0], np.cumsum(t)[:-1]]), t)
+                asks = docs[offset + np.arange(t.sum())]
+                self.rows.append((k, 0, block, blocks, sizes, _planes(keys[part]), _pack(seen[part].astype("<u4")), _pack(ratio[part]), _pack(t.astype("<u4")), _pack(asks.astype(small))))
+
+    def sums(self, target: int, block: int, size: int, sums: bytes) -> None:
+        """A message of kind 1."""
+        self.rows.append((target, 1, block, [block], [size], sums, None, None, None, None))
+
+    def table(self, first: int = 0) -> pa.Table:
+        """The rows; targets count from `first`."""
+        columns = list(zip(*self.rows, strict=True)) or [[]] * len(_NAMES)
+        columns[0] = [first + k for k in columns[0]]
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(_NAMES, columns, _KINDS, strict=True)})
+
+
+def block_messages(blocks: DataFrame, answers: DataFrame, totals: Totals, shards: int, width: int = 1) -> DataFrame:
+    """Kind 0: a block's pairs of `width` shards. Kind 1: the sums of a block's documents, in keys as packed doubles."""
+    targets = -(-shards // width)
 
     def meet(mine: pa.Table, said: pa.Table) -> pa.Table:
         said = said.sort_by("shard")
@@ -216,43 +253,77 @@ def block_messages(blocks: DataFrame, answers: DataFrame, totals: Totals, shards
         seen = np.add.reduceat(trained, first).astype(np.int64) if len(first) else np.empty(0, np.int64)
         ratio = np.log10((1 - novelty[u[first]]) / (count[u[first]] * novelty[u[first]])) - unigram[w[first]]
         ratio = np.clip(np.round((ratio + 6) * 16), 0, 255).astype(np.uint8)
-        shard = _deal_pairs(keys[first], shards)
-        small = np.uint16 if n_docs <= 65536 else np.uint32
-        rows = {k: [] for k in ("shard", "kind", "block", "size", "keys", "counts", "ratios", "times", "docs")}
-
-        def add(*values) -> None:
-            for column, value in zip(rows.values(), values, strict=True):
-                column.append(value)
-
-        ranked = np.argsort(shard, kind="stable")
-        ends = np.searchsorted(shard[ranked], np.arange(shards + 1))
-        begin = first.astype(np.int64)
-        for k in range(shards):
-            part = ranked[ends[k] : ends[k + 1]]
-            if len(part):
-                t = times[part]
-                offset = np.repeat(begin[part] - np.concatenate([[0], np.cumsum(t)[:-1]]), t)
-                asks = doc[offset + np.arange(t.sum())]
-                add(k, 0, row["block"], n_docs, _planes(keys[first][part]), _pack(seen[part].astype("<u4")), _pack(ratio[part]), _pack(t.astype("<u4")), _pack(asks.astype(small)))
-        add(row["block"] % shards, 1, row["block"], n_docs, _pack(sums), None, None, None, None)
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 5]
-        return pa.table({k: pa.array(v, t) for (k, v), t in zip(rows.items(), kinds, strict=True)})
+        out = Messages()
+        out.pairs(_deal_pairs(keys[first], shards) // width, targets, row["block"], [row["block"]], [n_docs], keys[first], seen, ratio, times, first.astype(np.int64), doc)
+        out.sums(row["block"] % targets, row["block"], n_docs, _pack(sums))
+        return out.table()
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(meet, _MESSAGE)
 
 
+def _asks(data: bytes, size: int) -> np.ndarray:
+    return _unpack(data, "<u2" if size <= 65536 else "<u4")
+
+
+def dealt_again(messages: DataFrame, shards: int, width: int, together: int) -> DataFrame:
+    """Messages to groups of `width` shards, those of one group from about one in `together` of the blocks merged, to the shards themselves."""
+
+    def merge(group: pa.Table) -> pa.Table:
+        target = group["shard"][0].as_py()
+        first, out = target * width, Messages()
+        rows = sorted(group.drop_columns(["many"]).to_pylist(), key=lambda r: (r["kind"], r["block"]))
+        asked = [r for r in rows if not r["kind"]]
+        if asked:
+            sizes = [r["sizes"][0] for r in asked]
+            keys, seen, ratio = np.concatenate([_unplanes(r["keys"]) for r in asked]), np.concatenate([_unpack(r["counts"], "<u4") for r in asked]), np.concatenate([_unpack(r["ratios"], "u1") for r in asked])
+            times = np.concatenate([_unpack(r["times"], "<u4") for r in asked]).astype(np.int64)
+            docs = np.concatenate([_asks(r["docs"], n).astype(np.int64) + before for r, n, before in zip(asked, sizes, np.cumsum([0, *sizes]), strict=False)])
+            order = np.argsort(keys, kind="stable")
+            begin = np.cumsum(times) - times
+            out.pairs(_deal_pairs(keys[order], shards) - first, min(width, shards - first), asked[0]["block"], [r["block"] for r in asked], sizes, keys[order], seen[order], ratio[order], times[order], begin[order], docs)
+        for r in rows[len(asked) :]:
+            out.sums(0, r["block"], r["sizes"][0], r["keys"])
+        return out.table(first)
+
+    return messages.withColumn("many", F.pmod(F.xxhash64("block"), F.lit(together))).groupBy("shard", "many").applyInArrow(merge, _MESSAGE)
+
+
+def answered_again(gains: DataFrame, width: int) -> DataFrame:
+    """Answers to merged messages: those of one group of shards are added up, then cut to blocks."""
+
+    def cut(group: pa.Table) -> pa.Table:
+        rows = sorted(group.to_pylist(), key=lambda r: (r["kind"], r["shard"], r["block"]))
+        out = [r for r in rows if r["kind"]]
+        asked = [r for r in rows if not r["kind"]]
+        if asked:
+            blocks, sizes = asked[0]["blocks"], asked[0]["sizes"]
+            total = np.zeros(sum(sizes))
+            for r in asked:
+                total[_unpack(r["docs"], "<u4")] += _unpack(r["sums"], "<f4")
+            for block, size, end in zip(blocks, sizes, np.cumsum(sizes), strict=True):
+                own = total[end - size : end]
+                at = np.flatnonzero(own)
+                out.append({"shard": 0, "block": block, "blocks": [block], "sizes": [size], "kind": 0, "docs": _pack(at.astype("<u4")), "sums": _pack(own[at].astype("<f4"))})
+        return pa.Table.from_pylist(out, _GAIN_SCHEMA)
+
+    # Messages that were merged have the same first block and group of shards.
+    group = F.floor(F.col("shard") / width).alias("target")
+    return gains.groupBy(group, "block").applyInArrow(lambda t: cut(t.select(_GAIN_SCHEMA.names)), _GAIN)
+
+
+_GAIN = "shard long, block long, blocks array<long>, sizes array<long>, kind int, docs binary, sums binary"
+_GAIN_SCHEMA = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("blocks", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("kind", pa.int32()), ("docs", pa.binary()), ("sums", pa.binary())])
+
+
 def shard_gains(messages: DataFrame, totals: Totals) -> DataFrame:
-    """Each shard's trie, asked by every block: block, size, kind, docs, sums."""
+    """Each shard's trie, asked by every message: the sums of the message's documents."""
 
     def ask(group: pa.Table) -> pa.Table:
-        kinds, blocks, sizes = (group[c].to_pylist() for c in ("kind", "block", "size"))
+        shard = group["shard"][0].as_py()
+        kinds, block, blocks, sizes = (group[c].to_pylist() for c in ("kind", "block", "blocks", "sizes"))
         asked = [i for i, k in enumerate(kinds) if k == 0]
         column = lambda c, i: group[c][i].as_py()
-        out = {"block": [], "size": [], "kind": [], "docs": [], "sums": []}
-
-        def add(*values) -> None:
-            for c, value in zip(out.values(), values, strict=True):
-                c.append(value)
+        out: list[tuple] = []
 
         keys, seen, ratios = [], [], []
         for i in asked:
@@ -276,31 +347,38 @@ def shard_gains(messages: DataFrame, totals: Totals) -> DataFrame:
                 found = trie.find(q // size, q % size)
                 gain = np.zeros(len(q))
                 gain[found >= 0] = trie.codes[found[found >= 0]] / STEPS
-                docs = _unpack(column("docs", i), "<u2" if sizes[i] <= 65536 else "<u4")
-                total = np.bincount(docs, np.repeat(gain, _unpack(column("times", i), "<u4")), sizes[i])
+                n = sum(sizes[i])
+                total = np.bincount(_asks(column("docs", i), n), np.repeat(gain, _unpack(column("times", i), "<u4")), n)
                 at = np.flatnonzero(total)
-                add(blocks[i], sizes[i], 0, _pack(at.astype("<u4")), _pack(total[at].astype("<f4")))
+                out.append((shard, block[i], blocks[i], sizes[i], 0, _pack(at.astype("<u4")), _pack(total[at].astype("<f4"))))
             if asked:
                 del trie
         for i, k in enumerate(kinds):
             if k == 1:
-                add(blocks[i], sizes[i], 1, None, column("keys", i))
-        return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()], strict=True)})
+                out.append((shard, block[i], blocks[i], sizes[i], 1, None, column("keys", i)))
+        columns = list(zip(*out, strict=True))
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, _GAIN_SCHEMA.types, strict=True)], schema=_GAIN_SCHEMA)
 
-    return messages.groupBy("shard").applyInArrow(ask, "block long, size long, kind int, docs binary, sums binary")
+    return messages.groupBy("shard").applyInArrow(ask, _GAIN)
 
 
-def lm_scores(docs: DataFrame, pair_tokens: int = 1_500_000, shard_words: int = 1_000_000) -> DataFrame:
+def lm_scores(docs: DataFrame, pair_tokens: int = 1_500_000, shard_words: int = 1_000_000, fan: int = 256, block_tokens: int = 2_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per row of docs."""
     ship(docs.sparkSession)
-    blocks = staged(token_blocks(docs), "lm-blocks")
-    n_words, n_tokens = blocks.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, b: a + b)), F.lit(0))).first()
+    blocks = staged(token_blocks(docs, block_tokens), "lm-blocks")
+    n_blocks, n_words, n_tokens = blocks.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, b: a + b)), F.lit(0))).first()
     word_shards, pair_shards = shards_for(n_words, shard_words), shards_for(n_tokens, pair_tokens)
     answers = staged(word_answers(blocks, word_shards), "lm-words")
-    sums = answers.filter("block = -1").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "v", "n1", "n2"))).first()
+    sums = answers.filter("block = -1").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "v", "n1", "n2")), F.coalesce(F.max("v"), F.lit(0))).first()
     totals = Totals(*sums, word_shards)
-    messages = block_messages(blocks.select("block", "held", "sizes", "tokens"), answers.filter("block >= 0").select("block", "shard", "ids", "counts"), totals, pair_shards)
+    groups = math.isqrt(pair_shards - 1) + 1 if pair_shards > fan else pair_shards
+    width = -(-pair_shards // groups)
+    messages = block_messages(blocks.select("block", "held", "sizes", "tokens"), answers.filter("block >= 0").select("block", "shard", "ids", "counts"), totals, pair_shards, width)
+    if width > 1:
+        messages = dealt_again(messages, pair_shards, width, -(-n_blocks // groups))
     gains = shard_gains(messages, totals)
+    if width > 1:
+        gains = answered_again(gains, width)
 
     def finish(mine: pa.Table, said: pa.Table) -> pa.Table:
         row = mine.slice(0, 1).to_pylist()[0]
