@@ -130,27 +130,40 @@ def shingle_set(text: str | None, words: int) -> set:
     return set(zip(*(w[k:] for k in range(words)), strict=False)) if len(w) >= words else {tuple(w)} if w else set()
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those of pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+def similar(mine: set, other: set, percent: int) -> bool:
+    """Whether the sets have 100 * intersection >= percent * union and share something."""
+    both = len(mine & other)
+    return both > 0 and 100 * both >= percent * (len(mine) + len(other) - both)
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int, fan: int = 256) -> DataFrame:
+    """Those of pairs (a, b) whose full sets have 100 * intersection >= percent * union.
+
+    The b of one a are dealt to parts of about `fan`; a part gets the text of its a once, ahead of its members,
+    and holds one set beside it. A doc_id with several texts is compared with all of them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, mine = None, set()
+        held, mine = None, []
         for batch in batches:
             a_out, b_out = [], []
-            for a, b, text_a, text_b in rows_of(batch):
-                if held != (a, len(text_a or "")):
-                    held, mine = (a, len(text_a or "")), shingle_set(text_a, words)
-                other = shingle_set(text_b, words)
-                both = len(mine & other)
-                if both and 100 * both >= percent * (len(mine) + len(other) - both):
+            for a, part, side, doc, text in rows_of(batch):
+                if held != (a, part):
+                    held, mine = (a, part), []
+                own = shingle_set(text, words)
+                if not side:
+                    mine.append(own)
+                elif any(similar(x, own, percent) for x in mine):
                     a_out.append(a)
-                    b_out.append(b)
+                    b_out.append(doc)
             yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
 
-    texts = docs.filter("doc_id IS NOT NULL").select("doc_id", "text")
-    side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
-    met = pairs.join(side("b"), "b").join(side("a"), "a")
-    return met.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    texts = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("doc"), "text")
+    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / fan).cast("int").alias("parts"))
+    dealt = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), "b")
+    roles = dealt.select("a", "part", F.lit(1).alias("side"), F.col("b").alias("doc")).unionByName(dealt.select("a", "part").distinct().withColumn("side", F.lit(0)).withColumn("doc", F.col("a")))
+    met = roles.join(texts, "doc").repartition("a", "part").sortWithinPartitions("a", "part", "side")
+    return met.select("a", "part", "side", "doc", "text").mapInArrow(run, "a long, b long")
 
 
 def _blocks_compared(heavy: DataFrame, docs: DataFrame, words: int, percent: int, block_docs: int = 1024, block_shingles: int = 200_000) -> DataFrame:
@@ -160,7 +173,8 @@ def _blocks_compared(heavy: DataFrame, docs: DataFrame, words: int, percent: int
     for it and not once for each bucket. Its documents outside that component are compared with
     all its documents. Both sides are cut to blocks of bounded documents and shingles; a
     task gets one block of each, and an inverted index over the second block's full sets (64-bit
-    shingle hashes) counts all overlaps of a document at once. Only links leave the task.
+    shingle hashes) counts all overlaps of a document at once. Of these, pairs of components that the task has
+    not yet joined are confirmed on the sets themselves, so fewer links than components leave the task.
     """
     held = heavy.select("main", "doc", "component", "n").distinct()
     size = held.groupBy("main").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_docs), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("blocks"))
@@ -175,23 +189,40 @@ def _blocks_compared(heavy: DataFrame, docs: DataFrame, words: int, percent: int
         sketch = Sketcher(words, 1, 1)
         side = group["side"].to_numpy()
         ids, labels = group["doc"].to_numpy(), group["component"].to_numpy()
-        sets = [sketch.shingles(t.as_py()) for t in group["text"]]
+        texts = group["text"].to_pylist()
+        sets = [sketch.shingles(t) for t in texts]
         second = np.flatnonzero(side == 1)
         sizes = np.array([len(sets[k]) for k in second], np.int64)
         owner = np.repeat(np.arange(len(second)), sizes)
         found = np.concatenate([sets[k] for k in second]) if len(second) else np.empty(0, np.uint64)
         order = np.argsort(found, kind="stable")
         found, owner = found[order], owner[order]
-        pairs = set()
-        for k in np.flatnonzero(side == 0):
-            mine = sets[k]
+        above: dict[int, int] = {}
+
+        def root(label: int) -> int:
+            while label in above:
+                if above[label] in above:
+                    above[label] = above[above[label]]
+                label = above[label]
+            return label
+
+        out = []
+        for k in np.flatnonzero(side == 0).tolist():
+            mine, exact = sets[k], None
             low, high = np.searchsorted(found, mine, "left"), np.searchsorted(found, mine, "right")
             spans = [owner[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True) if b > a]
-            if spans:
-                both = np.bincount(np.concatenate(spans), minlength=len(second))
-                link = (100 * both >= percent * (len(mine) + sizes - both)) & (both > 0) & (labels[second] != labels[k])
-                pairs.update((min(int(ids[k]), int(d)), max(int(ids[k]), int(d))) for d in ids[second[link]])
-        out = sorted(pairs)
+            if not spans:
+                continue
+            both = np.bincount(np.concatenate(spans), minlength=len(second))
+            link = (100 * both >= percent * (len(mine) + sizes - both)) & (both > 0) & (labels[second] != labels[k])
+            for other in second[link].tolist():
+                x, y = root(int(labels[k])), root(int(labels[other]))
+                if x == y:
+                    continue
+                exact = exact or shingle_set(texts[k], words)
+                if similar(exact, shingle_set(texts[other], words), percent):
+                    above[max(x, y)] = min(x, y)
+                    out.append((min(int(ids[k]), int(ids[other])), max(int(ids[k]), int(ids[other]))))
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
     return rows.groupBy("main", "i", "j").applyInArrow(compare, "a long, b long")
