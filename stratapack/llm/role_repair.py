@@ -7,12 +7,12 @@ costs are COSTS. Dynamic programming over the automaton's four states finds a ch
 repair; of equal ones, the first in the order keep, merge, insert, relabel, by state.
 
 A conversation may be of any length, so it is not gathered. Turns are dealt to ranges of
-(conv_id, turn, role, text hash) of about equal row count and written once. A
+(conv_id, turn, role, text hash) of about equal row count, as many as keep a range near RANGE_BYTES, and written once. A
 range repairs the conversations that lie inside it. For the one at each of its ends
 it first gives a 4 x 4 matrix of least costs from state to state; such matrices of one
 conversation, at most two rows a range, are combined (minimum, plus) on the driver, which tells
-each range the states in which it enters and leaves them. A row's rendered piece depends
-only on its state, so pieces in order are the rendered conversation.
+each range the states in which it enters and leaves them, and how many turns came before. A row's rendered piece depends
+only on its state, so the pieces by position are the rendered conversation.
 
 Cases: a null role, or one the automaton doesn't know, must be relabelled at its own lower
 cost. A null text is empty. Rows without a conv_id are one conversation. Equal turn
@@ -38,7 +38,9 @@ LEGAL = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT:
 COSTS = {"merge": 1, "insert": 2, "relabel": 3, "unknown": 1}
 OPEN, CLOSE, JOINT = "<|im_start|>{}\n", "<|im_end|>\n", "\n"
 NEVER = 1 << 40
-_PIECES = "conv_id long, turn long, role string, seq long, action string, n_inserted int, out_role string, cost int, rendered string"
+#: Bytes of text that a range holds, about.
+RANGE_BYTES = 64 << 20
+_PIECES = "conv_id long, turn long, role string, position long, action string, n_inserted int, out_role string, cost int, rendered string"
 
 
 @lru_cache(maxsize=1)
@@ -142,8 +144,8 @@ def piece(before: int, after: int, action: str, inserted: tuple[int, ...], text:
     return out + CLOSE + _empty(ending(after)) if last else out
 
 
-def stitched(fragments: list[dict]) -> dict[tuple[int, int], tuple[int, int, bool]]:
-    """(range, first seq) -> states of entering and leaving, and whether the conversation ends there, for those in several ranges."""
+def stitched(fragments: list[dict]) -> dict[tuple[int, int], tuple[int, int, bool, int]]:
+    """(range, first seq) -> states of entering and leaving, whether the conversation ends there, and its turns before, for those in several ranges."""
     by: dict[object, list[dict]] = {}
     for f in sorted(fragments, key=lambda f: (f["part"], f["seq"])):
         by.setdefault(f["conv_id"], []).append(f)
@@ -158,9 +160,11 @@ def stitched(fragments: list[dict]) -> dict[tuple[int, int], tuple[int, int, boo
             back.append([a for _, a in through])
             best = [min(c, NEVER) for c, _ in through]
         leave = min(range(4), key=lambda q: (best[q] + COSTS["insert"] * len(ending(q)), q))
+        before = sum(f["turns"] for f in parts)
         for k in range(len(parts) - 1, -1, -1):
             enter = back[k][leave]
-            out[parts[k]["part"], parts[k]["seq"]] = (enter, leave, k == len(parts) - 1)
+            before -= parts[k]["turns"]
+            out[parts[k]["part"], parts[k]["seq"]] = (enter, leave, k == len(parts) - 1, before)
             leave = enter
     return out
 
@@ -172,11 +176,13 @@ def _runs(ids: list) -> list[tuple[int, int]]:
 
 
 def repaired_turns(turns: DataFrame, ranges: int | None = None) -> DataFrame:
-    """conv_id, turn, role, seq (order), action, n_inserted, out_role, cost, rendered: one row per row of turns."""
+    """conv_id, turn, role, position (in the conversation, from 0), action, n_inserted, out_role, cost, rendered: one row per row of turns."""
     spark = turns.sparkSession
     ship(spark)
-    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    if not ranges:
+        held = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
+        ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-held // RANGE_BYTES))
     keys = ["conv_id", "turn", "role", F.xxhash64("text")]
     dealt = rows.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys)
     dealt = staged(dealt.withColumn("part", F.spark_partition_id()).withColumn("seq", F.monotonically_increasing_id()), "turns")
@@ -186,12 +192,12 @@ def repaired_turns(turns: DataFrame, ranges: int | None = None) -> DataFrame:
         ids, roles, seq = (group[c].to_pylist() for c in ("conv_id", "role", "seq"))
         spans = _runs(ids)
         spans = spans if len(spans) == 1 else [spans[0], spans[-1]]
-        out = [(group["part"][0].as_py(), seq[a], ids[a], [c for row in costs_between([role_number(r) for r in roles[a:b]]) for c in row]) for a, b in spans]
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-        return pa.table({n: pa.array(c, t) for n, c, t in zip(("part", "seq", "conv_id", "costs"), zip(*out, strict=True), kinds, strict=True)})
+        out = [(group["part"][0].as_py(), seq[a], ids[a], b - a, [c for row in costs_between([role_number(r) for r in roles[a:b]]) for c in row]) for a, b in spans]
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("part", "seq", "conv_id", "turns", "costs"), zip(*out, strict=True), kinds, strict=True)})
 
     # At most two rows of sixteen numbers for each range, whatever the ranges hold.
-    fragments = dealt.select("part", "seq", "conv_id", "role").groupBy("part").applyInArrow(ends, "part int, seq long, conv_id long, costs array<long>")
+    fragments = dealt.select("part", "seq", "conv_id", "role").groupBy("part").applyInArrow(ends, "part int, seq long, conv_id long, turns long, costs array<long>")
     known = stitched([r.asDict() for r in fragments.collect()])
 
     def render(group: pa.Table) -> pa.Table:
@@ -200,11 +206,11 @@ def repaired_turns(turns: DataFrame, ranges: int | None = None) -> DataFrame:
         ids, turn, roles, seq, texts = (group[c].to_pylist() for c in ("conv_id", "turn", "role", "seq", "text"))
         out = []
         for a, b in _runs(ids):
-            enter, leave, last = known.get((part, seq[a]), (START, None, True))
+            enter, leave, last, earlier = known.get((part, seq[a]), (START, None, True, 0))
             for k, (before, after, cost, action, inserted) in zip(range(a, b), repair([role_number(r) for r in roles[a:b]], enter, leave), strict=True):
                 end = last and k == b - 1
                 tail = ending(after) if end else ()
-                out.append((ids[k], turn[k], roles[k], seq[k], action, len(inserted) + len(tail), NAMES[after], cost + COSTS["insert"] * len(tail), piece(before, after, action, inserted, texts[k], end)))
+                out.append((ids[k], turn[k], roles[k], earlier + k - a, action, len(inserted) + len(tail), NAMES[after], cost + COSTS["insert"] * len(tail), piece(before, after, action, inserted, texts[k], end)))
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string()]
         names = [c.split()[0] for c in _PIECES.split(", ")]
         return pa.table({n: pa.array(c, t) for n, c, t in zip(names, zip(*out, strict=True), kinds, strict=True)})
@@ -214,9 +220,10 @@ def repaired_turns(turns: DataFrame, ranges: int | None = None) -> DataFrame:
 
 def rendered(pieces: DataFrame) -> DataFrame:
     """conv_id, text: whole conversations, for those that fit a row."""
-    parts = F.array_sort(F.collect_list(F.struct("seq", "rendered")))
+    parts = F.array_sort(F.collect_list(F.struct("position", "rendered")))
     return pieces.groupBy("conv_id").agg(F.array_join(F.transform(parts, lambda x: x["rendered"]), "").alias("text"))
 
 
 def op5_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repaired_turns(table(spark, sf_dir, "conversations")).drop("seq")
+    """Each turn's repair and piece; a conversation's pieces by position are its rendered text."""
+    return repaired_turns(table(spark, sf_dir, "conversations"))

@@ -74,7 +74,7 @@ def test_repaired_conversations_stay(spark):
     pieces = rr.repaired_turns(turns, 3).collect()
     assert len(pieces) == turns.count()
     by = {}
-    for p in sorted(pieces, key=lambda p: p["seq"]):
+    for p in sorted(pieces, key=lambda p: (p["conv_id"] is not None, p["conv_id"] or 0, p["position"])):
         by.setdefault(p["conv_id"], []).append(p)
     for own in by.values():
         if re.fullmatch("s?(ua)+", "".join(p["role"][0] for p in own)):
