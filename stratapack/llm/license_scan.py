@@ -15,11 +15,13 @@ doc_id and text are read; whole texts are scanned.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -91,32 +93,53 @@ class NoticeSearch:
             self.seeds.add_word(seed, (len(seed), places))
         self.seeds.make_automaton()
 
-    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], list[Hit]]:
-        """Base places as (phrase, first word) and the notices' hits."""
-        text = f" {b' '.join(words).decode('utf-8', 'replace')} "
+    def candidates(self, text: str) -> tuple[list[tuple[int, int]], dict[int, list[list[int]]]]:
+        """Base places as (phrase, first character) and, for each notice, the disjoint spans in which it can lie."""
         base: list[tuple[int, int]] = []
         spans: dict[int, list[list[int]]] = {}
         for last, (size, places) in self.seeds.iter(text):
             first = last - size + 1
             for k, at in places:
                 if k < 0:
-                    base.append((at, text.count(" ", 0, first)))
+                    base.append((at, first))
                     continue
                 notice, _, edits = self.notices[k]
-                low, high = max(0, first - at - edits - 1), first - at + len(notice) + edits + 1
+                low, high = max(0, first - at - edits - 1), min(len(text), first - at + len(notice) + edits + 1)
                 seen = spans.setdefault(k, [])
-                if seen and low <= seen[-1][1]:
-                    seen[-1][1] = max(high, seen[-1][1])
-                else:
-                    seen.append([low, high])
-        hits = []
+                # Seeds come in order, but a later one may open its span up to 2 * edits before an earlier one's.
+                while seen and low <= seen[-1][1]:
+                    before = seen.pop()
+                    low, high = min(low, before[0]), max(high, before[1])
+                seen.append([low, high])
+        return base, spans
+
+    def hits(self, text: str, spans: dict[int, list[list[int]]]) -> list[Hit]:
+        """All verified occurrences inside the spans."""
+        out = []
         for k, seen in spans.items():
             _, label, edits = self.notices[k]
             for low, high in seen:
-                for m in self.patterns[k].finditer(text, low, min(high, len(text))):
+                for m in self.patterns[k].finditer(text, low, high):
                     if m.end() > m.start():
-                        hits.append(Hit(label, m.start() - 1, m.end() - 1, sum(m.fuzzy_counts), edits))
-        return base, [h for h in hits if not any(_beats(g, h) for g in hits)]
+                        out.append(Hit(label, m.start() - 1, m.end() - 1, sum(m.fuzzy_counts), edits))
+        return out
+
+    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], list[Hit]]:
+        """Base places as (phrase, first word) and the notices' best hits."""
+        text = f" {b' '.join(words).decode('utf-8', 'replace')} "
+        base, spans = self.candidates(text)
+        if base:
+            blanks = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), "<u4") == 32)
+            base = [(k, int(w)) for (k, _), w in zip(base, np.searchsorted(blanks, [first for _, first in base]), strict=True)]
+        return base, best_hits(self.hits(text, spans))
+
+
+def best_hits(hits: list[Hit]) -> list[Hit]:
+    """Those that no other beats. Only overlapping hits can, and none is longer than the longest."""
+    hits = sorted(hits, key=lambda h: (h.start, h.end, h.edits, h.label))
+    starts, longest = [h.start for h in hits], max((h.end - h.start for h in hits), default=0)
+    near = lambda h: hits[bisect_left(starts, h.start - longest) : bisect_right(starts, h.end)]
+    return [h for h in hits if not any(_beats(g, h) for g in near(h))]
 
 
 def _beats(g: Hit, h: Hit) -> bool:
