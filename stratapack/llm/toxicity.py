@@ -9,8 +9,8 @@ the tasks; the driver gets those that differ between the classes, and no texts.
 
 Regulariser: every sampled text is paired with a counterfactual in which identity
 terms are swapped for others of their group; a text without any gets a neutral
-mention of one. The squared difference of the two scores is penalised, which
-drives the weights of group mentions to each other and to zero.
+mention of one. The squared difference of the two scores before the logistic function (the log odds) is
+penalised, which drives the weights of group mentions to each other and to zero.
 
 Cases: null and empty texts are scored by the bias alone. With no labelled rows the
 score is 0; with one class it is that class's share. Null labels are not used; a
@@ -164,7 +164,7 @@ def fit(sample: Sample, strength: float = 3e-5, swap_strength: float = 1.0, step
     return Model(weights, float(bias))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, swap_strength: float = 1.0) -> Model:
     """Fit on at most max_rows labelled documents whose fold (crc32 of the id modulo 4) is not 2."""
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("label"))
     known = known.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
@@ -220,7 +220,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
             rows["label"].to_numpy(), place["features"], joined["features"],
             np.concatenate([place["plus"], place["minus"]]), np.concatenate([joined["plus"], joined["minus"]]),
             np.concatenate([np.ones(len(joined["plus"])), -np.ones(len(joined["minus"]))]),
-        )
+        ),
+        swap_strength=swap_strength,
     )
 
 
