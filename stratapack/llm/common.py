@@ -25,9 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path under spark.checkpoint.dir; only where that is unset (tests), under the temp folder."""
+    """A new path under spark.checkpoint.dir. Where that is unset, under the temp folder in local mode; on a cluster that is an error."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         top = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", "stratapack")
     return f"{top.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
@@ -48,12 +50,14 @@ def staged(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
 def drop_staged(*dfs: DataFrame) -> None:
     """Delete the files of stage tables that no later plan reads."""
     for df in dfs:
-        spark = df.sparkSession
-        jvm = spark.sparkContext._jvm
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
         for top in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(top)
-            path.getFileSystem(conf).delete(path, True)
+            delete(df.sparkSession, top)
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    """Delete a folder in whatever store it lies."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_of(column: str = "text") -> Column:

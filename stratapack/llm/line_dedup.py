@@ -27,16 +27,16 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratapack.llm.common import SPACES, rows_of, staged, table
+from stratapack.llm.common import SPACES, delete, rows_of, scratch, staged, table
 from stratapack.session import ship
 
 _SPACES = SPACES.encode()
 _LAST = 9223372036854775807
 LEAST_CHARS = 10
-_PAIRS = "doc long, h1 long, h2 long"
+_PAIRS = "doc long, part long, h1 long, h2 long"
 
 
 def line_keys(text: str | None, least: int = LEAST_CHARS) -> Iterator[tuple[bytes, bytes | None]]:
@@ -48,49 +48,61 @@ def line_keys(text: str | None, least: int = LEAST_CHARS) -> Iterator[tuple[byte
 
 
 def document_lines(docs: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
-    """Distinct (doc, h1, h2) of each row's keys; a null doc_id becomes the largest long."""
+    """Distinct (doc, part, h1, h2) of each row's keys. A null doc_id becomes the largest long, and part tells its texts apart by a hash (else 0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, digests = [], []
-            for doc_id, text in rows_of(batch):
+            ids, parts, digests = [], [], []
+            for doc_id, text, part in rows_of(batch):
                 found = {h for _, h in line_keys(text, least) if h}
                 ids += [_LAST if doc_id is None else doc_id] * len(found)
+                parts += [part] * len(found)
                 digests += found
             halves = pa.py_buffer(b"".join(digests))
             both = pa.Array.from_buffers(pa.int64(), 2 * len(digests), [None, halves]).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(both[0::2].copy()), pa.array(both[1::2].copy())], ["doc", "h1", "h2"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(parts, pa.int64()), pa.array(both[0::2].copy()), pa.array(both[1::2].copy())], ["doc", "part", "h1", "h2"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, _PAIRS)
+    return docs.select("doc_id", "text", _part()).mapInArrow(run, _PAIRS)
+
+
+def _part() -> Column:
+    """0 for rows with an id. Rows without one are one document, of any size, so their lists of lines to drop are kept by text."""
+    return F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("long")).alias("part")
 
 
 class LineRuns:
-    """The levelled store. Runs are tables in the warehouse, which all executors share."""
+    """The levelled store. Runs are tables whose files lie in the folder that driver and executors share."""
 
     def __init__(self, spark: SparkSession, buckets: int | None = None, fanout: int = 3):
         self.spark, self.fanout = spark, fanout
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.name, self.made = f"line_runs_{uuid.uuid4().hex}", 0
         self.levels: list[list[str]] = [[]]
+        self.folders: dict[str, str] = {}
 
     def _write(self, rows: DataFrame) -> str:
         name = f"{self.name}_{self.made}"
         self.made += 1
-        rows.repartition(self.buckets, "h1", "h2").write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").format("parquet").saveAsTable(name)
+        self.folders[name] = scratch(self.spark, "line-run")
+        rows.repartition(self.buckets, "h1", "h2").write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").format("parquet").option("path", self.folders[name]).saveAsTable(name)
         return name
 
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        delete(self.spark, self.folders.pop(name))
+
     def runs(self) -> list[DataFrame]:
         return [self.spark.table(n) for level in self.levels for n in level]
 
     def ingest(self, pairs: DataFrame) -> DataFrame:
-        """Add a batch of (doc, h1, h2); returns the pairs whose lines go, written to the shared folder."""
+        """Add a batch of (doc, h1, h2) and more; returns the pairs whose lines go, written to the shared folder."""
         fresh = pairs.groupBy("h1", "h2").agg(F.min("doc").alias("owner"))
         for run in self.runs():
             fresh = fresh.join(run.hint("merge"), ["h1", "h2"], "left_anti")
         name = self._write(fresh)
         self.levels[0].append(name)
         owners = self.spark.table(name).withColumnRenamed("owner", "doc")
-        drops = staged(pairs.join(owners, ["h1", "h2", "doc"], "left_anti").select("doc", "h1", "h2"), "line-drops")
+        drops = staged(pairs.join(owners, ["h1", "h2", "doc"], "left_anti").select(*pairs.columns), "line-drops")
         self._compact()
         return drops
 
@@ -104,7 +116,7 @@ class LineRuns:
                     rows = rows.unionByName(self.spark.table(n))
                 merged = self._write(rows)
                 for n in names:
-                    self.spark.sql(f"DROP TABLE {n}")
+                    self._drop(n)
                 self.levels[level] = []
                 if level + 1 == len(self.levels):
                     self.levels.append([])
@@ -114,15 +126,16 @@ class LineRuns:
     def close(self) -> None:
         for level in self.levels:
             for n in level:
-                self.spark.sql(f"DROP TABLE IF EXISTS {n}")
+                self._drop(n)
         self.levels = [[]]
 
 
 def _without(docs: DataFrame, drops: DataFrame, least: int) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_text of each row."""
-    gone = drops.groupBy("doc").agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))
-    gone = gone.select("doc", F.col("gone.h1").alias("g1"), F.col("gone.h2").alias("g2"))
-    mine = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(_LAST)).alias("doc")).join(gone, "doc", "left")
+    # A list holds lines of one document (without an id: of one text), so it is no longer than that.
+    gone = drops.groupBy("doc", "part").agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))
+    gone = gone.select("doc", "part", F.col("gone.h1").alias("g1"), F.col("gone.h2").alias("g2"))
+    mine = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), _part()).join(gone, ["doc", "part"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,7 +165,7 @@ def drop_repeated_lines(docs: DataFrame, batches: int = 4, least: int = LEAST_CH
     store, drops = LineRuns(spark, fanout=fanout), None
     try:
         for k in range(len(cuts) + 1):
-            gone = store.ingest(pairs.filter(F.col("batch") == k).select("doc", "h1", "h2"))
+            gone = store.ingest(pairs.filter(F.col("batch") == k).select("doc", "part", "h1", "h2"))
             drops = gone if drops is None else drops.unionByName(gone)
     finally:
         store.close()

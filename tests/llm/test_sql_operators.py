@@ -76,3 +76,11 @@ def test_runs_compact(spark):
     assert [len(level) for level in store.levels] == [1, 0, 1]
     assert sum(r.count() for r in store.runs()) == 6
     store.close()
+
+
+def test_rows_without_id_are_cut_by_text(spark):
+    """They are one document: lines that a smaller doc_id holds go from each of them, their own lines stay in all."""
+    rows = [(1, "a shared line here\nonly in one"), (None, "A shared line here \nanother line of text"), (None, "another line of text\nx"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted((r["doc_id"] or 0, r["kept_text"], r["n_dropped"]) for r in line_dedup.drop_repeated_lines(docs, batches=2).collect())
+    assert found == [(0, "", 0), (0, "another line of text", 1), (0, "another line of text\nx", 0), (1, "a shared line here\nonly in one", 0)]
