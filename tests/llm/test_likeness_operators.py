@@ -106,6 +106,114 @@ def test_fingerprints_of_odd_rows(spark):
     assert one["near_next"] == 1.0 and hashlib.sha256(one["edited"].encode()).hexdigest() == hashlib.sha256(b"a a").hexdigest()
 
 
+def brute_prints(texts, band):
+    """xxhash64 of Spark, by hand: term sets and the parts that they give, as comparable values."""
+    import re
+
+    import xxhash
+
+    def h(word):
+        x = xxhash.xxh64_intdigest(word.encode(), 42)
+        return x
+
+    terms = [{h(w) for w in re.split(r"[\W_]+", t.lower())} - {h("")} for t in texts]
+    distinct, n = {}, len(texts)
+    for t, own in zip(texts, terms, strict=True):
+        distinct.setdefault(t, own)
+    copies = {t: texts.count(t) for t in distinct}
+    hot = {t for t, c in copies.items() if c > 1 and c > imatch.HOT * n}
+    n -= sum(copies[t] - 1 for t in hot)
+    df = {}
+    for t, own in distinct.items():
+        for w in own:
+            df[w] = df.get(w, 0) + (1 if t in hot else copies[t])
+    lex = {w for w, c in df.items() if band[0] * n <= c <= max(1.0, band[1] * n)}
+
+    def parts(text):
+        own = {h(w) for w in re.split(r"[\W_]+", text.lower())} & lex or {h(text.lower()) | 1 << 64}
+        return [frozenset(own), *(frozenset(w for w in own if w >> s & ((1 << b) - 1) == 0) for s, b in imatch.SUBSETS)]
+
+    return parts
+
+
+def test_fingerprints_equal_brute_force(spark):
+    """Equal parts and likenesses are those of sets of terms in an exact lexicon, with a hot group of copies among the rows."""
+    rng = random.Random(3)
+    vocabulary = [f"w{k}" for k in range(400)]
+    texts = [" ".join(rng.choices(vocabulary, weights=[1 / (k + 3) for k in range(400)], k=rng.randint(1, 60))) for _ in range(90)] + ["hot words of one text, again"] * 30
+    band = (0.01, 0.2)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = sorted(imatch.imatch(docs, band).collect())
+    parts = brute_prints(texts, band)
+
+    def like(a, b):
+        # The part of the whole lexicon, or of the text itself, is never empty.
+        used = [(x, y) for x, y in zip(a, b, strict=True) if x or y]
+        return sum(x == y for x, y in used) / len(used)
+
+    hashed = lambda p: any(w >> 64 for w in p[0])
+    for k, r in enumerate(found):
+        own, changed, following = parts(texts[k]), parts(r["edited"]), parts(texts[(k + 1) % len(texts)])
+        if not (hashed(own) or hashed(changed)):
+            assert r["near_edited"] == pytest.approx(like(own, changed))
+        if not (hashed(own) or hashed(following)):
+            assert r["near_next"] == pytest.approx(like(own, following))
+    assert sum(hashed(parts(t)) for t in texts[:90]) < 20 and not hashed(parts(texts[-1]))
+
+
+def test_ranges_are_even(spark):
+    """Ids far apart don't leave all rows to one range."""
+    ids = [*range(1000), 1 << 60, None]
+    docs = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+    place, n = imatch._ranges(docs, 8)
+    sizes = [r["count"] for r in docs.groupBy(place.alias("r")).count().orderBy("r").collect()]
+    assert len(sizes) == n == 8 and max(sizes) < 200
+    place, n = imatch._ranges(docs, 1)
+    assert n == 1
+    rows = spark.createDataFrame([(i, str(i)) for i in ids if i is not None], "doc_id long, text string")
+    after = {r["doc_id"]: r["next"]["text"] for r in imatch.with_next(rows, 7).collect()}
+    order = sorted(after)
+    assert after == {i: str(j) for i, j in zip(order, order[1:] + order[:1], strict=True)}
+
+
+def odd_documents(spark):
+    """Documents with nulls, repeated rows, very long texts and columns that clash with those of the stages."""
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in table(spark, SF, "documents").limit(40).collect()]
+    rows += [(1000, None, None), (1001, "", "en"), (1002, " \t\n", None), (None, None, None), (None, "a text without an id", "en"), (1003, "repeated row of one document", "en"), (1003, "repeated row of one document", "en"), (1004, "word " * 50_000, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for name in ("ids", "h", "keep_id", "kept", "kept_id", "gone_id", "cell", "shard", "row", "a", "b", "component", "score", "start"):
+        docs = docs.withColumn(name, F.lit(f"clash of {name}"))
+    return docs
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    docs = odd_documents(spark)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels = table(spark, SF, "labels")
+    labels.unionByName(spark.createDataFrame([(None, None, 1), (5, 1, None), (6, None, 0)], "doc_id long, quality int, toxic int")).write.parquet(str(tmp_path / "labels.parquet"))
+    kept, seen = docs, {}
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        kept = corpus_pipeline.staged(stage(spark, kept, str(tmp_path)), name)
+        assert kept.columns == docs.columns
+        seen[name] = [(r["doc_id"], r["text"]) for r in kept.collect()]
+        assert all(r["row"] == "clash of row" for r in kept.select("row").collect())
+    # Of the four texts without words one row stays, of the repeated row too; rows without an id stay.
+    exact = seen["exact_dedup"]
+    assert sum(not (t or "").strip() for _, t in exact) == 1 and sum(i == 1003 for i, _ in exact) == 1
+    assert (None, "a text without an id") in exact and (1004, "word " * 50_000) in exact
+    assert {i for i, _ in seen["near_dedup"]} == {i if i != -1 else None for i, _, _, keep in brute_components(exact, 5) if keep}
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in rows} == {i for i, _ in seen["near_dedup"]}
+
+
+def test_links_of_repeated_ids(spark):
+    """Two rows of one doc_id with texts of one length are both compared."""
+    a, b = (" ".join(f"{x}{k:03}" for k in range(100)) for x in "xy")
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more")]
+    found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in found} == {(1, 1), (2, 1), (3, 1)}
+
+
 def test_pipeline(spark):
     docs = table(spark, SF, "documents")
     kept = docs

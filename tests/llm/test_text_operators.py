@@ -254,17 +254,46 @@ def test_licences(spark):
     assert license_scan.license_notices(frame(spark).limit(0)).count() == 0
 
 
-def test_fuzzy_search_finds_every_edit():
-    """Against the whole-text regex: every notice with up to the allowed edits is found."""
+def altered(notice, edits, rng):
+    """The notice with up to so many substitutions, insertions and deletions inside it."""
+    letters = list(notice)
+    for _ in range(edits):
+        k, letter = int(rng.integers(1, len(letters) - 1)), "qzx "[rng.integers(0, 4)]
+        kind = int(rng.integers(0, 3))
+        letters[k : k + (kind != 1)] = [letter] * (kind != 2)
+    return " ".join("".join(letters).split())
+
+
+def test_fuzzy_search_equals_whole_text_regex():
+    """What bounded-error matching finds in the whole text, seeds and spans find too, for substitutions, insertions and deletions."""
     search, rng = license_scan.NoticeSearch(), np.random.default_rng(7)
-    for notice, label, edits in license_scan.NOTICES:
-        for _ in range(5):
-            letters = list(notice)
-            for _ in range(rng.integers(0, edits + 1)):
-                k = int(rng.integers(1, len(letters) - 1))
-                letters[k] = "q"
-            words = ("some words before " + "".join(letters) + " and after").encode().split()
-            assert any(h.label == label for h in search.scan(words)[1]) or any(h.edits == 0 for h in search.scan(words)[1])
+    found = 0
+    for notice, _, edits in license_scan.NOTICES:
+        for _ in range(6):
+            text = f" some words before {altered(notice, int(rng.integers(0, edits + 1)), rng)} and after {altered(notice, edits, rng)} at the end "
+            spans = search.candidates(text)[1]
+            own = [(h.label, h.allowed, h.start, h.end, h.edits) for h in search.hits(text, spans)]
+            for k, (_, label, allowed) in enumerate(license_scan.NOTICES):
+                whole = [(m.start() - 1, m.end() - 1, sum(m.fuzzy_counts)) for m in search.patterns[k].finditer(text) if m.end() > m.start()]
+                found += len(whole)
+                for start, end, n in whole:
+                    # A span opens later than the text, so a match there may begin some characters aside, with no more edits.
+                    assert any(x[:2] == (label, allowed) and x[2] < end and start < x[3] for x in own), (text, label)
+                    assert min(x[4] for x in own if x[:2] == (label, allowed) and x[2] < end and start < x[3]) <= allowed
+    assert found > 200
+
+
+def test_many_notices_take_linear_time():
+    import time
+
+    search, took = license_scan.NoticeSearch(), []
+    for n in (1000, 4000):
+        words = ("the MIT License and the apache license or gnu general public licence, " * n).lower().replace(",", "").encode().split()
+        began = time.process_time()
+        base, hits = search.scan(words)
+        took.append(time.process_time() - began)
+        assert len(base) == 2 * n and len({w for _, w in base}) == 2 * n and len(hits) >= 3 * n
+    assert took[1] < 10 * took[0]
 
 
 def test_toxicity(spark):
@@ -298,6 +327,26 @@ def test_toxicity(spark):
     assert toxicity.toxicity(docs.limit(0), model).count() == 0
 
 
+def test_swap_penalty_clears_group_mentions(spark):
+    """Group terms that go with toxic rows in the labels get weight without the penalty and lose it with the penalty."""
+    rng = np.random.default_rng(11)
+    plain = [f"word{k}" for k in range(200)]
+    rows, labels = [], []
+    for k in range(900):
+        toxic = k % 3 == 0
+        words = list(rng.choice(plain, 20)) + (["vile"] if toxic and k % 2 else []) + (["muslims"] if rng.random() < (0.6 if toxic else 0.08) else [])
+        rows.append((k, " ".join(words)))
+        labels.append((k, 0, int(toxic)))
+    docs, marks = frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    odds = lambda p: math.log(p / (1 - p))
+    shift = {}
+    for strength in (0.0, 1.0):
+        score = toxicity.train(docs, marks, swap_strength=strength).scorer()
+        shift[strength] = odds(score("word1 word2 muslims")) - odds(score("word1 word2"))
+        assert odds(score("word1 word2 vile")) - odds(score("word1 word2")) > 1
+    assert shift[0.0] > 1 and abs(shift[1.0]) < 0.25 * shift[0.0]
+
+
 def test_elias_fano():
     rng = np.random.default_rng(1)
     for n, universe in ((1, 1), (1, 10), (5, 5), (100, 1000), (1000, 100), (3000, 1 << 40)):
@@ -322,11 +371,22 @@ def test_trie(tmp_path):
     assert (trie.find((ask // 5000).astype(np.uint64), (ask % 5000).astype(np.uint64)) == want).all()
 
 
-@pytest.mark.parametrize("source", ["odd", "table"])
-def test_language_model(spark, source):
-    docs = frame(spark) if source == "odd" else table(spark, SF, "documents")
+def test_word_ids_that_do_not_fit():
+    assert ngram_lm.Totals(10**12, 1 << 33, 1, 1, (1 << 22) - 1, 1023).ids == (1 << 22) * 1023
+    with pytest.raises(ValueError, match="word ids"):
+        ngram_lm.Totals(10**12, 1 << 33, 1, 1, 1 << 22, 1024)
+    # Pairs of the largest ids are told apart.
+    size = (1 << 32) - 1
+    keys = ngram_lm._pairs(np.array([size - 1, size - 1, size - 2], np.uint32), np.array([size - 1, size - 2, size - 1], np.uint32), size)
+    assert keys.tolist() == [(size - 1) * size + size - 1, (size - 1) * size + size - 2, (size - 2) * size + size - 1]
+
+
+@pytest.mark.parametrize("source,fan", [("odd", 256), ("table", 256), ("table", 2), ("odd", 1)])
+def test_language_model(spark, source, fan):
+    """Against the formulas; with few shards that each block addresses, and with groups of shards and merged messages."""
+    docs = frame(spark) if source == "odd" else table(spark, SF, "documents").repartition(5)
     rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
-    found = ngram_lm.lm_scores(docs, pair_tokens=20_000, shard_words=5_000).collect()
+    found = ngram_lm.lm_scores(docs, pair_tokens=4_000 if fan < 9 else 20_000, shard_words=5_000, fan=fan, block_tokens=6_000 if fan < 9 else 2_000_000).collect()
     tokens = [(i, (t or "").encode().lower().split() + [b""]) for i, t in rows]
     held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 5 == 1
     words, pairs = Counter(), Counter()
@@ -335,7 +395,7 @@ def test_language_model(spark, source):
             words.update(w)
             pairs.update(zip([b"", *w], w, strict=False))
     n, v = sum(words.values()), len(words)
-    totals = ngram_lm.Totals(n, v, sum(c == 1 for c in words.values()), sum(c == 2 for c in words.values()), 1)
+    totals = ngram_lm.Totals(n, v, sum(c == 1 for c in words.values()), sum(c == 2 for c in words.values()), v, 1)
     want = []
     for i, w in tokens:
         base = sum(math.log10((words[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w)
