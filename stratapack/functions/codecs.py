@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 import xxhash
@@ -41,33 +40,45 @@ def checksum(data: bytes) -> int:
     return xxhash.xxh3_64_intdigest(data) & 0xFFFFFFFF
 
 
-def encoder(options: Options) -> Callable[[bytes], bytes] | None:
-    search = lz.for_level(options.level)
-    return {
-        "stored": None,
-        "lz4": lambda data: lz.lz4_block(data, lz.sequences(data, search)),
-        "glz": lambda data: columnar.glz_encode(data, search, options.groups),
-        "glze": lambda data: columnar.glze_encode(data, search, options.groups),
-    }[options.codec]
+def parsed(data: bytes, options: Options) -> list[tuple[int, int, int, int]]:
+    return lz.sequences(data, lz.for_level(options.level), options.groups if options.codec != "lz4" else None)
 
 
-def smallest(data: bytes, names: tuple[str, ...], encode: Callable[[bytes], bytes]) -> tuple[bytes, str]:
-    """The smallest block of all filters; the earliest of equal ones."""
-    blocks = ((encode(filters.forward(data, name)), name) for name in names)
-    return min(blocks, key=lambda x: len(x[0]))
+_BLOCK = {"lz4": lz.lz4_block, "glz": columnar.glz_block, "glze": lambda data, found: columnar.glze_from_glz(columnar.glz_block(data, found))}
+_SIZE = {"lz4": lambda data, found: lz.lz4_size(found), "glz": lambda data, found: columnar.glz_size(found), "glze": columnar.glze_size}
+
+
+def block(data: bytes, options: Options) -> bytes:
+    """The codec's block of unfiltered bytes, whether it is smaller or not."""
+    return _BLOCK[options.codec](data, parsed(data, options))
+
+
+def smallest(data: bytes, names: tuple[str, ...], options: Options) -> tuple[str, bytes, list[tuple[int, int, int, int]]]:
+    """The filter whose block is the smallest, the earliest of equal ones, with the filtered bytes and their parse. No block is made."""
+    best = None
+    for name in names:
+        filtered = filters.forward(data, name)
+        found = parsed(filtered, options)
+        size = _SIZE[options.codec](filtered, found)
+        if best is None or size < best[0]:
+            best = (size, name, filtered, found)
+    return best[1:]
 
 
 def encode_chunk(data: bytes, options: Options) -> tuple[bytes, bool, str]:
     """(payload, stored, filter). A chunk that doesn't shrink is stored unfiltered."""
-    encode = encoder(options)
-    if encode is None:
+    if options.codec == "stored":
         return data, True, "none"
-    names = filters.candidates(options.level) if options.filters in ("auto", "exhaustive") else (options.filters,)
-    if options.filters == "auto":
-        sample = data[: filters.sample_len(options.chunk_size)]
-        names = (smallest(sample, names, encode)[1],)
-    block, name = smallest(data, names, encode)
-    return (block, False, name) if len(block) < len(data) else (data, True, "none")
+    name, made = options.filters, None
+    if name in ("auto", "exhaustive"):
+        sample = data[: filters.sample_len(options.chunk_size)] if name == "auto" else data
+        name, *made = smallest(sample, filters.candidates(options.level), options)
+        made = made if len(sample) == len(data) else None
+    if not made:
+        filtered = filters.forward(data, name)
+        made = filtered, parsed(filtered, options)
+    packed = _BLOCK[options.codec](*made)
+    return (packed, False, name) if len(packed) < len(data) else (data, True, "none")
 
 
 _DECODE = {"lz4": lz.lz4_unblock, "glz": columnar.glz_decode, "glze": columnar.glze_decode}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 from stratapack.functions import entropy
-from stratapack.functions.lz import MIN_MATCH, BlockError, Search, copy_match, sequences
+from stratapack.functions.lz import MIN_MATCH, BlockError, Search, copy_match, literals_of, lz4_assembled, lz4_copied, sequences
 
 #: Fixed value of the format: extension values take 32 bits instead of 16.
 WIDE = 1 << 31
@@ -23,18 +23,35 @@ def field_offsets(count: int, extensions: int, wide: bool) -> tuple[int, int, in
     return tokens, offsets, ext, ext + _pad4(extensions * (4 if wide else 2))
 
 
-def glz_block(data: bytes, found: list[tuple[int, int, int, int]]) -> bytes:
-    start, literal, match, offset = (np.array(c, np.int64) for c in zip(*found, strict=True))
+def _fields(found: list[tuple[int, int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+    """Tokens, offsets, extensions, and whether those are wide."""
+    _, literal, match, offset = np.array(found, np.int64).T
     code = np.where(match > 0, match - MIN_MATCH, 0)
     both = np.stack([literal, code], axis=1)
-    escaped = both >= 15
-    ext = both[escaped] - 15  # row by row: a sequence's literal before its match
+    ext = both[both >= 15] - 15  # row by row: a sequence's literal before its match
     wide = bool(len(ext) and ext.max() > 0xFFFF)
-    tokens = (np.minimum(literal, 15) << 4 | np.minimum(code, 15)).astype(np.uint8).tobytes()
+    return (np.minimum(literal, 15) << 4 | np.minimum(code, 15)).astype(np.uint8), offset.astype("<u2"), ext.astype("<u4" if wide else "<u2"), wide
+
+
+def glz_block(data: bytes, found: list[tuple[int, int, int, int]]) -> bytes:
+    tokens, offsets, ext, wide = _fields(found)
     head = np.array([len(found) | (WIDE if wide else 0), len(ext)], "<u4").tobytes()
-    fields = [tokens, offset.astype("<u2").tobytes(), ext.astype("<u4" if wide else "<u2").tobytes()]
-    literals = b"".join(data[a : a + n] for a, n in zip(start.tolist(), literal.tolist(), strict=True))
-    return head + b"".join(f + b"\0" * (-len(f) % 4) for f in fields) + literals
+    fields = [tokens.tobytes(), offsets.tobytes(), ext.tobytes()]
+    return head + b"".join(f + b"\0" * (-len(f) % 4) for f in fields) + literals_of(data, found)
+
+
+def glz_size(found: list[tuple[int, int, int, int]]) -> int:
+    """The block's size without making it."""
+    _, _, ext, wide = _fields(found)
+    return field_offsets(len(found), len(ext), wide)[3] + sum(n for _, n, _, _ in found)
+
+
+def glze_size(data: bytes, found: list[tuple[int, int, int, int]]) -> int:
+    """The entropy-coded block's size without making it."""
+    tokens, offsets, ext, wide = _fields(found)
+    pairs = offsets.view(np.uint8)
+    streams = (tokens, pairs[0::2], pairs[1::2], np.frombuffer(literals_of(data, found), np.uint8))
+    return 12 + _pad4(len(ext) * (4 if wide else 2)) + sum(map(entropy.stream_size, streams))
 
 
 def glz_encode(data: bytes, search: Search = Search(), groups: int | None = None) -> bytes:
@@ -52,7 +69,30 @@ def _header(block: bytes, size: int) -> tuple[int, int, bool]:
 
 
 def glz_decode(block: bytes, size: int) -> bytes:
-    """Header checks, then each sequence in order; prefix sums say beforehand what every sequence reads."""
+    """Prefix sums say beforehand what every sequence reads and writes. If all checks hold, the same sequences as an LZ4
+    block go through Arrow's decoder; if not, one by one to the first that fails."""
+    count, extensions, wide = _header(block, size)
+    tokens_at, offsets_at, ext_at, literals_at = field_offsets(count, extensions, wide)
+    if literals_at <= len(block):
+        token = np.frombuffer(block, np.uint8, count, tokens_at).astype(np.int64)
+        both = np.stack([token >> 4, token & 15], axis=1)
+        escaped = both == 15
+        offset = np.frombuffer(block, "<u2", count, offsets_at).astype(np.int64)
+        literals = np.frombuffer(block, np.uint8, offset=literals_at)
+        if int(escaped.sum()) == extensions:
+            both[escaped] += np.frombuffer(block, "<u4" if wide else "<u2", extensions, ext_at).astype(np.int64)
+            literal, code = both.T
+            match = code + MIN_MATCH
+            match[-1] = 0
+            before = np.cumsum(literal + match) - match
+            ended = not (code[-1] or offset[-1]) and before[-1] == size and int(literal.sum()) == len(literals)
+            if ended and (offset[:-1] > 0).all() and (offset[:-1] <= before[:-1]).all():
+                return lz4_copied(lz4_assembled(literal, code, offset, literals), size)
+    return glz_checked(block, size)
+
+
+def glz_checked(block: bytes, size: int) -> bytes:
+    """glz_decode, sequence by sequence."""
     count, extensions, wide = _header(block, size)
     tokens_at, offsets_at, ext_at, literals_at = field_offsets(count, extensions, wide)
     if literals_at > len(block):

@@ -105,6 +105,23 @@ def encode_stream(symbols: bytes) -> bytes:
     return out if len(out) < len(plain) else plain
 
 
+def stream_size(raw: np.ndarray) -> int:
+    """The size of encode_stream's result without making it."""
+    n = len(raw)
+    counts = np.bincount(raw, minlength=256)
+    used = int((counts > 0).sum())
+    if used == 1:
+        return 4
+    plain = 4 + n + -n % 4
+    if used < 2:
+        return plain
+    count = lanes(n)
+    bits = np.concatenate([[0], np.cumsum(code_lengths(counts).astype(np.int64)[raw])])
+    ends = np.array([lane_range(n, count, k) for k in range(count)])
+    words = -(-(bits[ends[:, 1]] - bits[ends[:, 0]]) // 32)
+    return min(plain, 132 + 2 * count + -(2 * count) % 4 + 4 * int(words.sum()))
+
+
 def decode_stream(data: bytes, at: int, n: int) -> tuple[bytes, int]:
     """n symbols from data[at:] and the place behind them."""
 

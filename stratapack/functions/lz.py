@@ -12,6 +12,7 @@ from bisect import bisect_left
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 
 #: Fixed values of the block format.
 MIN_MATCH, LAST_LITERALS, MATCH_MARGIN, MAX_OFFSET = 4, 5, 12, 65535
@@ -45,6 +46,21 @@ def hash_words(words: np.ndarray, hash_log: int) -> np.ndarray:
     return (words * np.uint32(MULTIPLIER)) >> np.uint32(32 - hash_log)
 
 
+def candidates(data: bytes, search: Search = Search()) -> tuple[np.ndarray, np.ndarray]:
+    """(words, latest position of an earlier block with the same hash, or -1) of each position that a match may start from."""
+    starts = len(data) - MATCH_MARGIN + 1
+    if starts < 1:
+        return np.empty(0, np.uint32), np.empty(0, np.int64)
+    b = np.frombuffer(data, np.uint8).astype(np.uint32)
+    words = b[:starts] | b[1 : starts + 1] << np.uint32(8) | b[2 : starts + 2] << np.uint32(16) | b[3 : starts + 3] << np.uint32(24)
+    place = np.arange(starts, dtype=np.int64)
+    bucket = hash_words(words, search.hash_log).astype(np.int64) << 32
+    keys = np.sort(bucket | place)
+    at = np.searchsorted(keys, bucket | place // search.block * search.block) - 1
+    near = np.where(at >= 0, keys[np.maximum(at, 0)], -1)
+    return words, np.where((near >= 0) & ((near ^ bucket) >> 32 == 0), near & 0xFFFFFFFF, -1)
+
+
 def find_matches(data: bytes, search: Search = Search()) -> tuple[np.ndarray, np.ndarray]:
     """(length, offset) at each position; length 0 means none, and is at most search.probe."""
     n = len(data)
@@ -52,15 +68,7 @@ def find_matches(data: bytes, search: Search = Search()) -> tuple[np.ndarray, np
     if n < MATCH_MARGIN:
         return length, offset
     raw = np.frombuffer(data, np.uint8)
-    starts = n - MATCH_MARGIN + 1
-    b = raw.astype(np.uint32)
-    words = b[:starts] | b[1 : starts + 1] << np.uint32(8) | b[2 : starts + 2] << np.uint32(16) | b[3 : starts + 3] << np.uint32(24)
-    place = np.arange(starts, dtype=np.int64)
-    bucket = hash_words(words, search.hash_log).astype(np.int64) << 32
-    keys = np.sort(bucket | place)
-    at = np.searchsorted(keys, bucket | place // search.block * search.block) - 1
-    near = np.where(at >= 0, keys[np.maximum(at, 0)], -1)
-    first = np.where((near >= 0) & ((near ^ bucket) >> 32 == 0), near & 0xFFFFFFFF, -1)
+    words, first = candidates(data, search)
     limit = n - LAST_LITERALS
     candidate = first.copy()
     alive = np.flatnonzero(candidate >= 0)
@@ -157,22 +165,37 @@ def sequences(data: bytes, search: Search = Search(), groups: int | None = None)
     return out
 
 
-def _more(length: int) -> bytes:
-    """Continuation bytes of a length whose four bits are full."""
-    if length < 15:
-        return b""
-    full, rest = divmod(length - 15, 255)
-    return b"\xff" * full + bytes([rest])
+def literals_of(data: bytes, found: list[tuple[int, int, int, int]]) -> bytes:
+    return b"".join([data[a : a + n] for a, n, _, _ in found])
+
+
+def lz4_assembled(literal: np.ndarray, code: np.ndarray, offset: np.ndarray, literals: np.ndarray) -> bytes:
+    """The block of these sequences (code: match length less 4); the last has no match."""
+    count = len(literal)
+    more = lambda x: np.where(x >= 15, (x - 15) // 255 + 1, 0)
+    lit_more, match_more = more(literal), more(code)
+    match_more[-1] = 0
+    tail = np.full(count, 2)
+    tail[-1] = 0
+    size = 1 + lit_more + literal + tail + match_more
+    begin = np.cumsum(size) - size
+    # Length bytes are 255 but for a run's last.
+    out = np.full(int(size.sum()), 255, np.uint8)
+    out[begin] = np.minimum(literal, 15) << 4 | np.minimum(code, 15)
+    some = lit_more > 0
+    out[(begin + lit_more)[some]] = (literal[some] - 15) % 255
+    at = begin + 1 + lit_more
+    out[np.repeat(at - (np.cumsum(literal) - literal), literal) + np.arange(len(literals))] = literals
+    at = (at + literal)[:-1]
+    out[at], out[at + 1] = offset[:-1] & 255, offset[:-1] >> 8
+    some = match_more > 0
+    out[(begin + size - 1)[some]] = (code[some] - 15) % 255
+    return out.tobytes()
 
 
 def lz4_block(data: bytes, found: list[tuple[int, int, int, int]]) -> bytes:
-    parts = []
-    for start, literals, match, back in found:
-        code = max(0, match - MIN_MATCH)
-        parts += [bytes([min(literals, 15) << 4 | min(code, 15)]), _more(literals), data[start : start + literals]]
-        if match:
-            parts += [back.to_bytes(2, "little"), _more(code)]
-    return b"".join(parts)
+    _, literal, match, offset = np.array(found, np.int64).T
+    return lz4_assembled(literal, np.maximum(match - MIN_MATCH, 0), offset, np.frombuffer(literals_of(data, found), np.uint8))
 
 
 def lz4_size(found: list[tuple[int, int, int, int]]) -> int:
@@ -182,6 +205,7 @@ def lz4_size(found: list[tuple[int, int, int, int]]) -> int:
 
 
 def max_compressed_size(n: int) -> int:
+    """No block of n bytes is longer."""
     return n + n // 255 + 16
 
 
@@ -194,7 +218,60 @@ def copy_match(out: bytearray, offset: int, length: int) -> None:
 
 
 def lz4_unblock(block: bytes, size: int) -> bytes:
-    """Decode to exactly size bytes; the first failing check raises."""
+    """Decode to exactly size bytes; the first failing check raises.
+
+    Arrow's decoder copies the bytes. It doesn't say how many it made, and may let a zero offset
+    pass, so the sequences' headers are walked beside it; what either refuses goes through all checks one by one.
+    """
+    return lz4_copied(block, size) if size and _length(block) == size else lz4_checked(block, size)
+
+
+_RAW = pa.Codec("lz4_raw")
+
+
+def lz4_copied(block: bytes, size: int) -> bytes:
+    """A block of sequences that are known to make size bytes."""
+    try:
+        return _RAW.decompress(block, size, asbytes=True)
+    except (pa.ArrowException, OSError):
+        return lz4_checked(block, size)
+
+
+def _length(block: bytes) -> int:
+    """How many bytes the sequences make, or -1 if the block is cut or an offset is 0."""
+    at, made, n = 0, 0, len(block)
+    try:
+        while True:
+            token = block[at]
+            at += 1
+            literals = token >> 4
+            if literals == 15:
+                while block[at] == 255:
+                    literals += 255
+                    at += 1
+                literals += block[at]
+                at += 1
+            at += literals
+            made += literals
+            if at >= n:
+                return made if at == n else -1
+            if not (block[at] or block[at + 1]):
+                return -1
+            at += 2
+            match = token & 15
+            if match == 15:
+                while block[at] == 255:
+                    match += 255
+                    at += 1
+                match += block[at]
+                at += 1
+            made += match + MIN_MATCH
+    except IndexError:
+        return -1
+
+
+def lz4_checked(block: bytes, size: int) -> bytes:
+    """lz4_unblock, sequence by sequence."""
     out, at, n = bytearray(), 0, len(block)
 
     def length(nibble: int) -> int:

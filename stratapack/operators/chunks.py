@@ -87,6 +87,61 @@ def summary(chunks: DataFrame) -> DataFrame:
     return out.withColumn("ratio", F.round(F.col("original") / F.col("compressed"), 4))
 
 
+def payload_span(chunks: DataFrame) -> DataFrame:
+    """file_id, low, high: where the payloads of a group of chunks begin and end, so that one read fetches them."""
+    return chunks.groupBy("file_id").agg(F.min("comp_offset").alias("low"), F.max(F.col("comp_offset") + F.col("comp_size")).alias("high"))
+
+
+def batches(chunks: DataFrame, budget: int, limit: int | None = None) -> DataFrame:
+    """chunks with `batch`: consecutive runs of a file's chunks, each as long as its bytes stay within the budget; a chunk over it is alone.
+
+    A chunk counts with its padded payload and its size, and with `limit` neither sum may pass that. The runs reset, which no
+    window expresses, so a file's sizes (no payloads) are walked in order in one group.
+    """
+    import pyarrow as pa
+
+    def walk(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks().sort_by("chunk_no")
+        out, batch, source, target = [], 0, 0, 0
+        for packed, plain in zip(group["comp_size"].to_pylist(), group["uncomp_size"].to_pylist(), strict=True):
+            packed = -(-packed // 4) * 4
+            over = source + target + packed + plain > budget or limit is not None and max(source + packed, target + plain) > limit
+            if over and source + target:
+                batch, source, target = batch + 1, 0, 0
+            source, target = source + packed, target + plain
+            out.append(batch)
+        return pa.table({"file_id": group["file_id"], "chunk_no": group["chunk_no"], "batch": pa.array(out, pa.int64())})
+
+    sizes = chunks.select(F.col("file_id").cast("string").alias("file_id"), "chunk_no", "comp_size", "uncomp_size")
+    return chunks.join(sizes.groupBy("file_id").applyInArrow(walk, "file_id string, chunk_no long, batch long"), ["file_id", "chunk_no"])
+
+
+def job_errors(jobs: DataFrame, source_len: int, target_len: int) -> DataFrame:
+    """The first invalid filter job: (job, width, src_offset, dst_offset, len) -> job, error; no row if all are valid.
+
+    Width 0 is no filter and not checked. In order: width, alignment, bounds for each job, then two targets that overlap. Overlaps are found between neighbours by
+    target (if any two overlap, so do neighbours), not by a self-join.
+    """
+    own = (
+        F.when(~F.col("width").isin(1, 2, 4, 8), "width")
+        .when((F.col("src_offset") % 4 != 0) | (F.col("dst_offset") % 4 != 0), "alignment")
+        .when((F.col("src_offset") + F.col("len") > source_len) | (F.col("dst_offset") + F.col("len") > target_len), "bounds")
+    )
+    rows = jobs.filter("width <> 0").withColumn("error", own)
+    # Ranges of targets of about equal count; the last job of the ranges before reaches over by its end.
+    by_target = Window.partitionBy("part").orderBy("dst_offset", F.col("dst_offset") + F.col("len"), "job")
+    placed = rows.withColumn("end", F.col("dst_offset") + F.col("len")).withColumn("part", F.floor(F.col("dst_offset") / max(1, target_len // 64)))
+    before = F.max("end").over(by_target.rowsBetween(Window.unboundedPreceding, -1))
+    tops = placed.groupBy("part").agg(F.max("end").alias("top"))
+    left = tops.select("part", F.max("top").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("left"))
+    met = placed.withColumn("before", before).join(left, "part")
+    overlap = F.when(F.greatest("before", "left") > F.col("dst_offset"), "overlap")
+    bad = met.select("job", "error", overlap.alias("overlap"), "dst_offset").filter("error IS NOT NULL OR overlap IS NOT NULL")
+    rank = F.struct(F.when(F.col("error").isNotNull(), 0).otherwise(1).alias("kind"), F.when(F.col("error").isNotNull(), F.col("job")).otherwise(F.col("dst_offset")).alias("at"), "job")
+    first = bad.agg(F.min_by(F.struct("job", F.coalesce("error", "overlap").alias("error")), rank).alias("f"))
+    return first.filter("f IS NOT NULL").select("f.job", "f.error")
+
+
 def with_empty(files: DataFrame, summaries: DataFrame) -> DataFrame:
     """summary() of all files: one without chunks is a header of 32 bytes."""
     whole = files.select("file_id").join(summaries, "file_id", "left")

@@ -10,14 +10,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratapack.functions import codecs, layout
 from stratapack.functions.codecs import Options
 from stratapack.functions.lz import BlockError
 from stratapack.operators import chunks as plane
-from stratapack.session import ship, spread
+from stratapack.session import hadoop, ship, spread
 
 _CHUNKS = "file_id string, chunk_no long, comp_size long, stored boolean, uncomp_size long, checksum long, filter string, payload binary"
 _KINDS = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
@@ -54,32 +54,96 @@ def compress(files: DataFrame, options: Options = Options()) -> DataFrame:
 
 
 def decode(chunks: DataFrame, codec: str, verify: bool = False) -> DataFrame:
-    """Chunk table -> file_id, chunk_no, data, status ('ok' or the first failing check; data is null then)."""
+    """Chunk table -> file_id, chunk_no, comp_size, data, status ('ok' or the first failing check; data is null then)."""
     ship(chunks.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for file_id, k, payload, stored, size, name, checksum in _rows(batch):
+            for payload, stored, size, name, checksum in _rows(batch.select(["payload", "stored", "uncomp_size", "filter", "checksum"])):
                 try:
-                    out.append((file_id, k, codecs.decode_chunk(payload, stored, codec, size, name, checksum if verify else None), "ok"))
+                    out.append((codecs.decode_chunk(payload, stored, codec, size, name, checksum if verify else None), "ok"))
                 except BlockError as e:
-                    out.append((file_id, k, None, e.status))
-            yield _batch(out, ["file_id", "chunk_no", "data", "status"], [pa.string(), pa.int64(), pa.binary(), pa.string()])
+                    out.append((None, e.status))
+            data, status = zip(*out, strict=True) if out else ([], [])
+            yield pa.RecordBatch.from_arrays([batch["file_id"], batch["chunk_no"], batch["comp_size"], pa.array(data, pa.binary()), pa.array(status, pa.string())], ["file_id", "chunk_no", "comp_size", "data", "status"])
 
-    rows = chunks.select("file_id", "chunk_no", "payload", "stored", "uncomp_size", "filter", "checksum")
-    return rows.mapInArrow(run, "file_id string, chunk_no long, data binary, status string")
+    rows = chunks.select("file_id", "chunk_no", F.col("comp_size").cast("long").alias("comp_size"), "payload", "stored", "uncomp_size", "filter", "checksum")
+    return rows.mapInArrow(run, "file_id string, chunk_no long, comp_size long, data binary, status string")
 
 
-def joined(parts: DataFrame, order: str = "chunk_no", data: str = "data") -> DataFrame:
-    """file_id, content: a file's pieces in order. A file's size bounds the group."""
-    pieces = F.array_sort(F.collect_list(F.struct(order, data)))
-    whole = F.aggregate(F.transform(pieces, lambda x: x[data]), F.lit(b""), lambda a, b: F.concat(a, b))
-    return parts.groupBy("file_id").agg(whole.alias("content"))
+def joined(parts: DataFrame, order: str = "chunk_no", data: str = "data", size: str | None = None) -> DataFrame:
+    """file_id, content (and packed, the sum of column size): a file's pieces in order, null if one is missing. A row bounds the file (2 GB); larger files stay chunk rows or go to save_bytes()."""
+
+    def join(group: pa.Table) -> pa.Table:
+        pieces = group.combine_chunks().sort_by(order)[data].to_pylist()
+        whole = None if None in pieces else b"".join(pieces)
+        out = {"file_id": group["file_id"].slice(0, 1).cast(pa.string()), "content": pa.array([whole], pa.binary())}
+        return pa.table(out | ({"packed": pa.array([sum(group[size].to_pylist())], pa.int64())} if size else {}))
+
+    return parts.select("file_id", order, data, *([size] if size else [])).groupBy("file_id").applyInArrow(join, "file_id string, content binary" + ", packed long" * bool(size))
+
+
+class Damaged(ValueError):
+    """A chunk that doesn't decode; the first in order, as a reader from the start would find it."""
+
+    def __init__(self, chunk_no: int, status: str):
+        super().__init__(f"chunk {chunk_no}: {status}")
+        self.chunk_no, self.status = chunk_no, status
+
+
+def save_bytes(decoded: DataFrame, path: str) -> int:
+    """Ordered writer of one file: decode()'s rows by chunk_no to any store, a partition at a time on the driver; returns the bytes written.
+
+    The first damaged chunk in order raises after everything before it is written.
+    """
+    written = 0
+    with _Output(decoded.sparkSession, path) as out:
+        for k, data, status in decoded.select("chunk_no", "data", "status").orderBy("chunk_no").toLocalIterator(prefetchPartitions=True):
+            if status != "ok":
+                raise Damaged(k, status)
+            out.write(bytes(data))
+            written += len(data)
+    return written
+
+
+def save_container(chunks: DataFrame, total: int, options: Options, path: str) -> int:
+    """Ordered writer of one container: header, chunk table, then payloads by chunk_no; returns its size.
+
+    The driver holds the table (24 bytes a chunk) and a partition of payloads at a time. chunks is read
+    twice, so it should be a written table.
+    """
+    rows = chunks.select("chunk_no", "comp_size", "stored", "uncomp_size", "checksum", "filter").orderBy("chunk_no").collect()
+    entries, at = [], 0
+    for r in rows:
+        entries.append(layout.Entry(at, r["comp_size"], r["stored"], r["uncomp_size"], r["checksum"], r["filter"]))
+        at += layout.pad4(r["comp_size"])
+    index = layout.Index(layout.Header(options.codec, options.chunk_size, len(entries), total, options.checksums, options.level), tuple(entries))
+    index.validate(at)
+    with _Output(chunks.sparkSession, path) as out:
+        out.write(index.to_bytes())
+        for (payload,) in chunks.orderBy("chunk_no").select("payload").toLocalIterator(prefetchPartitions=True):
+            out.write(bytes(payload) + b"\0" * (-len(payload) % 4))
+    return index.data_offset + at
+
+
+class _Output:
+    """A file of any store that Spark writes."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.system, self.path = hadoop(spark, path)
+
+    def __enter__(self):
+        self.stream = self.system.create(self.path, True)
+        return self.stream
+
+    def __exit__(self, *_) -> None:
+        self.stream.close()
 
 
 def decompress(chunks: DataFrame, codec: str, verify: bool = False) -> DataFrame:
-    return joined(decode(chunks, codec, verify))
+    """file_id, content, packed (payload bytes) of each file with chunks."""
+    return joined(decode(chunks, codec, verify), size="comp_size")
 
 
 def read_ranges(chunks: DataFrame, ranges: DataFrame, codec: str, chunk_size: int) -> DataFrame:
@@ -154,26 +218,59 @@ def splice(parts: DataFrame, header: Options) -> DataFrame:
             out = []
             for file_id, n, p in _rows(batch):
                 whole = layout.Header(header.codec, header.chunk_size, layout.chunk_count(n, header.chunk_size), n, header.checksums, header.level)
-                out.append((file_id, layout.splice(whole, p)))
+                out.append((file_id, layout.splice(whole, [x for x in p if x is not None])))
             yield _batch(out, ["file_id", "container"], [pa.string(), pa.binary()])
 
     return grouped.select("file_id", "n", "p").mapInArrow(run, "file_id string, container binary")
 
 
-def fixed_split(files: DataFrame, tail_share: float, options: Options = Options()) -> DataFrame:
+def compress_parts(files: DataFrame, parts: list[tuple[int, Options]]) -> DataFrame:
+    """(file_id, content) -> file_id, container: consecutive runs of chunks, each by its own encoder, spliced.
+
+    parts has (chunks, options) of each run and must cover every file exactly. What the container's header
+    says (codec, chunk size, level, checksums) must be the same in all; filters, dependency groups and the search may differ.
+    """
+    same = {(o.codec, o.chunk_size, o.level, o.checksums) for _, o in parts}
+    if len(same) != 1 or any(n < 0 for n, _ in parts):
+        raise layout.FormatError("BadSplit", "parts need one codec, chunk size, level and checksum rule, and counts from 0")
+    options, covered = parts[0][1], sum(n for n, _ in parts)
+    size = options.chunk_size
+    n = F.octet_length("content").cast("long")
+    count = F.floor((n + size - 1) / size).cast("long")
+    whole = F.when(count == covered, n).otherwise(F.raise_error(F.concat(F.lit(f"BadSplit: parts cover {covered} chunks, the file has "), count.cast("string"))).cast("long"))
+    cut, first = files.select("file_id", "content", whole.alias("whole")), 0
+    runs = []
+    for chunks, own in parts:
+        if chunks:
+            runs.append((cut.select("file_id", "whole", F.expr(f"substring(content, {first * size + 1}, {chunks * size})").alias("content")), own))
+        first += chunks
+    return _spliced(runs, options) if runs else splice(cut.select("file_id", F.lit(0).alias("part"), F.col("whole").alias("n"), F.lit(None).cast("binary").alias("container")), options)
+
+
+def _spliced(runs: list[tuple[DataFrame, Options]], header: Options) -> DataFrame:
+    """Runs (file_id, whole, content) with their encoders -> file_id, container."""
+    made = None
+    for k, (rows, own) in enumerate(runs):
+        pieces = rows.select("file_id", "content", F.octet_length("content").cast("long").alias("n"))
+        part = to_files(pieces, compress(pieces, own), own).select("file_id", F.lit(k).alias("part"), "container")
+        part = part.join(rows.select("file_id", F.col("whole").alias("n")), "file_id").select("file_id", "part", "n", "container")
+        made = part if made is None else made.unionByName(part)
+    return splice(made, header)
+
+
+def fixed_split(files: DataFrame, tail_share: float, options: Options = Options(), tail: Options | None = None) -> DataFrame:
     """Head and tail of each file's chunks as two containers, spliced: (file_id, content) -> file_id, container.
 
-    The tail is the last tail_share of the chunks, halves rounded away from zero.
+    The tail is the last tail_share of the chunks, halves rounded away from zero; it may have an encoder of its own.
     """
+    tail = tail or options
+    if (tail.codec, tail.chunk_size, tail.level, tail.checksums) != (options.codec, options.chunk_size, options.level, options.checksums):
+        raise layout.FormatError("BadSplit", "head and tail need one codec, chunk size, level and checksum rule")
     size = options.chunk_size
     n = F.octet_length("content").cast("long")
     count = F.floor((n + size - 1) / size).cast("long")
     head = (count - F.floor(count * F.lit(tail_share) + 0.5).cast("long")) * size
     cut = files.select("file_id", "content", n.alias("whole"), F.least(n, head).cast("int").alias("h"))
-    first = cut.select("file_id", F.lit(0).alias("part"), "whole", F.expr("substring(content, 1, h)").alias("content"))
-    last = cut.select("file_id", F.lit(1).alias("part"), "whole", F.expr("substring(content, h + 1)").alias("content"))
-    both = first.unionByName(last).withColumn("own", F.concat_ws("#", "file_id", F.col("part").cast("string")))
-    pieces = both.select(F.col("own").alias("file_id"), "content", F.octet_length("content").cast("long").alias("n"))
-    made = to_files(pieces, compress(pieces, options), options).withColumnRenamed("file_id", "own")
-    parts = both.select("own", "file_id", "part", F.col("whole").alias("n")).join(made, "own")
-    return splice(parts, options)
+    first = cut.select("file_id", "whole", F.expr("substring(content, 1, h)").alias("content"))
+    last = cut.select("file_id", "whole", F.expr("substring(content, h + 1)").alias("content"))
+    return _spliced([(first, options), (last, tail)], options)

@@ -30,6 +30,114 @@ def medians(samples: DataFrame, keys: list[str], value: str, order: str | None =
     return samples.groupBy(*keys).agg(F.median(value).alias("median"))
 
 
+def exact_medians(samples: DataFrame, keys: list[str], value: str, accuracy: int = 1000) -> DataFrame:
+    """medians() for groups of any size: a sketch brackets the middle of each group, and only what lies in the bracket is kept and ranked.
+
+    keys, median. Nulls are left out. About 2 / accuracy of a group lies in its bracket (more only if values repeat; those
+    are counted, not kept).
+    """
+    held = samples.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    edge = 1 / accuracy
+    sketch = held.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", [0.5 - 2 * edge, 0.5 + 2 * edge], accuracy).alias("_q"))
+    marked = held.alias("a").join(sketch.alias("b"), [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]).select(*[F.col(f"a.{k}").alias(k) for k in keys], "_v", "_n", "_q")
+    # The sketch's error is at most 1 / accuracy of the rows, so the middle lies between its two values.
+    inside = (F.col("_v") >= F.col("_q")[0]) & (F.col("_v") <= F.col("_q")[1])
+    counted = marked.groupBy(*keys, F.when(inside, F.col("_v")).alias("_v"), F.when(~inside, F.col("_v") < F.col("_q")[0]).alias("_below")).agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"))
+    upto = Window.partitionBy(*keys).orderBy(F.when(F.col("_below"), 0).when(F.col("_v").isNotNull(), 1).otherwise(2), "_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.withColumn("_upto", F.sum("_c").over(upto)).filter("_v IS NOT NULL")
+    low, high = F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)
+    holds = lambda k: F.min(F.when(F.col("_upto") > k, F.col("_v")))
+    return ranked.groupBy(*keys).agg(((holds(low) + holds(high)) / 2).alias("median"))
+
+
+def ratio(original: Column, packed: Column) -> Column:
+    return original / packed
+
+
+def appended(*suites: DataFrame) -> DataFrame:
+    """The measurement lists of all suites after one another, none dropped; ord goes on where the suite before ended."""
+    out = None
+    for k, suite in enumerate(suites):
+        rows = suite.withColumn("suite", F.lit(k))
+        out = rows if out is None else out.unionByName(rows)
+    sizes = out.groupBy("suite").agg((F.max("ord") + 1).alias("n"))
+    begin = sizes.select("suite", F.coalesce(F.sum("n").over(Window.orderBy("suite").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("begin"))
+    return out.join(begin, "suite").withColumn("ord", F.col("ord") + F.col("begin")).drop("suite", "begin")
+
+
+def corpora_last(meas: DataFrame) -> DataFrame:
+    """A corpus's rows in the order measured, concatenations behind them."""
+    return meas.orderBy(F.col("input").endswith("/all"), "ord")
+
+
+def tradeoff(meas: DataFrame, input_: str) -> DataFrame:
+    """name, gbps, ratio, pareto of one input: the first row of each name, the fastest first (then by ratio and name)."""
+    rows = first_rows(meas.filter((F.col("input") == input_) & F.col("ratio").isNotNull()), ["name"]).select("name", "gbps", "ratio")
+    best = pareto(rows, "ratio", "gbps").select(F.col("name").alias("_name")).distinct()
+    marked = rows.join(best, rows["name"] == best["_name"], "left").withColumn("pareto", F.col("_name").isNotNull()).drop("_name")
+    return marked.orderBy(F.desc("gbps"), F.desc("ratio"), "name")
+
+
+def history_matrix(meas: DataFrame, keep: int = HISTORY_RUNS) -> DataFrame:
+    """name, input and one column for each of the last `keep` runs (oldest first, by date): the first rate measured, or null.
+
+    Each name has one input, its preferred one in the newest run that has the name. Names are in the order of the newest run, others
+    behind it. Only shown inputs count. At most `keep` dates are collected.
+    """
+    rows = meas.filter(shown(F.col("input")))
+    dates = [r["date"] for r in rows.select("date").distinct().orderBy(F.desc("date")).limit(keep).collect()][::-1]
+    if not dates:
+        return rows.select("name", "input").limit(0)
+    recent = rows.filter(F.col("date").isin(dates))
+    prefer = F.when(F.col("input").endswith("/all"), 0).when(F.col("input") == "text", 1).otherwise(2)
+    newest = recent.groupBy("name", "date").agg(F.min_by("input", F.struct(prefer, "ord")).alias("input"))
+    chosen = newest.groupBy("name").agg(F.max_by("input", "date").alias("input"))
+    place = recent.filter(F.col("date") == dates[-1]).groupBy("name").agg(F.min("ord").alias("_place"))
+    cells = recent.join(chosen, ["name", "input"]).groupBy("name", "input").pivot("date", dates).agg(F.min_by("gbps", "ord"))
+    return cells.join(place, "name", "left").orderBy(F.col("_place").isNull(), "_place", "name").drop("_place")
+
+
+#: Parts of a report, and which measurements each shows: by timing, name and input.
+SECTIONS = {
+    "setup": None,
+    "versus": None,
+    "compress": "name LIKE 'compress%' AND input LIKE '%/all'",
+    "decompress": "name LIKE 'decompress%' AND input LIKE '%/all'",
+    "files-compress": "name LIKE 'compress%' AND input LIKE '%/%'",
+    "files-decompress": "name LIKE 'decompress%' AND input LIKE '%/%'",
+    "file-to-file": "name LIKE 'file%'",
+    "synthetic-compress": "name LIKE 'compress%' AND input NOT LIKE '%/%' AND input NOT LIKE '%-%'",
+    "synthetic-decompress": "name LIKE 'decompress%' AND input NOT LIKE '%/%' AND input NOT LIKE '%-%'",
+    "numeric": "input NOT LIKE '%/%' AND input LIKE '%-%'",
+    "profile": "name LIKE 'stage%'",
+    "platform": None,
+}
+
+
+def report_sections(meas: DataFrame, pairs: DataFrame, facts: dict[str, str]) -> dict[str, str]:
+    """Markdown of every section that something was measured for. facts: what setup and platform list.
+
+    The rows of a section are names and inputs of one run, so few; each section is one query.
+    """
+    out = {}
+    for name, rule in SECTIONS.items():
+        if name in ("setup", "platform"):
+            rows, columns = [{"what": k, "value": v} for k, v in facts.items() if (name == "platform") == k.startswith("platform.")], ["what", "value"]
+        elif name == "versus":
+            columns = ["label", "input", "our_gbps", "their_gbps", "quotient"]
+            rows = [r.asDict() for r in versus(meas, pairs).orderBy("label", "input").select(*columns).collect()]
+        elif name in ("compress", "decompress"):
+            columns = ["name", "gbps", "ratio", "pareto"]
+            inputs = [r["input"] for r in meas.filter(rule).select("input").distinct().orderBy("input").collect()]
+            rows = [r.asDict() for i in inputs[:1] for r in tradeoff(meas.filter(rule), i).collect()]
+        else:
+            columns = ["name", "input", "gbps", "ratio"]
+            rows = [r.asDict() for r in corpora_last(first_rows(meas.filter(rule), ["name", "input"])).select(*columns).collect()]
+        if rows:
+            out[name] = markdown(rows, columns)
+    return out
+
+
 def first_rows(meas: DataFrame, keys: list[str], order: str = "ord") -> DataFrame:
     """The first row of each key in the order measured."""
     others = [c for c in meas.columns if c not in keys]
@@ -81,7 +189,7 @@ def versus(meas: DataFrame, pairs: DataFrame) -> DataFrame:
     rows = first_rows(meas, ["name", "input"]).select("name", "input", "gbps")
     a = rows.select(F.col("name").alias("ours"), "input", F.col("gbps").alias("our_gbps"))
     b = rows.select(F.col("name").alias("theirs"), "input", F.col("gbps").alias("their_gbps"))
-    return F.broadcast(pairs).join(a, "ours").join(b, ["theirs", "input"]).withColumn("quotient", F.col("our_gbps") / F.col("their_gbps"))
+    return pairs.join(a, "ours").join(b, ["theirs", "input"]).withColumn("quotient", F.col("our_gbps") / F.col("their_gbps"))
 
 
 def with_kernel(meas: DataFrame) -> DataFrame:
@@ -115,7 +223,12 @@ def markdown(rows: list[dict], columns: list[str]) -> str:
 
 
 def fill_template(template: str, sections: dict[str, str]) -> str:
-    """Replace each {{name}}; a section that was not measured says so."""
+    """Replace each {{name}}; an empty section says so, an unknown one is an error."""
     import re
 
-    return re.sub(r"\{\{([a-z-]+)\}\}", lambda m: sections.get(m[1], "_Not measured in this run._"), template)
+    def text(m: re.Match) -> str:
+        if m[1] not in SECTIONS and m[1] not in sections:
+            raise ValueError(f"no section {m[1]!r}; known: {', '.join(SECTIONS)}")
+        return sections.get(m[1], "(no measurements)")
+
+    return re.sub(r"\{\{\s*([a-z-]+)\s*\}\}", text, template)

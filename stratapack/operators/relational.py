@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratapack.functions import lz
-from stratapack.session import ship
+from stratapack.session import ship, spread
 
 
 def delta(rows: DataFrame, value: str, group: str, order: str | list[str], bits: int = 64) -> DataFrame:
@@ -109,23 +109,40 @@ def code_table(histogram: DataFrame, group: str) -> DataFrame:
     return sized.withColumn("code", F.expr("1L") * F.shiftright(used, 0)).withColumn("code", F.expr("shiftright(code, cast(11 - len as int))"))
 
 
-def match_candidates(files: DataFrame, chunk_size: int = 65536, block: int = 128, hash_log: int = 12) -> DataFrame:
-    """(file_id, content) -> file_id, chunk_no, pos, candidate: the latest position of an earlier block with the same hash.
+def match_candidates(files: DataFrame, chunk_size: int = 65536) -> DataFrame:
+    """(file_id, content) -> file_id, chunk_no, positions, found, offsets: of each chunk's byte positions that a match may
+    start from, how many have a candidate (the latest position of an earlier block with the same hash), and the sum of the distances.
 
-    An as-of self-join without a join: the greatest position over a RANGE frame of
-    block numbers up to the one before.
+    An as-of self-join inside a chunk: one sort and one binary search in an Arrow batch, and a row a chunk.
     """
     from stratapack.operators.chunks import split
 
-    chunks = split(files, chunk_size).withColumn("n", F.octet_length("data")).filter("n >= 12")
-    at = chunks.select("file_id", "chunk_no", "data", F.explode(F.sequence(F.lit(0), F.col("n") - 12)).alias("pos"))
-    four = F.expr("hex(substring(data, pos + 1, 4))")
-    word = F.conv(F.concat(four.substr(7, 2), four.substr(5, 2), four.substr(3, 2), four.substr(1, 2)), 16, 10).cast("long")
-    m = lz.MULTIPLIER
-    product = F.expr(f"(((shiftright(w, 16) * {m}L) % 65536) * 65536 + (w & 65535) * {m}L) % 4294967296")
-    hashed = at.withColumn("w", word).withColumn("h", F.shiftright(product, 32 - hash_log)).drop("data", "w")
-    earlier = Window.partitionBy("file_id", "chunk_no", "h").orderBy(F.floor(F.col("pos") / block).cast("int")).rangeBetween(Window.unboundedPreceding, -1)
-    return hashed.select("file_id", "chunk_no", F.col("pos").cast("long").alias("pos"), F.max("pos").over(earlier).cast("long").alias("candidate"))
+    ship(files.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = []
+            for data in batch["data"].to_pylist():
+                first = lz.candidates(data)[1]
+                at = np.flatnonzero(first >= 0)
+                sums.append((len(first), len(at), int((at - first[at]).sum())))
+            columns = list(zip(*sums, strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([batch["file_id"], batch["chunk_no"], *(pa.array(c, pa.int64()) for c in columns)], ["file_id", "chunk_no", "positions", "found", "offsets"])
+
+    return spread(split(files, chunk_size)).select("file_id", "chunk_no", "data").mapInArrow(run, "file_id string, chunk_no long, positions long, found long, offsets long")
+
+
+def segment_of(seqs: DataFrame, segments: DataFrame) -> DataFrame:
+    """(file_id, seq_no) and (file_id, segment, first): each sequence with the last segment whose first sequence is not behind it.
+
+    A range join as a union and a running value, so neither side is multiplied. Of segments with
+    the same first, the last counts.
+    """
+    both = seqs.select("file_id", "seq_no", F.lit(1).alias("side"), F.lit(None).cast("long").alias("segment")).unionByName(
+        segments.select("file_id", F.col("first").alias("seq_no"), F.lit(0).alias("side"), F.col("segment").cast("long").alias("segment"))
+    )
+    upto = Window.partitionBy("file_id").orderBy("seq_no", "side", "segment").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("segment", F.last("segment", ignorenulls=True).over(upto)).filter("side = 1").drop("side")
 
 
 def sequence_table(files: DataFrame, chunk_size: int = 65536, level: int = 1) -> DataFrame:
@@ -143,7 +160,7 @@ def sequence_table(files: DataFrame, chunk_size: int = 65536, level: int = 1) ->
             cols = list(zip(*rows, strict=True)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if n == "file_id" else pa.int64()) for c, n in zip(cols, names, strict=True)], names)
 
-    return split(files, chunk_size).mapInArrow(run, "file_id string, chunk_no long, seq_no long, lit_start long, lit_len long, match_len long, offset long")
+    return spread(split(files, chunk_size)).mapInArrow(run, "file_id string, chunk_no long, seq_no long, lit_start long, lit_len long, match_len long, offset long")
 
 
 def output_positions(seqs: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ there are no watermarks. A batch id names its output folder, which makes the sin
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from stratapack.functions.codecs import Options
@@ -26,3 +27,13 @@ def compress_stream(spark: SparkSession, source: str, schema, file_id: str, cont
 
 def read_compressed(spark: SparkSession, target: str) -> DataFrame:
     return spark.read.parquet(target).drop("batch")
+
+
+def containers_of(spark: SparkSession, target: str, files: DataFrame, options: Options = Options()) -> DataFrame:
+    """What a finished stream compressed as container files: files (file_id, n) -> file_id, container. A file that fits no row goes to save_stream()."""
+    return container.to_files(files, read_compressed(spark, target), options)
+
+
+def save_stream(spark: SparkSession, target: str, file_id: str, total: int, path: str, options: Options = Options()) -> int:
+    """One file of a finished stream to a container at path, chunk by chunk; returns its size. Byte for byte what compress() and to_files() make."""
+    return container.save_container(read_compressed(spark, target).filter(F.col("file_id") == file_id), total, options, path)

@@ -21,14 +21,27 @@ def test_runs(spark, name):
 
 
 def test_candidates_equal_match_finder(spark):
+    """Against the definition: the latest position of an earlier block of 128 with the same hash."""
     from stratapack.functions import lz
 
     data = b"the cat and the hat and the cat sat on the mat with the other hat " * 30
-    found = relational.match_candidates(spark.createDataFrame([("a", bytearray(data))], "file_id string, content binary"))
-    got = {r["pos"]: r["candidate"] for r in found.collect()}
-    length, offset = lz.find_matches(data)
-    assert len(got) == len(data) - 11
-    assert all(got[p] == p - offset[p] for p in range(len(data)) if length[p])
+    found = relational.match_candidates(spark.createDataFrame([("a", bytearray(data)), ("b", bytearray(b"short"))], "file_id string, content binary"))
+    got = {r["file_id"]: (r["positions"], r["found"], r["offsets"]) for r in found.collect()}
+    words, want = [int.from_bytes(data[p : p + 4], "little") for p in range(len(data) - 11)], []
+    hashed = [w * lz.MULTIPLIER % (1 << 32) >> 20 for w in words]
+    for p, h in enumerate(hashed):
+        earlier = [q for q in range(p // 128 * 128) if hashed[q] == h]
+        want += [p - earlier[-1]] if earlier else []
+    assert got == {"a": (len(data) - 11, len(want), sum(want)), "b": (0, 0, 0)}
+
+
+def test_blocks_grow_no_longer_than_the_bound():
+    import os
+
+    from stratapack.functions import codecs, lz
+
+    for data in (os.urandom(5000), bytes(70_000), b"", b"x"):
+        assert len(codecs.block(data, Options())) <= lz.max_compressed_size(len(data))
 
 
 def test_files_of_all_sizes(spark):
@@ -66,7 +79,10 @@ def test_medians_and_markdown(spark):
     rows = spark.createDataFrame([("a", float(v)) for v in (4, 1, 2, 100)] + [("b", float(v)) for v in (9, 1, 5)], "k string, v double")
     assert {r["k"]: r["median"] for r in measures.medians(rows, ["k"], "v").collect()} == {"a": 3.0, "b": 5.0}
     assert measures.markdown([{"a": 1.5, "b": None}], ["a", "b"]).splitlines()[-1] == "| 1.50 | — |"
-    assert measures.fill_template("x {{versus}} y", {}) == "x _Not measured in this run._ y"
+    assert {r["k"]: r["median"] for r in measures.exact_medians(rows, ["k"], "v").collect()} == {"a": 3.0, "b": 5.0}
+    assert measures.fill_template("x {{versus}} y", {}) == "x (no measurements) y"
+    with pytest.raises(ValueError, match="no section"):
+        measures.fill_template("{{nothing}}", {})
 
 
 def test_human_bytes(spark):
@@ -74,6 +90,106 @@ def test_human_bytes(spark):
     assert [r[0] for r in rows.select(relational.human_bytes(F.col("n"))).collect()] == ["100 B", "1.5 KiB", "64 KiB", "256 MiB", "1.5 GiB"]
 
 
+def test_exact_medians_of_large_groups(spark):
+    """A group far larger than the bracket, with repeated values, skew and nulls."""
+    import random
+    from statistics import median
+
+    rng = random.Random(4)
+    groups = {"spread": [rng.random() for _ in range(20_001)], "repeats": [float(rng.randrange(3)) for _ in range(10_000)], "skew": [2.0 ** rng.randrange(40) for _ in range(5000)], "one": [7.0]}
+    rows = [(k, v) for k, values in groups.items() for v in values] + [("one", None), (None, 1.0), (None, 4.0)]
+    rng.shuffle(rows)
+    found = {r["k"]: r["median"] for r in measures.exact_medians(spark.createDataFrame(rows, "k string, v double"), ["k"], "v").collect()}
+    assert found == {k: median(v) for k, v in groups.items()} | {None: 2.5}
+
+
+def test_job_errors(spark):
+    check = lambda *jobs: [tuple(r) for r in chunks.job_errors(spark.createDataFrame([(k, *j) for k, j in enumerate(jobs)], "job int, width int, src_offset long, dst_offset long, len long"), 1000, 1000).collect()]
+    assert check((4, 0, 0, 100), (2, 100, 100, 50), (0, 3, 3, 9999)) == []
+    assert check((4, 0, 0, 100), (3, 0, 2, 10)) == [(1, "width")]
+    assert check((4, 0, 0, 100), (4, 0, 102, 10)) == [(1, "alignment")]
+    assert check((4, 0, 0, 100), (4, 900, 100, 104)) == [(1, "bounds")]
+    assert check((4, 0, 100, 100), (4, 0, 400, 40), (4, 0, 196, 8)) == [(2, "overlap")]
+    # A long target reaches over others that don't touch each other.
+    assert check((1, 0, 0, 900), (1, 0, 904, 4), (1, 0, 500, 4)) == [(2, "overlap")]
+
+
+def test_report(spark):
+    rows = [("compress lz4", "set/all", 2.0, 1.9), ("compress lz4", "set/a", 2.1, 1.8), ("compress z", "set/all", 1.0, 2.9), ("compress slow", "set/all", 0.5, 1.0), ("decompress lz4", "text", 9.0, None), ("compress lz4", "i16-audio", 1.0, 1.1), ("stage parse", "text", 1.0, None)]
+    meas = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "ord int, name string, input string, gbps double, ratio double")
+    pairs = spark.createDataFrame([("lz4 to z", "compress lz4", "compress z")], "label string, ours string, theirs string")
+    made = measures.report_sections(meas, pairs, {"cpu": "x", "platform.cores": "8"})
+    assert set(made) == {"setup", "platform", "versus", "compress", "files-compress", "synthetic-decompress", "numeric", "profile"}
+    assert made["compress"].splitlines()[2:] == ["| compress lz4 | 2.00 | 1.90 | True |", "| compress z | 1.00 | 2.90 | True |", "| compress slow | 0.50 | 1.00 | False |"]
+    assert made["files-compress"].splitlines()[2].startswith("| compress lz4 | set/a |")  # concatenations are last
+    assert "2.00" in made["versus"] and set(measures.SECTIONS) > set(made)
+    assert [r["ord"] for r in measures.appended(meas, meas).orderBy("ord").collect()] == list(range(14))
+
+
+def test_parts_by_different_encoders(spark):
+    from pyspark.errors import PySparkException
+
+    data = b"some text that repeats, some text that repeats. " * 500
+    files = spark.createDataFrame([("a", bytearray(data))], "file_id string, content binary")
+    count = layout.chunk_count(len(data), 4096)
+    head, tail = Options(codec="glz", chunk_size=4096), Options(codec="glz", chunk_size=4096, groups=4, filters="auto")
+    made = container.compress_parts(files, [(2, head), (0, tail), (count - 2, tail)])
+    assert bytes(container.decompress(container.from_files(made), "glz").first()["content"]) == data
+    with pytest.raises(PySparkException, match="BadSplit"):
+        container.compress_parts(files, [(count - 1, head)]).collect()
+    with pytest.raises(layout.FormatError, match="BadSplit"):
+        container.compress_parts(files, [(1, head), (1, Options(codec="lz4", chunk_size=4096))])
+    with pytest.raises(layout.FormatError, match="BadSplit"):
+        container.fixed_split(files, 0.5, head, Options(codec="glz", chunk_size=8192))
+    assert layout.Index.parse(bytes(container.compress_parts(files.withColumn("content", F.lit(b"")), [(0, head)]).first()["container"])).header.chunk_count == 0
+
+
+def test_ordered_writer(spark, tmp_path):
+    """A saved container is byte for byte the one made in a row; saved bytes stop at the first damaged chunk in order."""
+    from stratapack.sources import generators
+
+    data, options = generators.pseudo_text(300_000), Options(chunk_size=4096, checksums=True)
+    files = spark.createDataFrame([("a", bytearray(data))], "file_id string, content binary")
+    packed = container.compress(files, options).repartition(5).cache()
+    size = container.save_container(packed, len(data), options, str(tmp_path / "a.bin"))
+    whole = container.to_files(files.select("file_id", F.octet_length("content").cast("long").alias("n")), packed, options).first()["container"]
+    assert (tmp_path / "a.bin").read_bytes() == bytes(whole) and size == len(whole)
+    assert container.save_bytes(container.decode(packed, "lz4", True), str(tmp_path / "a.out")) == len(data)
+    assert (tmp_path / "a.out").read_bytes() == data
+    spoilt = packed.withColumn("checksum", F.when(F.col("chunk_no").isin(7, 30), F.lit(1).cast("long")).otherwise(F.col("checksum")))
+    with pytest.raises(container.Damaged, match="chunk 7: ChecksumMismatch"):
+        container.save_bytes(container.decode(spoilt, "lz4", True), str(tmp_path / "b.out"))
+    assert (tmp_path / "b.out").read_bytes() == data[: 7 * 4096]
+    packed.unpersist()
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from stratapack import cli
+    from stratapack.sources import generators
+
+    data = generators.pseudo_text(100_000)
+    (tmp_path / "in").write_bytes(data)
+    run = lambda *a: cli.main([str(x) for x in a], spark)
+    for k, extra in enumerate((["--codec", "glze", "--level", 2, "--checksums"], ["--chunk-size", "4K", "--filter", "auto"], ["--chunk-size", "8K", "--tail-share", 0.25])):
+        packed = tmp_path / f"{k}.bin"
+        assert run("compress", tmp_path / "in", packed, *extra) == 0
+        assert packed.stat().st_size < 60_000
+        assert run("decompress", packed, tmp_path / "out") == 0 and (tmp_path / "out").read_bytes() == data
+        assert run("decompress", packed, tmp_path / "out", "--offset", "9K", "--length", 30_000) == 0
+        assert (tmp_path / "out").read_bytes() == data[9216:39216]
+        assert run("decompress", packed, tmp_path / "out", "--offset", 99_999, "--length", 2) == 1
+        capsys.readouterr()
+        assert run("info", packed) == 0
+        shown = capsys.readouterr().out
+        assert "100000 bytes (97.7 KiB)" in shown and "ratio" in shown
+    (tmp_path / "in").write_bytes(b"")
+    assert run("compress", tmp_path / "in", tmp_path / "e.bin") == 0 and (tmp_path / "e.bin").stat().st_size == 32
+    assert run("decompress", tmp_path / "e.bin", tmp_path / "out") == 0 and (tmp_path / "out").read_bytes() == b""
+    (tmp_path / "bad").write_bytes(b"not a container at all, not at all")
+    assert run("info", tmp_path / "bad") == 1 and run("info") == 0
+    assert "BadMagic" in capsys.readouterr().err
+
+
 def test_entry(spark):
     import __spark_entry__
 
