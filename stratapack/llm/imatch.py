@@ -57,16 +57,16 @@ def _slot(h: Column, bits: int) -> Column:
 def lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> list[list[int]]:
     """The hashes of the terms in the band, in 2^bits slots by their first bits; at least one slot for two terms."""
     n = docs.count()
-    mark = F.xxhash64(text_of())
+    docs, mark = docs.select(text_of().alias("text")), F.xxhash64("text")
     # Fewer than 1 / HOT rows.
     hot = dict(docs.groupBy(mark.alias("text_hash")).agg(F.count(F.lit(1)).alias("c")).filter((F.col("c") > HOT * n) & (F.col("c") > 1)).collect())
-    n -= sum(hot.values()) - len(hot)
-    weight = F.lit(1.0)
     if hot:
-        times = F.from_json(F.lit(json.dumps({str(h): c for h, c in hot.items()})), "map<string,double>")
-        weight = F.lit(1.0) / F.coalesce(F.element_at(times, mark.cast("string")), F.lit(1.0))
-    terms = docs.select(F.explode(F.array_distinct(_hashes(text_of()))).alias("h"), weight.alias("w"))
-    df = F.round(F.sum("w"), 3)
+        n -= sum(hot.values()) - len(hot)
+        is_hot = mark.isin(list(hot))
+        once = docs.filter(is_hot).groupBy(mark.alias("text_hash")).agg(F.first("text").alias("text")).select("text")
+        docs = docs.filter(~is_hot).unionByName(once)
+    terms = docs.select(F.explode(F.array_distinct(_hashes(F.col("text")))).alias("h"))
+    df = F.count(F.lit(1))
     kept = terms.groupBy("h").agg(df.alias("df")).filter((F.col("df") >= band[0] * n) & (F.col("df") <= max(1.0, band[1] * n)) & (F.col("h") != F.xxhash64(F.lit(""))))
     found = [h for (h,) in kept.select("h").collect()]
     bits = max(1, len(found).bit_length())
@@ -123,19 +123,19 @@ def _ranges(docs: DataFrame, count: int) -> tuple[Column, int]:
     return F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(place), len(cuts) + 1
 
 
-def with_next(docs: DataFrame, count: int | None = None) -> DataFrame:
-    """Each row of docs (doc_id, text and more) with `next`, a struct of the columns but doc_id of the row that follows by doc_id, the first after the last."""
+def with_next(docs: DataFrame, more: dict[str, Column] | None = None, count: int | None = None) -> DataFrame:
+    """Each row of docs (doc_id, text) with the columns `more` (of text) and `next`, a struct of text and these of the row that follows by doc_id, the first after the last."""
     spark = docs.sparkSession
     count = count or int(spark.conf.get("spark.sql.shuffle.partitions"))
     place, n = _ranges(docs, count)
-    names = [c for c in docs.columns if c != "doc_id"]
-    placed = docs.select("doc_id", place.alias("range"), F.struct(*names).alias("own"))
+    own = F.struct("text", *(c.alias(k) for k, c in (more or {}).items())).alias("own")
+    placed = docs.select("doc_id", place.alias("range"), own)
     # The first row of each range: as many ids as ranges, then their texts.
     rank = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    heads = docs.select("doc_id").withColumn("range", place).groupBy("range").agg(F.min(rank).alias("head"))
-    first = placed.join(F.broadcast(heads), "range").filter(rank == F.col("head"))
-    first = first.groupBy("range").agg(F.min_by("own", F.col("own.text")).alias("first"))
-    first = staged(first, "first-texts").select(((F.col("range") + F.lit(n - 1)) % F.lit(n)).alias("range"), "first")
+    at = docs.select("doc_id", "text", place.alias("range"))
+    heads = at.groupBy("range").agg(F.min(rank).alias("head"))
+    first = at.join(F.broadcast(heads), "range").filter(rank == F.col("head")).groupBy("range").agg(F.min("text").alias("text"))
+    first = staged(first, "first-texts").select(((F.col("range") + F.lit(n - 1)) % F.lit(n)).alias("range"), own.alias("first"))
     inside = Window.partitionBy("range").orderBy("doc_id", "own.text")
     ahead = placed.withColumn("ahead", F.lead("own").over(inside))
     return ahead.join(first.hint("merge"), "range").select("doc_id", "own.*", F.coalesce("ahead", "first").alias("next"))
@@ -148,7 +148,7 @@ def imatch(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 2) as int))"), F.col("next.text").substr(F.lit(1), half))
-    rows = with_next(docs.withColumn("print", fingerprint(F.col("text"), lex)))
+    rows = with_next(docs, {"print": fingerprint(F.col("text"), lex)})
     rows = rows.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "print", F.col("next.print").alias("next"))
     printed = rows.select("doc_id", "n_chars", "edited", F.col("print").alias("own"), fingerprint(F.col("edited"), lex).alias("changed"), "next")
     # One struct bound by a lambda: each fingerprint is computed once, though it is used three times.

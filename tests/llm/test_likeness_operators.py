@@ -171,7 +171,7 @@ def test_ranges_are_even(spark):
     place, n = imatch._ranges(docs, 1)
     assert n == 1
     rows = spark.createDataFrame([(i, str(i)) for i in ids if i is not None], "doc_id long, text string")
-    after = {r["doc_id"]: r["next"]["text"] for r in imatch.with_next(rows, 7).collect()}
+    after = {r["doc_id"]: r["next"]["text"] for r in imatch.with_next(rows, count=7).collect()}
     order = sorted(after)
     assert after == {i: str(j) for i, j in zip(order, order[1:] + order[:1], strict=True)}
 
