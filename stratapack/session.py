@@ -35,6 +35,7 @@ def spread(rows: DataFrame) -> DataFrame:
     Large files are left as they are: Spark cuts them into at least as many tasks as there are cores.
     """
     spark = rows.sparkSession
+    # Planning the scan lists the files too.
     cores, files = spark.sparkContext.defaultParallelism, rows.inputFiles()
     if len(files) >= cores:
         return rows
