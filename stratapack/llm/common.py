@@ -12,16 +12,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratapack.session import ship
+from stratapack.session import ship, spread
 
 #: Fixed values of the contracts: the six ASCII white-space characters.
 SPACES = " \t\n\x0b\x0c\r"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the driver's tables, read by Spark so that any store works."""
+    """One of the driver's tables, read by Spark so that any store works; one of a few small files is dealt to all cores."""
     ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
