@@ -198,7 +198,7 @@ class ShardIndex:
     """BM25 weights of some documents: terms in many of them as one array over all documents each, the others as postings."""
 
     #: A term in over 1 / DENSE of the documents has an array; at most WIDTH have, the most frequent.
-    DENSE, WIDTH = 24, 2048
+    DENSE, WIDTH, BLOCK = 24, 2048, 32
 
     def __init__(self, docs: list[np.ndarray], df: np.ndarray, n_docs: int, mean_length: float, k1: float = 1.2, b: float = 0.75):
         doc, token, tf = distinct(docs)
@@ -218,6 +218,8 @@ class ShardIndex:
         dense = np.zeros((len(common), len(docs)), np.float32)
         dense[at[at >= 0], doc[at >= 0]] = weight[at >= 0]
         self.dense = list(dense)
+        #: Sums of BLOCK columns each: a query with most of them subtracts the others.
+        self.sums = [dense[k : k + self.BLOCK].sum(axis=0) for k in range(0, len(dense), self.BLOCK)]
         order = np.flatnonzero(at < 0)
         order = order[np.argsort(token[order], kind="stable")]
         self._postings(doc[order], token[order], weight[order])
@@ -229,16 +231,26 @@ class ShardIndex:
     def keep(self, stay: np.ndarray) -> None:
         """Go on with the documents for which stay holds, by their place in docs."""
         place = np.cumsum(stay, dtype=np.int32) - 1
-        self.docs, self.dense = self.docs[stay], [column[stay] for column in self.dense]
+        self.docs, self.dense, self.sums = self.docs[stay], [column[stay] for column in self.dense], [column[stay] for column in self.sums]
         some = stay[self.doc]
         self._postings(place[self.doc[some]], self.token[some], self.weight[some])
 
-    def scores(self, terms: np.ndarray) -> np.ndarray:
-        """The score of each searched document for a query of distinct terms."""
+    def scores(self, terms: np.ndarray, plain: bool = False) -> np.ndarray:
+        """The score of each searched document for a query of distinct terms; plain: by additions only, so that 0 is 0."""
         out = np.zeros(len(self.docs), np.float32)
         at = self.column[terms]
-        for column in at[at >= 0].tolist():
-            np.add(out, self.dense[column], out)
+        asked = np.zeros(len(self.sums) * self.BLOCK, bool)
+        asked[at[at >= 0]] = True
+        blocks = asked.reshape(-1, self.BLOCK)
+        most = (blocks.sum(axis=1) > self.BLOCK // 2) & (not plain)
+        for block in np.flatnonzero(most).tolist():
+            np.add(out, self.sums[block], out)
+        asked = (blocks != most[:, None]).reshape(-1)[: len(self.dense)]
+        for column in np.flatnonzero(asked).tolist():
+            if most[column // self.BLOCK]:
+                np.subtract(out, self.dense[column], out)
+            else:
+                np.add(out, self.dense[column], out)
         rare = terms[at < 0]
         begin, end = self.start[rare], self.start[rare + 1]
         size = end - begin
@@ -249,9 +261,10 @@ class ShardIndex:
 
     def neighbours(self, seed: int, unused: np.ndarray) -> Iterator[int]:
         """Unused documents that share a term with the seed, by falling score, then by place."""
-        score = self.scores(self.terms[seed])
-        score[~unused[self.docs]] = 0
-        score[self.docs == seed] = 0
+        score, free = self.scores(self.terms[seed]), unused[self.docs] & (self.docs != seed)
+        # Sums that were subtracted again leave traces of rounding; what is as small comes last, by additions only.
+        small = free & (score < _TRACE)
+        score[~free | small] = 0
         top = 16
         while len(score) > 4 * top:
             least = np.partition(score, -top)[-top]
@@ -267,6 +280,14 @@ class ShardIndex:
             top *= 8
         found = np.flatnonzero(score > 0)
         yield from self.docs[found[np.lexsort((found, -score[found]))]].tolist()
+        if small.any():
+            score = self.scores(self.terms[seed], plain=True)
+            found = np.flatnonzero(small & (score > 0))
+            yield from self.docs[found[np.lexsort((found, -score[found]))]].tolist()
+
+
+#: Scores of this size may be what rounding left.
+_TRACE = 1e-2
 
 
 def pack_shard(docs: list[np.ndarray], index: ShardIndex, window: int) -> list[tuple[int, int, int, int, int]]:

@@ -71,6 +71,9 @@ class PairTable:
 
 
 class WordBpe:
+    #: Distinct chunks that are remembered.
+    KNOWN = 400_000
+
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -95,6 +98,7 @@ class WordBpe:
         self.kind = np.array(kind, np.uint8)
         simple = [len(x) == 1 and ord(x) < LIMIT and (0x20 < c < 0x7F or c > 0xA0) and chr(c) not in "<'" for c, x in enumerate(lower)]
         self.simple = np.append(np.array(simple), False)
+        self.known, self.ids, self.size = pa.array([], pa.string()), np.empty(0, np.uint16), np.empty(0, np.int64)
 
     def chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all chunks in a row, and how many each has."""
@@ -173,15 +177,29 @@ class WordBpe:
             rank[changed] = self.pairs.rank(live[changed], live[changed + 1])
         return out[whole], of[whole]
 
+    def _distinct(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, begin, size): where each chunk's run of ids lies. The first KNOWN chunks that came are remembered."""
+        at = pc.index_in(chunks, value_set=self.known)
+        missing = pc.is_null(at)
+        new = chunks.filter(missing)
+        ids, size = self.chunks(new)
+        place = at.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        fresh = missing.to_numpy(zero_copy_only=False)
+        place[fresh] = len(self.known) + np.arange(len(new))
+        ids, size = np.concatenate([self.ids, ids]), np.concatenate([self.size, size])
+        begin = np.cumsum(size) - size
+        if len(self.known) + len(new) <= self.KNOWN:
+            self.known, self.ids, self.size = pa.concat_arrays([self.known, new]), ids, size
+        return ids, begin[place], size[place]
+
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, each text closed by `end`, and where each text's end. Null texts are empty."""
-        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.string()), ""))
         offsets = split.offsets.to_numpy()
         coded = split.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
-        ids, size = self.chunks(coded.dictionary)
+        ids, begin, size = self._distinct(coded.dictionary)
         # The closing id is one more chunk.
-        ids, size = np.append(ids, np.uint16(end)), np.append(size, 1)
-        begin = np.cumsum(size) - size
+        ids, begin, size = np.append(ids, np.uint16(end)), np.append(begin, len(ids)), np.append(size, 1)
         cuts = offsets[1:].astype(np.int64) - offsets[0]
         at = np.insert(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), cuts, len(size) - 1)
         sizes = size[at]
