@@ -162,7 +162,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int, fan:
     parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / fan).cast("int").alias("parts"))
     dealt = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), "b")
     roles = dealt.select("a", "part", F.lit(1).alias("side"), F.col("b").alias("doc")).unionByName(dealt.select("a", "part").distinct().withColumn("side", F.lit(0)).withColumn("doc", F.col("a")))
-    met = roles.join(texts, "doc").repartition("a", "part").sortWithinPartitions("a", "part", "side")
+    # One plan at every size: a broadcast would serve small inputs only.
+    met = roles.hint("merge").join(texts, "doc").repartition("a", "part").sortWithinPartitions("a", "part", "side")
     return met.select("a", "part", "side", "doc", "text").mapInArrow(run, "a long, b long")
 
 
@@ -183,7 +184,7 @@ def _blocks_compared(heavy: DataFrame, docs: DataFrame, words: int, percent: int
     asks = held.filter("component <> main").select("main", F.col("own").alias("i"), every.alias("j"), F.lit(0).alias("side"), "doc", "component")
     answers = held.select("main", every.alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"), "doc", "component")
     texts = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("doc"), "text")
-    rows = asks.unionByName(answers).join(texts, "doc")
+    rows = asks.unionByName(answers).hint("merge").join(texts, "doc")
 
     def compare(group: pa.Table) -> pa.Table:
         sketch = Sketcher(words, 1, 1)
