@@ -23,11 +23,15 @@ def ms(bytes_: Column, rate: Column) -> Column:
 
 
 def medians(samples: DataFrame, keys: list[str], value: str, order: str | None = None, warmup: int = 0) -> DataFrame:
-    """Median of each group, the first `warmup` samples by order left out."""
+    """Median of each group, the first `warmup` samples by order (unique in a group) left out."""
     if warmup:
+        # Spark keeps the first rows of each group in every task, so no task ranks a whole group.
         place = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
-        samples = samples.withColumn("place", place).filter(F.col("place") > warmup)
-    return samples.groupBy(*keys).agg(F.median(value).alias("median"))
+        first = samples.select(*keys, order).withColumn("_place", place).filter(F.col("_place") <= warmup)
+        cut = first.groupBy(*keys).agg(F.max(order).alias("_cut")).select(*[F.col(k).alias(f"_{k}") for k in keys], "_cut")
+        same = [samples[k].eqNullSafe(cut[f"_{k}"]) for k in keys]
+        samples = samples.join(cut, same).filter(F.col(order) > F.col("_cut")).select(*samples.columns)
+    return exact_medians(samples, keys, value)
 
 
 def exact_medians(samples: DataFrame, keys: list[str], value: str, accuracy: int = 1000) -> DataFrame:

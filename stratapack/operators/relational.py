@@ -13,11 +13,35 @@ from stratapack.functions import lz
 from stratapack.session import ship, spread
 
 
-def delta(rows: DataFrame, value: str, group: str, order: str | list[str], bits: int = 64) -> DataFrame:
-    """Adds `delta`: the wrapping difference to the row before in the group; the first row keeps its value."""
-    w = Window.partitionBy(group).orderBy(*([order] if isinstance(order, str) else order))
-    step = F.col(value).cast("long") - F.coalesce(F.lag(F.col(value).cast("long")).over(w), F.lit(0))
-    return rows.withColumn("delta", step.bitwiseAND(F.lit((1 << bits) - 1)) if bits < 64 else step)
+def delta(rows: DataFrame, value: str, group: str, order: str | list[str], bits: int = 64, parts: int = 1) -> DataFrame:
+    """Adds `delta`: the wrapping difference to the row before in the group; the first row keeps its value.
+
+    With parts over 1, a group of any size is cut into ranges of its one, numeric order column; a range's first row
+    gets the last value of the group's range before, so no task holds a whole group.
+    """
+    own = F.col(value).cast("long")
+    if parts == 1:
+        w = Window.partitionBy(group).orderBy(*([order] if isinstance(order, str) else order))
+        before = F.lag(own).over(w)
+    else:
+        names, rows = rows.columns, ranged(rows, order, parts)
+        ends = rows.groupBy(group, "_part").agg(F.max_by(own, order).alias("_end"))
+        ends = ends.withColumn("_carried", F.lag("_end").over(Window.partitionBy(group).orderBy("_part"))).drop("_end")
+        ends = ends.select(F.col(group).alias("_group"), F.col("_part").alias("_place"), "_carried")
+        rows = rows.join(ends, rows[group].eqNullSafe(ends["_group"]) & (rows["_part"] == ends["_place"])).drop("_group", "_place")
+        inside = F.lag(own).over(Window.partitionBy(group, "_part").orderBy(order))
+        rows = rows.withColumn("_before", F.coalesce(inside, "_carried"))
+        before = F.col("_before")
+    step = own - F.coalesce(before, F.lit(0))
+    out = rows.withColumn("delta", step.bitwiseAND(F.lit((1 << bits) - 1)) if bits < 64 else step)
+    return out if parts == 1 else out.select(*names, "delta")
+
+
+def ranged(rows: DataFrame, order: str, parts: int) -> DataFrame:
+    """rows with `_part`: ranges of a numeric column between approximate quantiles, about equal in rows."""
+    cuts = rows.select(F.percentile_approx(order, [k / parts for k in range(1, parts)], 10 * max(1000, parts)).alias("c")).first()["c"]
+    cuts = F.array(*map(F.lit, sorted(set(cuts)))) if cuts else F.array().cast("array<long>")
+    return rows.withColumn("_part", F.size(F.filter(cuts, lambda c: c < F.col(order))))
 
 
 def undelta(rows: DataFrame, group: str, order: str | list[str], bits: int = 64) -> DataFrame:

@@ -261,7 +261,8 @@ SELECT event_id, CASE WHEN d >= 0 THEN 2 * d ELSE -2 * d - 1 END AS z, d AS back
 FROM (SELECT event_id, user_id - lag(user_id, 1, 0) OVER (PARTITION BY event_type ORDER BY event_id) AS d FROM events)
 """)
 def zigzag_events(spark, sf_dir):
-    rows = relational.delta(table(spark, sf_dir, "events"), "user_id", "event_type", "event_id")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = relational.delta(table(spark, sf_dir, "events"), "user_id", "event_type", "event_id", parts=parts)
     return rows.withColumn("z", relational.zigzag(F.col("delta"))).select("event_id", "z", relational.unzigzag(F.col("z")).alias("back"))
 
 
