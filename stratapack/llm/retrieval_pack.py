@@ -32,7 +32,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratapack.llm.common import drop_staged, rows_of, staged, table
@@ -42,7 +42,7 @@ from stratapack.session import ship
 WINDOW = 2048
 END = 1
 DEFAULT_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
-SHARD_TOKENS = 6_000_000
+SHARD_TOKENS, LEAST = 6_000_000, 64
 #: Documents that the routing tree is fitted on, about; its columns, branches of a node, and cells of a leaf.
 SAMPLE, COLUMNS, BRANCHES, CELLS = 8192, 2048, 32, 64
 _PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -362,6 +362,11 @@ def shards_of(cell: np.ndarray, tokens: np.ndarray, shard_tokens: int) -> tuple[
     return first, parts
 
 
+def _load() -> Column:
+    """What a document counts in its shard: its tokens, but LEAST at least, so that a shard's documents are bounded too."""
+    return F.greatest(F.floor(F.octet_length("ids") / 2), F.lit(LEAST)).cast("long")
+
+
 def sharded(tokens: DataFrame, df: np.ndarray, n_docs: int, shard_tokens: int) -> DataFrame:
     """tokens with the column shard; tokens' own files are deleted."""
     spark = tokens.sparkSession
@@ -385,7 +390,7 @@ def sharded(tokens: DataFrame, df: np.ndarray, n_docs: int, shard_tokens: int) -
     routed = staged(tokens.mapInArrow(route, "doc_id long, ids binary, row long, cell long"), "pack-routed")
     drop_staged(tokens)
     # At most BRANCHES * BRANCHES * CELLS rows of three numbers.
-    sizes = routed.groupBy("cell").agg((F.sum(F.octet_length("ids")) / 2).cast("long").alias("tokens")).toArrow()
+    sizes = routed.groupBy("cell").agg(F.sum(_load()).alias("tokens")).toArrow()
     cell = sizes["cell"].to_numpy()
     first, parts = shards_of(cell, sizes["tokens"].to_numpy(), shard_tokens)
     places = spark.createDataFrame(pa.table({"cell": cell, "first": first, "parts": parts}))
@@ -396,10 +401,10 @@ def retrieval_pack(docs: DataFrame, window: int = WINDOW, shard_tokens: int = SH
     """Pieces: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset."""
     ship(docs.sparkSession)
     tokens = staged(tokenised(docs, path), "pack-tokens")
-    n_docs, n_tokens = tokens.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("ids")) / 2, F.lit(0))).first()
+    n_docs, n_tokens, load = tokens.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("ids")) / 2, F.lit(0)), F.coalesce(F.sum(_load()), F.lit(0))).first()
     df = token_df(tokens)
     mean_length = max(1.0, n_tokens / max(1, n_docs))
-    dealt = sharded(tokens, df, n_docs, shard_tokens) if n_tokens > shard_tokens else tokens.withColumn("shard", F.lit(0).cast("long"))
+    dealt = sharded(tokens, df, n_docs, shard_tokens) if load > shard_tokens else tokens.withColumn("shard", F.lit(0).cast("long"))
 
     def pack(group: pa.Table) -> pa.Table:
         group = group.combine_chunks().sort_by("row")
