@@ -175,11 +175,21 @@ def sketches(docs: list[np.ndarray], width: int = 4) -> np.ndarray:
 
 
 def centroids(rows: np.ndarray, count: int, rounds: int = 8) -> np.ndarray:
-    """Spherical k-means from spread starting rows; in an order in which each centroid follows the one that it is most like."""
+    """Spherical k-means; in an order in which each centroid follows the one that it is most like.
+
+    It starts from rows that are each drawn with a weight by how unlike they are to those drawn before.
+    """
     if not len(rows):
         return np.zeros((1, rows.shape[1]), np.float32)
     rng = np.random.default_rng(20240229)
-    centre = rows[rng.permutation(len(rows))[:count]].copy()
+    picked, near = [int(rng.integers(len(rows)))], np.full(len(rows), -1.0)
+    for _ in range(count - 1):
+        near = np.maximum(near, rows @ rows[picked[-1]])
+        far = np.cumsum(np.maximum(1 - near, 0) ** 2)
+        if far[-1] < 1e-6:
+            break
+        picked.append(int(np.searchsorted(far, rng.random() * far[-1])))
+    centre = rows[picked].copy()
     for _ in range(rounds):
         near = (rows @ centre.T).argmax(axis=1)
         for k in range(len(centre)):
@@ -349,14 +359,21 @@ def _powers(pieces: list[tuple[int, int, int, int, int]], fill: int, sequence: i
 
 
 def shards_of(cell: np.ndarray, tokens: np.ndarray, shard_tokens: int) -> tuple[np.ndarray, np.ndarray]:
-    """For cells in order: the first shard of each and over how many it is dealt."""
+    """For cells in order: the first shard of each and over how many it is dealt. A shard that is half full ends before a
+    branch of the tree that would overfill it by a quarter."""
     first, parts = np.zeros(len(cell), np.int64), np.ones(len(cell), np.int64)
-    shard, filled = 0, 0
+    branches = [(width, np.bincount(cell // width, tokens)) for width in (CELLS, CELLS * BRANCHES)] if len(cell) else []
+    shard, filled, before = 0, 0, -1
     for k in np.argsort(cell).tolist():
-        if filled and filled + int(tokens[k]) // 2 > shard_tokens:
+        size, here = int(tokens[k]), int(cell[k])
+        full = filled + size // 2 > shard_tokens
+        for width, whole in branches:
+            if before // width != here // width:
+                full |= 2 * filled >= shard_tokens and filled + whole[here // width] > 1.25 * shard_tokens
+        if filled and full:
             shard, filled = shard + 1, 0
-        first[k], parts[k] = shard, max(1, int(tokens[k]) // shard_tokens)
-        filled += int(tokens[k])
+        first[k], parts[k] = shard, max(1, size // shard_tokens)
+        filled, before = filled + size, here
         if parts[k] > 1:
             shard, filled = shard + int(parts[k]), 0
     return first, parts
