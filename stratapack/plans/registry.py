@@ -160,9 +160,9 @@ x AS (SELECT range_id, CAST(r.doc_id AS VARCHAR) AS file_id, range_id * 977 % (n
 def _ranges(spark, sf_dir) -> DataFrame:
     """A byte range for each event: documents of the whole table, places in whole texts, some of them past the end."""
     e, docs = F.col("range_id"), documents(spark, sf_dir)
-    ids = docs.agg((F.max(F.col("file_id").cast("long")) + 1).alias("ids"))
-    asked = table(spark, sf_dir, "events").select(F.col("event_id").alias("range_id")).crossJoin(F.broadcast(ids))
-    asked = asked.select(e, (e * 7919 % F.col("ids")).cast("string").alias("file_id")).join(docs.select("file_id", F.octet_length("content").cast("long").alias("n")), "file_id")
+    ids = (docs.agg(F.max(F.col("file_id").cast("long"))).first()[0] or 0) + 1
+    asked = table(spark, sf_dir, "events").select(F.col("event_id").alias("range_id"))
+    asked = asked.select(e, (e * 7919 % F.lit(ids)).cast("string").alias("file_id")).join(docs.select("file_id", F.octet_length("content").cast("long").alias("n")), "file_id")
     return asked.select(e, "file_id", (e * 977 % (F.col("n") + 1)).alias("offset"), (e * 131 % (F.floor(F.col("n") / 2) + 9)).alias("len"), "n")
 
 
@@ -422,10 +422,11 @@ def filter_wins(spark, sf_dir):
     from stratapack.functions import filters
 
     made = container.compress(_prices(spark, sf_dir), Options(codec="glze", chunk_size=CHUNK, filters="auto"))
-    won = made.filter("NOT stored").groupBy("filter").agg(F.count(F.lit(1)).alias("n"))
+    won = made.groupBy(F.when(~F.col("stored"), F.col("filter")).alias("filter")).agg(F.count(F.lit(1)).alias("n"))
+    # One row for each filter, and one for stored chunks.
+    won = won.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))))
     every = spark.createDataFrame([(k, name) for k, name in enumerate(filters.candidates(1))], "ord int, filter string")
-    total = made.agg(F.count(F.lit(1)).alias("total"))
-    return every.join(won, "filter", "left").join(F.broadcast(total)).select("ord", "filter", F.coalesce(F.col("n") / F.col("total"), F.lit(0.0)).alias("share"))
+    return every.join(won, "filter", "left").select("ord", "filter", F.coalesce("share", F.lit(0.0)).alias("share"))
 
 
 @query()
