@@ -87,6 +87,12 @@ def summary(chunks: DataFrame) -> DataFrame:
     return out.withColumn("ratio", F.round(F.col("original") / F.col("compressed"), 4))
 
 
+def smallest(trials: DataFrame) -> DataFrame:
+    """(file_id, chunk_no, ord, filter, size) of trial encodings -> file_id, chunk_no, filter, size: each chunk's smallest, of equal ones the first by ord."""
+    best = F.min_by(F.struct("filter", "size"), F.struct("size", "ord"))
+    return trials.groupBy("file_id", "chunk_no").agg(best.alias("b")).select("file_id", "chunk_no", "b.*")
+
+
 def payload_span(chunks: DataFrame) -> DataFrame:
     """file_id, low, high: where the payloads of a group of chunks begin and end, so that one read fetches them."""
     return chunks.groupBy("file_id").agg(F.min("comp_offset").alias("low"), F.max(F.col("comp_offset") + F.col("comp_size")).alias("high"))

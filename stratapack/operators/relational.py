@@ -156,6 +156,25 @@ def match_candidates(files: DataFrame, chunk_size: int = 65536) -> DataFrame:
     return spread(split(files, chunk_size)).select("file_id", "chunk_no", "data").mapInArrow(run, "file_id string, chunk_no long, positions long, found long, offsets long")
 
 
+def lazy_flags(rows: DataFrame, length: str, group: str | list[str], order: str | list[str], least: int = 4) -> DataFrame:
+    """Adds `taken`: whether a match of this length is taken here, so is long enough and not shorter than the one at the next position."""
+    w = Window.partitionBy(group).orderBy(order)
+    return rows.withColumn("taken", (F.col(length) >= least) & ~F.coalesce(F.lead(length).over(w) > F.col(length), F.lit(False)))
+
+
+def chain(candidates: DataFrame, depth: int) -> DataFrame:
+    """(group, pos, candidate) -> group, pos, step, entry: up to `depth` links from each position, step 1 its candidate, each next one the
+    candidate of the one before. An equi-join a step; a chain ends at a null."""
+    link = candidates.filter("candidate IS NOT NULL").select("group", "pos", F.col("candidate").alias("entry"))
+    back = link.select("group", F.col("pos").alias("entry"), F.col("entry").alias("_next"))
+    step = link.withColumn("step", F.lit(1))
+    out = step
+    for k in range(2, depth + 1):
+        step = step.join(back, ["group", "entry"]).select("group", "pos", F.col("_next").alias("entry"), F.lit(k).alias("step"))
+        out = out.unionByName(step)
+    return out.select("group", "pos", "step", "entry")
+
+
 def segment_of(seqs: DataFrame, segments: DataFrame) -> DataFrame:
     """(file_id, seq_no) and (file_id, segment, first): each sequence with the last segment whose first sequence is not behind it.
 

@@ -314,8 +314,26 @@ def kraft_check(spark, sf_dir):
     return ranked.groupBy("lang").agg(F.sum(F.expr("shiftleft(1, cast(11 - len as int))")).cast("int").alias("kraft"), F.min("falls").alias("ordered"))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {_BYTES_SQL},
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY cnt, symbol) AS place FROM b),
+tree AS (
+  SELECT lang, 0 AS age, list_sort(list({{'w': cnt, 'node': 0, 'age': place, 'm': [{{'s': symbol, 'd': 0}}]}})) AS q FROM r GROUP BY lang
+  UNION ALL
+  SELECT lang, age + 1, list_sort(list_append(q[3:], {{'w': q[1].w + q[2].w, 'node': 1, 'age': CAST(age + 1 AS BIGINT), 'm': [{{'s': x.s, 'd': x.d + 1}} for x in list_concat(q[1].m, q[2].m)]}})) FROM tree WHERE len(q) > 1),
+depth AS (SELECT lang, unnest(q[1].m).d AS d FROM tree WHERE len(q) = 1),
+held AS (SELECT lang, d, count(*) AS n FROM depth GROUP BY lang, d),
+counts AS (
+  SELECT lang, [coalesce(list_sum([x.n for x in l if x.d = i]), 0)::BIGINT for i in range(1, 65)] AS n FROM (SELECT lang, list({{'d': d, 'n': n}}) AS l FROM held GROUP BY lang)
+  UNION ALL
+  SELECT lang, [n[i] - CASE WHEN i = deep THEN 2 ELSE 0 END + CASE WHEN i = deep - 1 THEN 1 ELSE 0 END - CASE WHEN i = above THEN 1 ELSE 0 END + CASE WHEN i = above + 1 THEN 2 ELSE 0 END for i in range(1, 65)]
+  FROM (SELECT *, list_max([i for i in range(1, deep - 1) if n[i] > 0]) AS above FROM (SELECT *, list_max([i for i in range(1, 65) if n[i] > 0]) AS deep FROM counts) WHERE deep > 11)),
+sized AS (SELECT r.lang, symbol, cnt, list_max([s for s in range(1, 12) if place <= list_sum(n[s:])]) AS len FROM r JOIN counts c ON r.lang = c.lang WHERE list_sum(n[12:]) = 0)
+SELECT lang, symbol, cnt, len, coalesce(CAST(sum(1 << CAST(11 - len AS INTEGER)) OVER (PARTITION BY lang ORDER BY len, symbol ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) >> CAST(11 - len AS INTEGER) AS code FROM sized
+""")
 def code_table(spark, sf_dir):
+    """Length-limited canonical code of each language's bytes. The SQL merges the two lightest trees until one is left, folds
+    depths beyond 11 back, and hands the lengths out, longest first."""
     return relational.code_table(_language_bytes(spark, sf_dir), "lang")
 
 
@@ -634,6 +652,60 @@ def segment_join(spark, sf_dir):
     return relational.segment_of(rows, starts).withColumn("segment", F.coalesce("segment", F.lit(-1).cast("long")))
 
 
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity >= 4 AND NOT coalesce(lead(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) > l_quantity, false) AS taken FROM lineitem")
+def lazy_flags(spark, sf_dir):
+    """Lines as positions, quantities as match lengths: those that lazy parsing takes."""
+    found = relational.lazy_flags(table(spark, sf_dir, "lineitem"), "l_quantity", "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"])
+    return found.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "taken")
+
+
+@query("""
+SELECT o_custkey, o_orderkey, step, entry FROM (
+  SELECT o_custkey, o_orderkey, s AS step, CASE s WHEN 1 THEN lag(o_orderkey, 1) OVER w WHEN 2 THEN lag(o_orderkey, 2) OVER w ELSE lag(o_orderkey, 3) OVER w END AS entry
+  FROM orders, (SELECT unnest([1, 2, 3]) AS s) WINDOW w AS (PARTITION BY o_custkey, s ORDER BY o_orderkey)) WHERE entry IS NOT NULL
+""")
+def chain_join(spark, sf_dir):
+    """Each order's last three earlier orders of the customer, by joining links with links."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("group"), F.col("o_orderkey").alias("pos"))
+    links = rows.withColumn("candidate", F.lag("pos").over(Window.partitionBy("group").orderBy("pos")))
+    return relational.chain(links, 3).select(F.col("group").alias("o_custkey"), F.col("pos").alias("o_orderkey"), "step", "entry")
+
+
+@query("""
+SELECT CAST(o_custkey AS VARCHAR) AS file_id, o_orderkey % 3 AS chunk_no, arg_min(o_orderstatus || o_orderkey, (CAST(o_orderdate AS DATE), o_orderkey)) AS filter, CAST(min(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE))) AS BIGINT) AS size FROM orders GROUP BY ALL
+""")
+def smallest_trial(spark, sf_dir):
+    """Orders as trial encodings, days as sizes: the smallest for each customer and remainder, of equal ones the first key."""
+    rows = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").cast("string").alias("file_id"), (F.col("o_orderkey") % 3).alias("chunk_no"), F.col("o_orderkey").alias("ord"),
+        F.concat("o_orderstatus", F.col("o_orderkey").cast("string")).alias("filter"), F.unix_date(F.col("o_orderdate").cast("date")).cast("long").alias("size"),
+    )
+    return chunks.smallest(rows)
+
+
+@query("""
+SELECT CAST(doc_id AS VARCHAR) AS file_id, upper(substr(hex(encode(text)), 8193, 16384)) AS part
+FROM documents WHERE octet_length(encode(coalesce(text, ''))) > 4096
+""")
+def chunk_scan(spark, sf_dir):
+    """The second and third chunk of every container, from its chunk table; no other chunk is decoded."""
+    packed = container.compress(documents(spark, sf_dir), Options(codec="glz", chunk_size=CHUNK))
+    return container.decompress(packed.filter("chunk_no BETWEEN 1 AND 2"), "glz").select("file_id", F.hex("content").alias("part"))
+
+
+@query("""
+SELECT CAST(doc_id AS VARCHAR) AS file_id, (n + 4095) // 4096 AS chunks, CASE doc_id % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'ChecksumMismatch' ELSE 'SizeMismatch' END AS status
+FROM (SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents) WHERE n > 0
+""")
+def decode_status(spark, sf_dir):
+    """Chunk tables with wrong checksums or sizes: the first failing check of every chunk, one status for all chunks of a document."""
+    packed, kind = container.compress(documents(spark, sf_dir), Options(codec="lz4", chunk_size=CHUNK, checksums=True)), F.col("file_id").cast("long") % 3
+    spoilt = packed.withColumn("checksum", F.when(kind == 1, (F.col("checksum") + 1) % (1 << 32)).otherwise(F.col("checksum")))
+    spoilt = spoilt.withColumn("uncomp_size", F.when(kind == 2, F.col("uncomp_size") + 1).otherwise(F.col("uncomp_size")))
+    found = container.decode(spoilt, "lz4", verify=True)
+    return found.groupBy("file_id").agg(F.count(F.lit(1)).alias("chunks"), F.array_join(F.array_sort(F.collect_set("status")), "+").alias("status"))
+
+
 @query("""
 SELECT CAST(doc_id AS VARCHAR) AS file_id, CAST(4096 AS BIGINT) AS low, n AS high
 FROM (SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents) WHERE n > 4096
