@@ -84,6 +84,11 @@ class Merges:
         for n, i in self.name.items():
             self.trie.add_word(n, i)
         self.most = max(map(len, self.name))
+        self.find = regex.compile(PATTERN).findall
+        self.runs = [regex.compile(r) for r in RUNS]
+        #: What goes on in a run, which has no space before it.
+        self.going = [regex.compile(r.removeprefix(" ?")) for r in RUNS]
+        self.marks = regex.compile("|".join(regex.escape(x) for x in self.special)) if self.special else None
         self._shorter: dict[int, int] = {}
         self._may: dict[int, bool] = {}
         self.lookahead = self._lookahead()
@@ -180,7 +185,7 @@ class Merges:
 class _Memo(dict):
     """Pre-token -> tokens, filled by the transducer; cleared when full, so its size is bounded."""
 
-    def __init__(self, merges: Merges, entries: int = 250_000, longest: int = 96):
+    def __init__(self, merges: Merges, entries: int = 600_000, longest: int = 96):
         super().__init__()
         self.merges, self.entries, self.longest = merges, entries, longest
 
@@ -234,61 +239,62 @@ class Encoder:
     def __init__(self, merges: Merges, memo: _Memo | None = None):
         self.merges = merges
         self.memo = _Memo(merges) if memo is None else memo
-        self.find = regex.compile(PATTERN).findall
-        self.runs = [regex.compile(r) for r in RUNS]
-        self.special = regex.compile("|".join(regex.escape(s) for s in merges.special)) if merges.special else None
-        self.margin = max([self.MARGIN, *(len(s) + 3 for s in merges.special)])
+        self.margin = max([self.MARGIN, *(len(x) + 3 for x in merges.special)])
         self.held = ""
-        self.run: tuple[Run, regex.Pattern] | None = None
+        self.run: tuple[Run, int] | None = None
 
-    def feed(self, text: str) -> Iterator[int]:
+    def feed(self, text: str) -> list[int]:
+        """The tokens that became stable with this piece."""
+        out: list[int] = []
         self.held += text
-        while self.special and (m := self.special.search(self.held)):
+        while self.merges.marks and (m := self.merges.marks.search(self.held)):
             before, self.held = self.held[: m.start()], self.held[m.end() :]
-            yield from self._take(before, True)
-            yield self.merges.special[m[0]]
+            self._take(before, True, out)
+            out.append(self.merges.special[m[0]])
         held, self.held = self.held, ""
-        yield from self._take(held, False)
+        self._take(held, False, out)
+        return out
 
-    def finish(self) -> Iterator[int]:
+    def finish(self) -> list[int]:
+        out: list[int] = []
         held, self.held = self.held, ""
-        yield from self._take(held, True)
+        self._take(held, True, out)
+        return out
 
-    def _take(self, text: str, ended: bool) -> Iterator[int]:
-        """Tokens of what is final in text; the rest is held. ended: nothing follows."""
+    def _take(self, text: str, ended: bool, out: list[int]) -> None:
+        """Add the tokens of what is final in text; the rest is held. ended: nothing follows."""
         if self.run:
-            text = yield from self._continue(text, ended)
+            text = self._continue(text, ended, out)
             if self.run:
                 self.held = text
                 return
-        pieces = self.find(text)
+        pieces = self.merges.find(text)
         if not ended:
             left = len(text)
             while pieces and left > len(text) - self.margin:
                 left -= len(pieces.pop())
             rest = text[left:]
-        yield from chain.from_iterable(map(self.memo.__getitem__, pieces))
+        out.extend(chain.from_iterable(map(self.memo.__getitem__, pieces)))
         if ended:
             return
         if len(rest) > self.LONG:
-            self.run = next((Run(self.merges), p) for p in self.runs if (m := p.match(rest)) and m.end() >= len(rest) - self.margin)
-            rest = yield from self._continue(rest, False)
+            self.run = next((Run(self.merges), k) for k, p in enumerate(self.merges.runs) if (m := p.match(rest)) and m.end() >= len(rest) - self.margin)
+            rest = self._continue(rest, False, out)
         self.held = rest
 
-    def _continue(self, text: str, ended: bool) -> Iterator[int]:
+    def _continue(self, text: str, ended: bool, out: list[int]) -> str:
         """Push what surely belongs to the open run; returns the rest."""
-        run, pattern = self.run
-        same = pattern if not run.held and run.last < 0 else regex.compile(pattern.pattern.removeprefix(" ?"))
-        m = same.match(text)
+        run, kind = self.run
+        m = (self.merges.runs if not run.held and run.last < 0 else self.merges.going)[kind].match(text)
         end = m.end() if m else 0
         if not ended and end > len(text) - self.margin:
             end = max(0, len(text) - self.margin)
-            yield from run.push(text[:end].encode("utf-8", "surrogatepass"))
+            out.extend(run.push(text[:end].encode("utf-8", "surrogatepass")))
             return text[end:]
-        if pattern is self.runs[3] and end < len(text) and end:
+        if kind == 3 and end < len(text) and end:
             end -= 1  # the last white space before something else is not of this run
-        yield from run.push(text[:end].encode("utf-8", "surrogatepass"))
-        yield from run.finish()
+        out.extend(run.push(text[:end].encode("utf-8", "surrogatepass")))
+        out.extend(run.finish())
         self.run = None
         return text[end:]
 
