@@ -85,6 +85,30 @@ def test_medians_and_markdown(spark):
         measures.fill_template("{{nothing}}", {})
 
 
+def test_rates(spark):
+    row = spark.range(1).select(measures.gbps(F.lit(2_000_000_000), F.lit(1.0)), measures.ms(F.lit(2_000_000_000), F.lit(2.0)), measures.ratio(F.lit(300), F.lit(100))).first()
+    assert tuple(row) == (2.0, 1000.0, 3.0)
+
+
+def test_small_files_are_spread(spark, tmp_path):
+    from stratapack import session
+
+    assert [session._bytes(x) for x in ("134217728b", "8m", "128MB", "1g", "5")] == [1 << 27, 8 << 20, 1 << 27, 1 << 30, 5]
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "one"))
+    rows = spark.read.parquet(str(tmp_path / "one"))
+    assert session.spread(rows).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    spark.range(100).repartition(8).write.parquet(str(tmp_path / "many"))
+    many = spark.read.parquet(str(tmp_path / "many"))
+    assert session.spread(many) is many
+    limit = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10b")
+    try:
+        # A file that Spark cuts into enough tasks isn't moved.
+        assert session.spread(rows) is rows
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", limit)
+
+
 def test_human_bytes(spark):
     rows = spark.createDataFrame([(100,), (1536,), (65536,), (268435456,), (1610612736,)], "n long")
     assert [r[0] for r in rows.select(relational.human_bytes(F.col("n"))).collect()] == ["100 B", "1.5 KiB", "64 KiB", "256 MiB", "1.5 GiB"]
