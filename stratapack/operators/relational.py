@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from stratapack.functions import lz
 from stratapack.session import ship, spread
 
+#: Sequences that a Python worker holds before they leave as a batch.
+_HELD = 1 << 16
+
 
 def delta(rows: DataFrame, value: str, group: str, order: str | list[str], bits: int = 64, parts: int = 1) -> DataFrame:
     """Adds `delta`: the wrapping difference to the row before in the group; the first row keeps its value.
@@ -195,13 +198,24 @@ def sequence_table(files: DataFrame, chunk_size: int = 65536, level: int = 1) ->
     ship(files.sparkSession)
     names = ["file_id", "chunk_no", "seq_no", "lit_start", "lit_len", "match_len", "offset"]
 
+    def made(batch: pa.RecordBatch, found: dict[int, np.ndarray]) -> pa.RecordBatch:
+        counts = [len(s) for s in found.values()]
+        of = pa.array(np.repeat(list(found), counts))
+        keys = [batch["file_id"].cast(pa.string()).take(of), batch["chunk_no"].take(of), pa.array(np.concatenate([np.arange(n) for n in counts]), pa.int64())]
+        return pa.RecordBatch.from_arrays([*keys, *map(pa.array, np.concatenate(list(found.values())).T.copy())], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A chunk has far more sequences than a batch may hold rows, so they leave after a few chunks, not after the batch.
         for batch in batches:
-            rows = []
-            for file_id, k, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows += [(file_id, k, i, *s) for i, s in enumerate(lz.sequences(data, lz.for_level(level)))]
-            cols = list(zip(*rows, strict=True)) or [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if n == "file_id" else pa.int64()) for c, n in zip(cols, names, strict=True)], names)
+            found, held = {}, 0
+            for i, data in enumerate(batch["data"]):
+                found[i] = np.array(lz.sequences(data.as_py(), lz.for_level(level)), np.int64)
+                held += len(found[i])
+                if held >= _HELD:
+                    yield made(batch, found)
+                    found, held = {}, 0
+            if found:
+                yield made(batch, found)
 
     return spread(split(files, chunk_size)).mapInArrow(run, "file_id string, chunk_no long, seq_no long, lit_start long, lit_len long, match_len long, offset long")
 

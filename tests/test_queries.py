@@ -231,3 +231,31 @@ def test_container_info_of_empty_files(spark, tmp_path):
     spark.createDataFrame([(1, None), (2, ""), (3, "abcde")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     found = {r["file_id"]: tuple(r[c] for c in ("chunks", "stored", "original", "compressed", "filters", "ratio")) for r in QUERIES["container_info"](spark, str(tmp_path)).collect()}
     assert found == {"1": (0, 0, 0, 32, "", 0.0), "2": (0, 0, 0, 32, "", 0.0), "3": (1, 1, 5, 64, "none 1", 0.0781)}
+
+
+def test_sequences_leave_before_the_batch_ends(spark, monkeypatch):
+    """A batch of many chunks holds far more sequences than a Python worker may keep; all of them come, in order."""
+    import random
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from stratapack.functions import lz
+
+    draw = random.Random(5)
+    texts = [" ".join(draw.choices(("alpha", "beta", "gamma", "delta", "omega"), k=120)).encode() for _ in range(20)]
+    files = spark.createDataFrame([(str(i), bytearray(t)) for i, t in enumerate(texts)], "file_id string, content binary")
+    kept, call = [], type(files).mapInArrow
+    monkeypatch.setattr(type(files), "mapInArrow", lambda self, f, *a, **b: kept.append(f) or call(self, f, *a, **b))
+    table = relational.sequence_table(files)
+    want = [(str(i), 0, k, *s) for i, t in enumerate(texts) for k, s in enumerate(lz.sequences(t, lz.for_level(1)))]
+    assert sorted(map(tuple, table.collect())) == sorted(want)
+
+    many = 5000
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(many)]), pa.array([0] * many, pa.int64()), pa.array([texts[i % 20] for i in range(many)], pa.binary())], ["file_id", "chunk_no", "data"])
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in kept[0](iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == len(want) * many // 20
+    assert peak < 25e6 < 200 * rows, f"{peak / 1e6:.0f} MB for {rows} sequences"
