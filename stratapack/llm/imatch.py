@@ -3,7 +3,7 @@
 The lexicon is the set of terms, told apart by 64-bit hashes, whose share of documents lies in the band (that
 is, whose inverse document frequency does). One aggregation over all documents counts in how many each
 term occurs. A band term is in at least the lower share of documents, so there are at most (mean distinct
-terms of a document) / (lower share) of them whatever the corpus holds: the lexicon can be a literal of the
+terms of a document) / (lower share) of them whatever the corpus holds: the lexicon can be one value of the
 plan, as a hash table of short arrays, and no terms are joined or shuffled after it is known. Of a text that makes
 up over a thousandth of all rows, the copies count as one document, so that a large group of copies doesn't push
 its own terms over the band.
@@ -30,6 +30,7 @@ from __future__ import annotations
 import json
 from math import isqrt
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -76,12 +77,16 @@ def lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> list[list[int]
     return out
 
 
-def fingerprint(text: Column, lex: list[list[int]]) -> Column:
-    """Array of longs, one for the whole lexicon and one for each subset; _EMPTY where no term falls in."""
-    bits = len(lex).bit_length() - 1
-    # A constant that the optimiser folds to one array literal.
-    slots = F.from_json(F.lit(json.dumps(lex)), "array<array<bigint>>")
-    known = lambda h: F.array_contains(F.get(slots, _slot(h, bits)), h)
+def value(spark: SparkSession, lex: list[list[int]]) -> Column:
+    """The lexicon as one value of a plan. A subquery, as a literal's text would stand in every print of the plan that the driver
+    keeps and logs. Lambdas may not hold it: add it to the rows and name each column that is read beside it only once, then the
+    optimiser puts it in the column's place and no row gets a copy."""
+    return spark.createDataFrame(pa.table({"lex": pa.array([lex], pa.list_(pa.list_(pa.int64())))})).scalar()
+
+
+def fingerprint(text: Column, lex: Column, bits: int) -> Column:
+    """Array of longs, one for the whole lexicon (in 2^bits slots) and one for each subset; _EMPTY where no term falls in. For use in a lambda that binds text and lex."""
+    known = lambda h: F.array_contains(F.get(lex, _slot(h, bits)), h)
     terms = F.array_sort(F.array_distinct(F.filter(_hashes(text), known)))
 
     def parts(found: Column) -> Column:
@@ -123,19 +128,25 @@ def _ranges(docs: DataFrame, count: int) -> tuple[Column, int]:
     return F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(place), len(cuts) + 1
 
 
-def with_next(docs: DataFrame, more: dict[str, Column] | None = None, count: int | None = None) -> DataFrame:
-    """Each row of docs (doc_id, text) with the columns `more` (of text) and `next`, a struct of text and these of the row that follows by doc_id, the first after the last."""
+def with_next(docs: DataFrame, lex: Column | None = None, bits: int = 0, count: int | None = None) -> DataFrame:
+    """Each row of docs (doc_id, text), with lex also `print`, its fingerprint, and `next`, a struct of the same columns without doc_id of the row that follows by doc_id, the first after the last."""
     spark = docs.sparkSession
     count = count or int(spark.conf.get("spark.sql.shuffle.partitions"))
     place, n = _ranges(docs, count)
-    own = F.struct("text", *(c.alias(k) for k, c in (more or {}).items())).alias("own")
-    placed = docs.select("doc_id", place.alias("range"), own)
+
+    def owned(rows: DataFrame, at: Column, name: str, *more: str) -> DataFrame:
+        if lex is None:
+            return rows.select(*more, at.alias("range"), F.struct("text").alias(name))
+        both = F.transform(F.array(F.struct("text", "lex")), lambda r: F.struct(r["text"].alias("text"), fingerprint(r["text"], r["lex"], bits).alias("print")))
+        return rows.withColumn("lex", lex).select(*more, at.alias("range"), both[0].alias(name))
+
+    placed = owned(docs, place, "own", "doc_id")
     # The first row of each range: as many ids as ranges, then their texts.
     rank = F.coalesce("doc_id", F.lit(-(1 << 63)))
     at = docs.select("doc_id", "text", place.alias("range"))
     heads = at.groupBy("range").agg(F.min(rank).alias("head"))
     first = at.join(F.broadcast(heads), "range").filter(rank == F.col("head")).groupBy("range").agg(F.min("text").alias("text"))
-    first = staged(first, "first-texts").select(((F.col("range") + F.lit(n - 1)) % F.lit(n)).alias("range"), own.alias("first"))
+    first = owned(staged(first, "first-texts"), (F.col("range") + F.lit(n - 1)) % F.lit(n), "first")
     inside = Window.partitionBy("range").orderBy("doc_id", "own.text")
     ahead = placed.withColumn("ahead", F.lead("own").over(inside))
     return ahead.join(first.hint("merge"), "range").select("doc_id", "own.*", F.coalesce("ahead", "first").alias("next"))
@@ -144,24 +155,29 @@ def with_next(docs: DataFrame, more: dict[str, Column] | None = None, count: int
 def imatch(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
     """doc_id, n_chars, edited, fingerprints of the text and the edited text, and their likenesses."""
     docs = docs.select("doc_id", text_of().alias("text"))
-    lex = lexicon(docs, band)
-    n = F.length("text")
-    half = F.floor(n / 2).cast("int")
-    edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 2) as int))"), F.col("next.text").substr(F.lit(1), half))
-    rows = with_next(docs, {"print": fingerprint(F.col("text"), lex)})
-    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "print", F.col("next.print").alias("next"))
-    printed = rows.select("doc_id", "n_chars", "edited", F.col("print").alias("own"), fingerprint(F.col("edited"), lex).alias("changed"), "next")
-    # One struct bound by a lambda: each fingerprint is computed once, though it is used three times.
-    return printed.select(
-        "doc_id", "n_chars", "edited",
-        F.transform(
-            F.array(F.struct("own", "changed", "next")),
-            lambda f: F.struct(
-                shown(f["own"]).alias("fingerprint"), shown(f["changed"]).alias("edited_fingerprint"),
-                likeness(f["own"], f["changed"]).alias("near_edited"), likeness(f["own"], f["next"]).alias("near_next"),
-            ),
-        )[0].alias("r"),
-    ).select("doc_id", "n_chars", "edited", "r.*")
+    found = lexicon(docs, band)
+    lex, bits = value(docs.sparkSession, found), len(found).bit_length() - 1
+
+    def edit(r: Column) -> Column:
+        n = F.length(r["text"])
+        half = F.floor(n / 2).cast("int")
+        edited = F.concat(r["text"].substr(F.lit(1), n - half), r["next"]["text"].substr(F.lit(1), half))
+        return F.struct(n.cast("long").alias("n_chars"), edited.alias("edited"), r["print"].alias("own"), r["next"]["print"].alias("next"), r["lex"].alias("lex"))
+
+    def printed(r: Column) -> Column:
+        return F.struct(r["n_chars"].alias("n_chars"), r["edited"].alias("edited"), r["own"].alias("own"), fingerprint(r["edited"], r["lex"], bits).alias("changed"), r["next"].alias("next"))
+
+    def compared(r: Column) -> Column:
+        return F.struct(
+            r["n_chars"].alias("n_chars"), r["edited"].alias("edited"),
+            shown(r["own"]).alias("fingerprint"), shown(r["changed"]).alias("edited_fingerprint"),
+            likeness(r["own"], r["changed"]).alias("near_edited"), likeness(r["own"], r["next"]).alias("near_next"),
+        )
+
+    # Structs bound by lambdas: each fingerprint is computed once, though it is used three times.
+    rows = with_next(docs, lex, bits).withColumn("lex", lex)
+    steps = F.transform(F.transform(F.transform(F.array(F.struct("text", "print", "next", "lex")), edit), printed), compared)
+    return rows.select("doc_id", steps[0].alias("r")).select("doc_id", "r.*")
 
 
 def op2_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:

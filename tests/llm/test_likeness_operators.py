@@ -161,6 +161,18 @@ def test_fingerprints_equal_brute_force(spark):
     assert sum(hashed(parts(t)) for t in texts[:90]) < 20 and not hashed(parts(texts[-1]))
 
 
+def test_lexicon_is_not_in_the_plan_text(spark):
+    """Spark's driver keeps and logs the text of each plan; it doesn't grow with the lexicon, and no row carries the lexicon."""
+    rng = random.Random(8)
+    docs = spark.createDataFrame([(i, " ".join(f"w{rng.randrange(4000)}" for _ in range(200))) for i in range(200)], "doc_id long, text string")
+    band = (0.01, 0.2)
+    terms = sum(map(len, imatch.lexicon(docs, band)))
+    assert terms > 3000
+    plan = imatch.imatch(docs, band)._jdf.queryExecution()
+    assert len(plan.toString()) < 40 * terms
+    assert "lex" not in plan.executedPlan().output().mkString() and " AS lex#" not in plan.optimizedPlan().toString()
+
+
 def test_ranges_are_even(spark):
     """Ids far apart don't leave all rows to one range."""
     ids = [*range(1000), 1 << 60, None]
