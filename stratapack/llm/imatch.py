@@ -155,29 +155,28 @@ def with_next(docs: DataFrame, lex: Column | None = None, bits: int = 0, count:
 def imatch(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
     """doc_id, n_chars, edited, fingerprints of the text and the edited text, and their likenesses."""
     docs = docs.select("doc_id", text_of().alias("text"))
-    found = lexicon(docs, band)
-    lex, bits = value(docs.sparkSession, found), len(found).bit_length() - 1
+    slots = lexicon(docs, band)
+    lex, bits = value(docs.sparkSession, slots), len(slots).bit_length() - 1
 
-    def edit(r: Column) -> Column:
+    def compared(r: Column) -> Column:
         n = F.length(r["text"])
         half = F.floor(n / 2).cast("int")
         edited = F.concat(r["text"].substr(F.lit(1), n - half), r["next"]["text"].substr(F.lit(1), half))
-        return F.struct(n.cast("long").alias("n_chars"), edited.alias("edited"), r["print"].alias("own"), r["next"]["print"].alias("next"), r["lex"].alias("lex"))
-
-    def printed(r: Column) -> Column:
-        return F.struct(r["n_chars"].alias("n_chars"), r["edited"].alias("edited"), r["own"].alias("own"), fingerprint(r["edited"], r["lex"], bits).alias("changed"), r["next"].alias("next"))
-
-    def compared(r: Column) -> Column:
-        return F.struct(
-            r["n_chars"].alias("n_chars"), r["edited"].alias("edited"),
-            shown(r["own"]).alias("fingerprint"), shown(r["changed"]).alias("edited_fingerprint"),
-            likeness(r["own"], r["changed"]).alias("near_edited"), likeness(r["own"], r["next"]).alias("near_next"),
-        )
+        # What a lambda returns is copied, so none returns the lexicon.
+        printed = F.transform(F.array(edited), lambda e: F.struct(e.alias("edited"), fingerprint(e, r["lex"], bits).alias("print")))
+        return F.transform(
+            printed,
+            lambda e: F.struct(
+                n.cast("long").alias("n_chars"), e["edited"].alias("edited"),
+                shown(r["print"]).alias("fingerprint"), shown(e["print"]).alias("edited_fingerprint"),
+                likeness(r["print"], e["print"]).alias("near_edited"), likeness(r["print"], r["next"]["print"]).alias("near_next"),
+            ),
+        )[0]
 
     # Structs bound by lambdas: each fingerprint is computed once, though it is used three times.
     rows = with_next(docs, lex, bits).withColumn("lex", lex)
-    steps = F.transform(F.transform(F.transform(F.array(F.struct("text", "print", "next", "lex")), edit), printed), compared)
-    return rows.select("doc_id", steps[0].alias("r")).select("doc_id", "r.*")
+    found = F.transform(F.array(F.struct("text", "print", "next", "lex")), compared)
+    return rows.select("doc_id", found[0].alias("r")).select("doc_id", "r.*")
 
 
 def op2_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
